@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
-from carequeue.functions.expressions import named, present
+from carequeue.functions.expressions import flag, named, present
 
 
 def summarise(
@@ -23,18 +23,21 @@ def summarise(
     counts: Mapping[str, str],
     medians: Mapping[str, str] | None = None,
     distinct: Mapping[str, str] | None = None,
+    distinct_where: Mapping[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
     """One row per group of ``keys`` (or one row in all, if there are none).
 
     ``counts`` are whole-number expressions to add up (0 over no rows), ``medians`` whole-number
     expressions to take the interpolated exact median of, ``distinct`` ids to count without nulls.
+    ``distinct_where`` counts those ids of a ``distinct`` entry that meet a test on any row.
     """
-    medians, distinct = dict(medians or {}), dict(distinct or {})
+    medians, distinct, tested = dict(medians or {}), dict(distinct or {}), dict(distinct_where or {})
     values = [*medians, *distinct]
     measures = {**medians, **distinct, **{name: f"CAST({text} AS BIGINT)" for name, text in counts.items()}}
+    measures |= {name: f"CAST({flag(test)} AS BIGINT)" for name, (_, test) in tested.items()}
     narrow = _select([*keys, *named(measures)], "{rows}")
-    added = [f"sum({name}) AS {name}" for name in counts]
-    totals = [f"coalesce(sum({name}), 0L) AS {name}" for name in (*distinct, *counts)]
+    added = [f"sum({name}) AS {name}" for name in counts] + [f"max({name}) AS {name}" for name in tested]
+    totals = [f"coalesce(sum({name}), 0L) AS {name}" for name in (*distinct, *tested, *counts)]
     if not values:
         return _run(rows, _select([*keys, *totals], f"({narrow})", keys))
 
@@ -54,6 +57,7 @@ def summarise(
 
     weights = {f"_weight_{name}": within(name, "_rows") for name in medians}
     plain = {name: within(name, present(name)) for name in distinct}
+    plain |= {name: within(of, f"CASE WHEN {of} IS NOT NULL THEN {name} END") for name, (of, _) in tested.items()}
     plain |= {name: within(values[0], name) for name in counts}
     parts = _select([*keys, *medians, *named(weights), *named(plain)], f"({broken_down})")
     if medians and distinct:

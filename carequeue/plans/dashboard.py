@@ -11,7 +11,6 @@ from carequeue.functions.expressions import (
     COMPLETED,
     LAG,
     NO_SHOW,
-    flag,
     open_longer_than,
     pct,
     period_start,
@@ -57,8 +56,8 @@ _COMPLETION_RATE = f"{pct('_completed', '_appointments')} AS completion_rate_pct
 _NO_SHOW_RATE = f"{pct('_no_shows', '_appointments')} AS no_show_rate_pct"
 
 
-def _open_id(settings: Settings) -> str:
-    return f"CASE WHEN {open_longer_than(settings.aging_days, settings.today())} THEN referral_id END"
+def _aged(settings: Settings) -> str:
+    return open_longer_than(settings.aging_days, settings.today())
 
 
 # Periods
@@ -142,8 +141,8 @@ def _kpi_summary(mart, filters: Filters, settings: Settings, keys=(), extra=())
         distinct={
             "total_referrals": "referral_id",
             "total_appointments": "appointment_id",
-            "open_referrals_over_threshold": _open_id(settings),
         },
+        distinct_where={"open_referrals_over_threshold": ("total_referrals", _aged(settings))},
     )
     return grouped.selectExpr(
         *keys,
@@ -232,8 +231,8 @@ def clinic_report(mart, filters: Filters = Filters(), settings: Settings = Setti
         distinct={
             "referral_volume": "referral_id",
             "appointment_volume": "appointment_id",
-            "open_referrals_over_threshold": _open_id(settings),
         },
+        distinct_where={"open_referrals_over_threshold": ("referral_volume", _aged(settings))},
     )
     clinics = mart.table("clinic", "clinic_id", "clinic_name", "clinic_group", "weekly_intake_slot_capacity")
     base = clinics.join(grouped, "clinic_id").selectExpr(

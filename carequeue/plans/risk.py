@@ -78,8 +78,8 @@ def feature_table(mart, settings: Settings = Settings()) -> DataFrame:
     return rows.selectExpr(
         "appointment_id",
         f"{status('no_show')} AS {TARGET}",
-        f"{LAG} AS days_from_referral_to_appointment",
-        "datediff(appointment_date, appointment_scheduled_date) AS days_from_scheduled_to_appointment",
+        f"CAST({LAG} AS BIGINT) AS days_from_referral_to_appointment",
+        "CAST(datediff(appointment_date, appointment_scheduled_date) AS BIGINT) AS days_from_scheduled_to_appointment",
         "prior_no_show_count",
         "appointment_type",
         "visit_mode",

@@ -179,7 +179,7 @@ def no_show_summary(mart) -> DataFrame:
 
 def open_referral_aging(mart, settings: Settings = Settings()) -> DataFrame:
     """Every open referral with its age in days and age band."""
-    age = f"datediff({settings.today()}, referral_created_date)"
+    age = f"CAST(datediff({settings.today()}, referral_created_date) AS BIGINT)"
     return (
         mart.table(
             "referral", "referral_id", "patient_id", "referral_priority", "referral_created_date", "referral_status"

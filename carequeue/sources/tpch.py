@@ -127,14 +127,14 @@ AREA_RATES = {
 
 # Tables large enough to be worth splitting, and the key to split them by.
 FACT_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
-SPLITS = "carequeue.scan.splits"
+SPLITS = "spark.carequeue.scan.splits"
 
 
 class TpchMart:
     """Role tables over ``<folder>/<table>.parquet``.
 
     A file of one row group is read by one task, and all work up to the first shuffle stays in it.
-    For such small inputs the session may set ``carequeue.scan.splits`` to spread the fact tables
+    For such small inputs the session may set ``spark.carequeue.scan.splits`` to spread the fact tables
     right after the scan; left unset, as for any table of many files, nothing is shuffled early.
     """
 

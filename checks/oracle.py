@@ -617,7 +617,11 @@ def all_sql() -> dict[str, str]:
             f"months AS (SELECT {month} AS period_start, {TRENDS} FROM linked GROUP BY 1)",
         ),
         "zip_friction_custom": query(
-            f"SELECT {FRICTION_COLUMNS}, custom_score AS custom_access_friction_score FROM custom", *CUSTOM
+            f"SELECT {FRICTION_COLUMNS}, custom_score AS custom_access_friction_score FROM filled",
+            *CUSTOM,
+            """filled AS (
+  SELECT * REPLACE (coalesce(lag, 0) AS lag, coalesce(no_show_rate_pct, 0) AS no_show_rate_pct,
+                    coalesce(open_rate, 0) AS open_rate, coalesce(tele_rate, 0) AS tele_rate) FROM custom)""",
         ),
         "appt_type_no_show": query("SELECT * FROM kinds", KINDS),
         "visit_mode_no_show": query("SELECT * FROM modes", MODES),
