@@ -48,12 +48,13 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     chosen = [name for name in os.environ.get("BENCH_QUERIES", "").split(",") if name] or HEADLINE
     spark = build_session(
         "bench",
         f"local[{cpus}]",
         spark__driver__memory="16g",
+        spark__driver__extraJavaOptions="-XX:+UseParallelGC",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__sql__shuffle__partitions=cpus,

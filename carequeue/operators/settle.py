@@ -22,5 +22,6 @@ def _checkpoint_folder(spark: SparkSession) -> None:
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    # Only a local run has no shared folder set.
+    if shared is None and not context.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that every executor can reach")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="carequeue-"))

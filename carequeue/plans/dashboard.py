@@ -119,9 +119,10 @@ def period_presets(mart) -> DataFrame:
 # KPIs
 
 
-def _kpi_summary(mart, filters: Filters, settings: Settings, keys=(), extra=()) -> DataFrame:
+def _kpi_summary(mart, filters: Filters, settings: Settings, friction, keys=(), extra=()) -> DataFrame:
     # Scores have two digits, so that their sum is exact in whole hundredths.
-    scores = zip_friction(mart, settings).selectExpr(
+    friction = zip_friction(mart, settings) if friction is None else friction
+    scores = friction.selectExpr(
         "zip_code", "CAST(round(access_friction_score * 100D, 0) AS BIGINT) AS friction_hundredths"
     )
     rows = linked(
@@ -173,18 +174,25 @@ class _Scored:
         return patients.join(self.scores, "zip_code", "left").select(*columns)
 
 
-def kpis(mart, filters: Filters = Filters(), settings: Settings = Settings()) -> DataFrame:
-    """The nine headline numbers of a window, in one row; 0 where there is nothing to measure."""
-    return _kpi_summary(mart, filters, settings).fillna(0)
+def kpis(
+    mart, filters: Filters = Filters(), settings: Settings = Settings(), friction: DataFrame | None = None
+) -> DataFrame:
+    """The nine headline numbers of a window, in one row; 0 where there is nothing to measure.
 
+    Reports that use the ZIP friction scores take them as ``friction`` where they are at hand.
+    """
+    return _kpi_summary(mart, filters, settings, friction).fillna(0)
 
-def kpi_comparison(mart, filters: Filters, settings: Settings = Settings()) -> DataFrame:
+
+def kpi_comparison(
+    mart, filters: Filters, settings: Settings = Settings(), friction: DataFrame | None = None
+) -> DataFrame:
     """``kpis`` of the window and of the one before it, from one pass: current_* and prior_* columns."""
     prior = filters.prior()
     flagged = (
         f"CASE WHEN appointment_date >= DATE '{filters.start.isoformat()}' THEN 'current' ELSE 'prior' END AS _period"
     )
-    both = _kpi_summary(mart, filters.during(prior.start, filters.end), settings, ["_period"], [flagged])
+    both = _kpi_summary(mart, filters.during(prior.start, filters.end), settings, friction, ["_period"], [flagged])
     return both.selectExpr(
         *[
             f"coalesce(max(CASE WHEN _period = '{which}' THEN {name} END), 0) AS {which}_{name}"
@@ -194,7 +202,9 @@ def kpi_comparison(mart, filters: Filters, settings: Settings = Settings()) -> D
     )
 
 
-def kpi_delta(mart, filters: Filters, settings: Settings = Settings()) -> DataFrame:
+def kpi_delta(
+    mart, filters: Filters, settings: Settings = Settings(), friction: DataFrame | None = None
+) -> DataFrame:
     """Signed change of each KPI against the prior window; null where the prior is 0."""
     # The suffix that follows each delta.
     suffix = {"median_lag_days": "d", "completion_rate_pct": "%", "no_show_rate_pct": "%"}
@@ -206,7 +216,7 @@ def kpi_delta(mart, filters: Filters, settings: Settings = Settings()) -> DataFr
     stacked = ", ".join(
         f"'{name}', CAST(current_{name} AS DOUBLE), CAST(prior_{name} AS DOUBLE), {delta(name)}" for name in KPIS
     )
-    return kpi_comparison(mart, filters, settings).selectExpr(
+    return kpi_comparison(mart, filters, settings, friction).selectExpr(
         f"stack({len(KPIS)}, {stacked}) AS (metric, current_value, prior_value, delta)"
     )
 
@@ -292,9 +302,9 @@ def trends_long(mart, filters: Filters = Filters(), grain: str = "week") -> Data
     )
 
 
-def zip_report(mart, settings: Settings = Settings()) -> DataFrame:
+def zip_report(mart, settings: Settings = Settings(), friction: DataFrame | None = None) -> DataFrame:
     """ZIP friction with the chosen weights, highest first; missing telehealth gets the full penalty."""
-    base = zip_friction(mart, settings)
+    base = zip_friction(mart, settings) if friction is None else friction
     filled = base.fillna(
         0.0,
         [

@@ -51,10 +51,11 @@ class NoTrainingData(ValueError):
     """There are no appointments to learn from."""
 
 
-def feature_table(mart, settings: Settings = Settings()) -> DataFrame:
+def feature_table(mart, settings: Settings = Settings(), friction: DataFrame | None = None) -> DataFrame:
     """One row per appointment with an outcome: the target and eleven features."""
     listed = ", ".join(f"'{name}'" for name in OUTCOMES)
-    scores = zip_friction(mart, settings).selectExpr("zip_code", "access_friction_score AS zip_access_friction_score")
+    friction = zip_friction(mart, settings) if friction is None else friction
+    scores = friction.selectExpr("zip_code", "access_friction_score AS zip_access_friction_score")
     rows = linked(
         _Outcomes(mart, scores, f"appointment_status IN ({listed})"),
         appointment=[

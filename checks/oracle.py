@@ -486,7 +486,7 @@ def all_sql() -> dict[str, str]:
             """SELECT outcome AS appointment_status, mode AS visit_mode, count(*) AS appointment_count FROM visit
                WHERE outcome IN ('completed', 'no_show', 'canceled') GROUP BY ALL"""
         ),
-        "filter_selections": query(
+        "filter_empty_selection": query(
             """SELECT mode AS visit_mode, count(*) FILTER (1 = 0) AS empty_selection,
                       count(*) FILTER (outcome IN ('completed', 'no_show')) AS partial_selection,
                       count(*) AS full_selection FROM visit GROUP BY mode"""

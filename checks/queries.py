@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,8 +133,9 @@ def queue(mart) -> DataFrame:
 
 def context(mart) -> DataFrame:
     clinics = dashboard.clinic_report(mart, WINDOW, SETTINGS)
-    found = actions.dynamic_action_queue(clinics, dashboard.zip_report(mart, SETTINGS), SETTINGS)
-    kpi = dashboard.kpis(mart, WINDOW, SETTINGS)
+    friction = views.zip_friction(mart, SETTINGS)
+    found = actions.dynamic_action_queue(clinics, dashboard.zip_report(mart, SETTINGS, friction), SETTINGS)
+    kpi = dashboard.kpis(mart, WINDOW, SETTINGS, friction)
     checked = quality.quality_summary(scorecard(mart))
     return actions.metric_context(kpi, clinics, found, checked, WINDOW, SETTINGS)
 
@@ -164,7 +166,7 @@ MART_QUERIES = {
     "scan_projection": scan_projection,
     "load_audit": audit,
     "filter_in_list": filter_in_list,
-    "filter_selections": filter_selections,
+    "filter_empty_selection": filter_selections,
     "referral_lag": lambda m: views.referral_lag(m, SETTINGS),
     "appointment_completion": views.appointment_completion,
     "no_show_summary": views.no_show_summary,
@@ -237,8 +239,14 @@ DIRECTORY_QUERIES = {
 }
 
 
+@lru_cache(maxsize=8)
+def open_mart(mart_type, spark: SparkSession, folder: str) -> TpchMart:
+    """One mart per session and folder, so that footers are read once."""
+    return mart_type(spark, folder)
+
+
 def bind(build, mart_type):
-    return lambda spark, folder: build(mart_type(spark, folder))
+    return lambda spark, folder: build(open_mart(mart_type, spark, folder))
 
 
 def all_queries():
@@ -247,4 +255,4 @@ def all_queries():
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return views.clinic_attention_index(TpchMart(spark, folder), SETTINGS)
+    return views.clinic_attention_index(open_mart(TpchMart, spark, folder), SETTINGS)
