@@ -44,6 +44,15 @@ ROLE_TABLES = {
     "screening": "fact_screening",
 }
 
+# Date that the reports filter each fact table by, and the key that splits a busy day.
+FACT_ORDER = {
+    "fact_referral": ("referral_created_date", "referral_id"),
+    "fact_appointment": ("appointment_date", "appointment_id"),
+    "fact_screening": ("screening_date", "screening_id"),
+    "fact_encounter": ("encounter_date", "encounter_id"),
+    "fact_followup": ("followup_due_date", "followup_id"),
+}
+
 PREDICTIONS = "appointment_id string, predicted_no_show_probability double, risk_bucket string"
 METRICS = (
     "accuracy double, precision double, recall double, f1 double, roc_auc double, "
