@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from carequeue.llm.bpe import op3_bpe
 from carequeue.llm.simhash import op1_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_bpe": op3_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
