@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from carequeue.llm.bpe import op3_bpe
 from carequeue.llm.simhash import op1_simhash
+from carequeue.llm.token_counts import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_bpe": op3_bpe,
+    "op9_token_counts": op9_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
