@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count
@@ -25,26 +26,25 @@ QUERY_WORDS = 50_000
 #: Words of more bytes are contracted outside the recursion, whose rows grow with the square of a word's length.
 RECURSIVE_BYTES = 128
 DUCKDB_MEMORY = "600MB"
+#: Left id times this plus right id numbers a pair; the same in the query.
+PAIR = 1 << 20
 
-# Each round numbers the tokens that stand next to each other, joins the pairs to the merge table, and contracts each
-# word's leftmost pair of least rank; words without a pair take no part in the next round.
+# Each round lays out the neighbouring tokens of each word with their positions, joins them to the merge table, and
+# contracts the word's leftmost pair of least rank; words without a pair take no part in the next round.
 CONTRACT = """
-WITH RECURSIVE tokens(round, word, pos, id) AS (
-    SELECT 0, word, pos, id FROM symbols
+WITH RECURSIVE tokens(round, word, ids) AS (
+    SELECT 0, word, ids FROM symbols
     UNION ALL
     (WITH pairs AS (
-        SELECT round, word, pos, id, lead(id) OVER near AS next_id, lead(pos) OVER near AS next_pos
-        FROM tokens WINDOW near AS (PARTITION BY word ORDER BY pos)
+        SELECT word, unnest(ids[:-2])::BIGINT * 1048576 + unnest(ids[2:]) AS pair, unnest(range(len(ids) - 1)) AS pos
+        FROM tokens
     ), best AS (
-        SELECT word, min(merged::BIGINT * 65536 + pos) AS least, arg_min(next_pos, merged::BIGINT * 65536 + pos) AS gone
-        FROM pairs JOIN merges ON id = left_id AND next_id = right_id
-        GROUP BY word
+        SELECT word, min(merged::BIGINT * 65536 + pos) AS least FROM pairs JOIN merges USING (pair) GROUP BY word
     )
-    SELECT round + 1, word, pos, CASE WHEN pos = least % 65536 THEN (least // 65536)::INTEGER ELSE id END
-    FROM pairs JOIN best USING (word)
-    WHERE pos <> gone)
-), last AS (SELECT word, max(round) AS round FROM tokens GROUP BY word)
-SELECT word, list(id ORDER BY pos) AS ids FROM tokens JOIN last USING (word, round) GROUP BY word ORDER BY word
+    SELECT round + 1, word, ids[:least % 65536] || [(least // 65536)::INTEGER] || ids[least % 65536 + 3:]
+    FROM tokens JOIN best USING (word))
+)
+SELECT word, arg_max(ids, round) AS ids FROM tokens GROUP BY word ORDER BY word
 """
 
 DECODE = """
@@ -60,7 +60,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """A vocabulary in DuckDB: tokens by id, and the merge table of (left id, right id, id of both joined)."""
+    """A vocabulary in DuckDB: tokens by id, and the merge table of (pair, id of both joined), pair = left id * PAIR + right id."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         self.ranks = read_ranks(path)
@@ -74,8 +74,8 @@ class Codec:
         ]
         self.merges = {(left, right): rank for left, right, rank in joined}
         self.base = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
-        columns = zip(("left_id", "right_id", "merged"), zip(*joined), strict=True)
-        self._keep("merges", {name: pa.array(values, pa.int32()) for name, values in columns})
+        left, right, merged = (np.array(ids, np.int64) for ids in zip(*joined))
+        self._keep("merges", {"pair": left * PAIR + right, "merged": merged.astype(np.int32)})
         self._keep(
             "vocabulary", {"id": pa.array(self.tokens, pa.int32()), "hex": [token.hex() for token in self.tokens.values()]}
         )
@@ -103,18 +103,11 @@ class Codec:
                 split.append(k)
         for begin in range(0, len(split), QUERY_WORDS):
             part = split[begin : begin + QUERY_WORDS]
-            sizes = np.array([len(words[k]) for k in part])
+            ends = np.cumsum([0, *(len(words[k]) for k in part)]).astype(np.int32)
             single = np.array([self.ranks[bytes([byte])] for byte in range(256)], np.int32)
-            starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-            found = self._query(
-                CONTRACT,
-                "symbols",
-                {
-                    "word": np.repeat(np.arange(len(part), dtype=np.int32), sizes),
-                    "pos": (np.arange(sizes.sum()) - starts).astype(np.int32),
-                    "id": single[np.frombuffer(b"".join(words[k] for k in part), np.uint8)],
-                },
-            )
+            symbols = single[np.frombuffer(b"".join(words[k] for k in part), np.uint8)]
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(symbols))
+            found = self._query(CONTRACT, "symbols", {"word": np.arange(len(part), dtype=np.int32), "ids": lists})
             for k, own in zip(part, found["ids"].to_pylist(), strict=True):
                 ids[k] = own
         return ids
@@ -151,15 +144,9 @@ class Codec:
 
     def round_trip(self, texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
         """Ids of each text and the bytes they spell. Words are encoded and decoded once for all the texts."""
-        numbers: dict[str, int] = {}
-        counter = count()
-        places = []
-        for text in texts:
-            words = self.find(text)
-            for word in words:
-                if word not in numbers:
-                    numbers[word] = next(counter)
-            places.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+        numbers: dict[str, int] = defaultdict(count().__next__)
+        found_words = map(self.find, texts)
+        places = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for words in found_words]
         ids = self.encode_words([word.encode() for word in numbers])
         spelled = self.decode_words(ids)
         sizes = np.array([len(own) for own in ids], dtype=np.int64)
