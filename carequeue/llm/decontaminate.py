@@ -210,8 +210,8 @@ WITH split_docs AS (
     FROM (SELECT doc_id, n, w, unnest(range(0, len(w) - n + 1)) AS i FROM split_docs, sizes WHERE len(w) >= n)
 ), found AS (SELECT doc_id, item_id, i, n FROM places JOIN windows USING (n, own)
 ), words_hit AS (
-    SELECT doc_id, count(DISTINCT at) AS n_hit
-    FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM found) GROUP BY doc_id
+    SELECT doc_id, count(DISTINCT place) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM found) GROUP BY doc_id
 ), items_hit AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
     FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id

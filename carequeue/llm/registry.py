@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from carequeue.llm import decontaminate
 from carequeue.llm.bpe import op3_bpe
 from carequeue.llm.decontaminate import op2_decontaminate
+from carequeue.llm.secrets import op10_secrets
 from carequeue.llm.simhash import op1_simhash
 from carequeue.llm.token_counts import op9_token_counts
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_bpe": op3_bpe,
     "op9_token_counts": op9_token_counts,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
