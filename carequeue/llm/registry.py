@@ -11,12 +11,14 @@ from carequeue.llm.bpe import op3_bpe
 from carequeue.llm.decontaminate import op2_decontaminate
 from carequeue.llm.secrets import op10_secrets
 from carequeue.llm.simhash import op1_simhash
+from carequeue.llm.token_files import op4_token_files
 from carequeue.llm.token_counts import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
     "op3_bpe": op3_bpe,
+    "op4_token_files": op4_token_files,
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
 }
