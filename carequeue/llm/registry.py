@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from carequeue.llm import decontaminate
 from carequeue.llm.bpe import op3_bpe
 from carequeue.llm.decontaminate import op2_decontaminate
+from carequeue.llm.language import language_of_pages, op8_language
 from carequeue.llm.secrets import op10_secrets
 from carequeue.llm.simhash import op1_simhash
 from carequeue.llm.token_files import op4_token_files
+from carequeue.llm.toxicity import op7_toxicity
 from carequeue.llm.token_counts import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,8 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_bpe": op3_bpe,
     "op4_token_files": op4_token_files,
+    "op7_toxicity": op7_toxicity,
+    "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
+    "language_of_pages": language_of_pages,
 }
 
 ORACLE_SQL: dict[str, str] = {
