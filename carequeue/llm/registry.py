@@ -10,6 +10,7 @@ from carequeue.llm import decontaminate
 from carequeue.llm.bpe import op3_bpe
 from carequeue.llm.decontaminate import op2_decontaminate
 from carequeue.llm.language import language_of_pages, op8_language
+from carequeue.llm.neighbours import op5_neighbours
 from carequeue.llm.secrets import op10_secrets
 from carequeue.llm.simhash import op1_simhash
 from carequeue.llm.token_files import op4_token_files
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_bpe": op3_bpe,
     "op4_token_files": op4_token_files,
+    "op5_neighbours": op5_neighbours,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
