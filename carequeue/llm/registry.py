@@ -11,6 +11,7 @@ from carequeue.llm.bpe import op3_bpe
 from carequeue.llm.decontaminate import op2_decontaminate
 from carequeue.llm.language import language_of_pages, op8_language
 from carequeue.llm.neighbours import op5_neighbours
+from carequeue.llm.pages import op6_pages
 from carequeue.llm.secrets import op10_secrets
 from carequeue.llm.simhash import op1_simhash
 from carequeue.llm.token_files import op4_token_files
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_token_files": op4_token_files,
     "op5_neighbours": op5_neighbours,
+    "op6_pages": op6_pages,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
