@@ -42,6 +42,11 @@ HEADLINE = [
     "feature_table",
     "score_histogram",
     "question_route",
+    "feature_imputed",
+    "answer_open_aging",
+    "metric_context",
+    "risk_scores",
+    "model_metrics",
 ]
 
 
@@ -58,8 +63,6 @@ def main() -> None:
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__sql__shuffle__partitions=cpus,
-        # The bench tables are single files of one row group each.
-        spark__carequeue__scan__splits=cpus,
     )
     spark.sparkContext.setLogLevel("ERROR")
     found, queries = {}, all_queries()

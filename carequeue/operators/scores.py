@@ -1,8 +1,9 @@
-"""Max-normalisation over a whole result."""
+"""Max-normalisation and order over a whole result."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def with_maxima(frame: DataFrame) -> DataFrame:
@@ -25,3 +26,9 @@ def of_max(name: str) -> str:
 def of_max_or_zero(name: str) -> str:
     """Share of the maximum; 0 where it is zero or missing."""
     return f"coalesce({of_max(name)}, 0D)"
+
+
+def ordered(frame: DataFrame, *order: tuple[str, bool]) -> DataFrame:
+    """Rows by (column, ascending), nulls last; end with a unique column and ties have one order."""
+    by = [F.col(name).asc_nulls_last() if up else F.col(name).desc_nulls_last() for name, up in order]
+    return frame.orderBy(*by)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -11,17 +9,16 @@ def settled(frame: DataFrame) -> DataFrame:
     """The frame, computed once into the reliable checkpoint folder and cut off from its plan.
 
     For summaries that are read several times over. Reading the plan twice is not enough: AQE
-    shares a stage only while its plan is unchanged, and it re-plans joins as they run.
+    shares a stage only while its plan is unchanged, and it re-plans joins as they run. The files go when the
+    frame is released, if the session sets spark.cleaner.referenceTracking.cleanCheckpoints.
     """
     _checkpoint_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
 def _checkpoint_folder(spark: SparkSession) -> None:
+    """spark.checkpoint.dir, or a folder in the warehouse, which executors share too, where that is not set."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not context.master.startswith("local"):
-        raise ValueError("Set spark.checkpoint.dir to a folder that every executor can reach")
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="carequeue-"))
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")

@@ -31,7 +31,7 @@ class Selection:
 
 @dataclass(frozen=True)
 class Filters:
-    """A date window (inclusive at both ends) and one selection per dimension.
+    """A date window (inclusive at both ends, either of which may be left open) and one selection per dimension.
 
     A selection left at ``None`` was never offered and does not filter.
     """
@@ -50,6 +50,8 @@ class Filters:
 
     def prior(self) -> Filters:
         """The window of the same length that ends the day before this one starts."""
+        if self.start is None or self.end is None:
+            raise ValueError("A window without both a start and an end has no prior window")
         days = max((self.end - self.start).days + 1, 1)
         end = self.start - timedelta(days=1)
         return self.during(end - timedelta(days=days - 1), end)
@@ -57,7 +59,9 @@ class Filters:
     def on_appointment(self) -> list[Column]:
         tests = []
         if self.start is not None:
-            tests.append(F.col("appointment_date").between(F.lit(self.start), F.lit(self.end)))
+            tests.append(F.col("appointment_date") >= F.lit(self.start))
+        if self.end is not None:
+            tests.append(F.col("appointment_date") <= F.lit(self.end))
         return tests + _present(
             (self.visit_modes, "visit_mode"), (self.appointment_types, "appointment_type")
         )

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from carequeue.functions.expressions import one_decimal, round_even, safe_pct
+from carequeue.operators.scores import ordered
 from carequeue.params import Filters, Settings
 from carequeue.plans.views import funnel
 
@@ -16,7 +17,7 @@ from carequeue.plans.views import funnel
 CLINIC_ACTION = "Review intake slots, aging referrals, reminder workflows, and scheduling backlog."
 ZIP_ACTION = "Review access barriers, reminder workflows, and telehealth scheduling options."
 ZIP_OPEN_PCT = 20
-TOP_ZIPS = 10
+PAGE_ZIPS = 10
 TOP_ACTIONS = 5
 WEIGHT_LABELS = {
     "clinic": ("Clinic Attention", ["Lag", "No-show", "Open aging", "Capacity"]),
@@ -49,8 +50,10 @@ Current data quality score: {quality}%. Interpret metrics cautiously if critical
 """
 
 
-def dynamic_action_queue(clinics: DataFrame, zips: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Clinics, and the ten highest ZIP codes, that cross a threshold; with the metrics that did."""
+def dynamic_action_queue(
+    clinics: DataFrame, zips: DataFrame, settings: Settings = Settings(), zip_rows: int | None = None
+) -> DataFrame:
+    """Clinics and ZIP codes that cross a threshold, with the metrics that did; of the ``zip_rows`` highest ZIP codes, if given."""
     clinic_triggers = [
         _trigger("median_referral_to_appointment_days", f">= {settings.high_lag_days}", "median lag ", " days"),
         _trigger("no_show_rate_pct", f">= {settings.high_no_show_pct}", "no-show rate ", "%"),
@@ -63,7 +66,9 @@ def dynamic_action_queue(clinics: DataFrame, zips: DataFrame, settings: Settings
         _trigger("no_show_rate_pct", f">= {settings.high_no_show_pct}", "no-show rate ", "%"),
         _trigger("open_over_21_rate_pct", f">= {ZIP_OPEN_PCT}", "open aging rate ", "%"),
     ]
-    highest = top(zips, TOP_ZIPS, ("custom_access_friction_score", False), ("zip_code", True))
+    highest = zips
+    if zip_rows is not None:
+        highest = top(zips, zip_rows, ("custom_access_friction_score", False), ("zip_code", True))
     queue = clinics.selectExpr(
         "'Clinic' AS entity_type",
         "CAST(clinic_name AS STRING) AS entity_name",
@@ -79,7 +84,9 @@ def dynamic_action_queue(clinics: DataFrame, zips: DataFrame, settings: Settings
             f"concat_ws('; ', {', '.join(zip_triggers)}) AS triggering_metrics",
         )
     )
-    return queue.where("triggering_metrics <> ''").orderBy("priority_score", ascending=False)
+    return ordered(
+        queue.where("triggering_metrics <> ''"), ("priority_score", False), ("entity_type", True), ("entity_name", True)
+    )
 
 
 def _trigger(metric: str, test: str, before: str, after: str) -> str:
@@ -88,8 +95,7 @@ def _trigger(metric: str, test: str, before: str, after: str) -> str:
 
 def top(frame: DataFrame, rows: int, *order: tuple[str, bool]) -> DataFrame:
     """The first rows by the given (column, ascending) order, nulls last; end it with a unique column."""
-    by = [F.col(name).asc_nulls_last() if up else F.col(name).desc_nulls_last() for name, up in order]
-    return frame.orderBy(*by).limit(rows)
+    return ordered(frame, *order).limit(rows)
 
 
 def funnel_dropoff(mart) -> DataFrame:
@@ -215,15 +221,19 @@ def outreach_scenarios(kpi: DataFrame, reductions: Sequence[int]) -> DataFrame:
     )
 
 
-def capacity_scenarios(kpi: DataFrame, clinics: int, extra_slots: Sequence[int]) -> DataFrame:
-    """How much of the backlog each number of added weekly slots per clinic would cover."""
+def capacity_scenarios(kpi: DataFrame, clinics: DataFrame, extra_slots: Sequence[int]) -> DataFrame:
+    """How much of the backlog each number of added weekly slots for each row of ``clinics`` would cover."""
     grid = ", ".join(str(int(value)) for value in extra_slots)
-    return kpi.selectExpr("*", f"explode(array({grid})) AS extra_slots_per_week").selectExpr(
-        "extra_slots_per_week",
-        f"CAST(extra_slots_per_week * {int(clinics)}L * 4L AS BIGINT) AS added_monthly_slots",
-        "open_referrals_over_threshold AS backlog",
-        f"least(open_referrals_over_threshold, extra_slots_per_week * {int(clinics)}L * 4L) "
-        "AS potential_backlog_coverage",
+    return kpi.sparkSession.sql(
+        f"""SELECT extra_slots_per_week, added AS added_monthly_slots, backlog,
+                   least(backlog, added) AS potential_backlog_coverage
+            FROM (SELECT extra_slots_per_week, backlog, extra_slots_per_week * clinics * 4L AS added
+                  FROM (SELECT explode(array({grid})) AS extra_slots_per_week,
+                               open_referrals_over_threshold AS backlog,
+                               (SELECT count(*) FROM {{clinics}}) AS clinics
+                        FROM {{kpi}}))""",
+        kpi=kpi,
+        clinics=clinics,
     )
 
 

@@ -22,7 +22,7 @@ from carequeue.functions.expressions import (
     utilization,
     weighted_score,
 )
-from carequeue.operators.scores import of_max, of_max_or_zero, with_maxima
+from carequeue.operators.scores import of_max, of_max_or_zero, ordered, with_maxima
 from carequeue.operators.settle import settled
 from carequeue.operators.summary import summarise
 from carequeue.params import Filters, Settings
@@ -119,17 +119,19 @@ def period_presets(mart) -> DataFrame:
 # KPIs
 
 
-def _kpi_summary(mart, filters: Filters, settings: Settings, friction, keys=(), extra=()) -> DataFrame:
-    # Scores have two digits, so that their sum is exact in whole hundredths.
-    friction = zip_friction(mart, settings) if friction is None else friction
-    scores = friction.selectExpr(
-        "zip_code", "CAST(round(access_friction_score * 100D, 0) AS BIGINT) AS friction_hundredths"
-    )
+def _kpi_summary(mart, filters: Filters, settings: Settings, friction, keys=(), extra=(), scored=True) -> DataFrame:
+    if scored:
+        # Scores have two digits, so that their sum is exact in whole hundredths.
+        friction = zip_friction(mart, settings) if friction is None else friction
+        scores = friction.selectExpr(
+            "zip_code", "CAST(round(access_friction_score * 100D, 0) AS BIGINT) AS friction_hundredths"
+        )
+        mart = _Scored(mart, scores)
     rows = linked(
-        _Scored(mart, scores),
+        mart,
         appointment=_VISIT,
         referral=["referral_created_date", "referral_status"],
-        patient=["friction_hundredths"],
+        patient=["friction_hundredths"] if scored else [],
         clinic=[],
         filters=filters,
     )
@@ -137,7 +139,7 @@ def _kpi_summary(mart, filters: Filters, settings: Settings, friction, keys=(),
         rows.selectExpr("*", *extra) if extra else rows,
         keys,
         counts=_OUTCOMES
-        | {"_friction": "friction_hundredths", "_scored": present("friction_hundredths")},
+        | ({"_friction": "friction_hundredths", "_scored": present("friction_hundredths")} if scored else {}),
         medians={"_lag": LAG},
         distinct={
             "total_referrals": "referral_id",
@@ -155,7 +157,7 @@ def _kpi_summary(mart, filters: Filters, settings: Settings, friction, keys=(),
         _COMPLETION_RATE,
         _NO_SHOW_RATE,
         "open_referrals_over_threshold",
-        f"{round_to('_friction / 100D / nullif(_scored, 0)', 2)} AS avg_access_friction",
+        *([f"{round_to('_friction / 100D / nullif(_scored, 0)', 2)} AS avg_access_friction"] if scored else []),
     )
 
 
@@ -184,6 +186,11 @@ def kpis(
     return _kpi_summary(mart, filters, settings, friction).fillna(0)
 
 
+def counts(mart, filters: Filters = Filters(), settings: Settings = Settings()) -> DataFrame:
+    """``kpis`` without the average friction, for which all ZIP codes would have to be scored."""
+    return _kpi_summary(mart, filters, settings, None, scored=False).fillna(0)
+
+
 def kpi_comparison(
     mart, filters: Filters, settings: Settings = Settings(), friction: DataFrame | None = None
 ) -> DataFrame:
@@ -266,11 +273,8 @@ def clinic_report(mart, filters: Filters = Filters(), settings: Settings = Setti
             (share["capacity"], of_max("monthly_capacity_utilization_pct")),
         ]
     )
-    return (
-        with_maxima(settled(base))
-        .selectExpr(*base.columns, f"{score} AS clinic_attention_index")
-        .orderBy("clinic_attention_index", ascending=False)
-    )
+    scored = with_maxima(settled(base)).selectExpr(*base.columns, f"{score} AS clinic_attention_index")
+    return ordered(scored, ("clinic_attention_index", False), ("clinic_id", True))
 
 
 def access_trends(mart, filters: Filters = Filters(), grain: str = "week") -> DataFrame:
@@ -285,14 +289,15 @@ def access_trends(mart, filters: Filters = Filters(), grain: str = "week") -> Da
         medians={"_lag": LAG},
         distinct={"referral_volume": "referral_id", "appointment_volume": "appointment_id"},
     )
-    return grouped.selectExpr(
+    measured = grouped.selectExpr(
         "period_start",
         "referral_volume",
         "appointment_volume",
         f"{round_to('_lag', 1)} AS median_lag_days",
         _COMPLETION_RATE,
         _NO_SHOW_RATE,
-    ).orderBy("period_start")
+    )
+    return ordered(measured, ("period_start", True))
 
 
 def trends_long(mart, filters: Filters = Filters(), grain: str = "week") -> DataFrame:
@@ -327,23 +332,21 @@ def zip_report(mart, settings: Settings = Settings(), friction: DataFrame | None
         ],
         round_even,
     )
-    return (
-        with_maxima(filled)
-        .selectExpr(*base.columns, f"{score} AS custom_access_friction_score")
-        .orderBy("custom_access_friction_score", ascending=False)
-    )
+    scored = with_maxima(filled).selectExpr(*base.columns, f"{score} AS custom_access_friction_score")
+    return ordered(scored, ("custom_access_friction_score", False), ("zip_code", True))
 
 
 def appointment_type_no_show(mart, filters: Filters = Filters()) -> DataFrame:
     """No-show rate per appointment type, highest first."""
-    return _no_show_by(mart, "appointment_type", filters).select(
+    found = _no_show_by(mart, "appointment_type", filters).select(
         "appointment_type", "appointment_count", "no_show_count", "no_show_rate_pct"
-    ).orderBy("no_show_rate_pct", "appointment_count", ascending=False)
+    )
+    return ordered(found, ("no_show_rate_pct", False), ("appointment_count", False), ("appointment_type", True))
 
 
 def visit_mode_no_show(mart, filters: Filters = Filters()) -> DataFrame:
     """No-show and completion rate per visit mode, highest no-show rate first."""
-    return _no_show_by(mart, "visit_mode", filters).orderBy("no_show_rate_pct", ascending=False)
+    return ordered(_no_show_by(mart, "visit_mode", filters), ("no_show_rate_pct", False), ("visit_mode", True))
 
 
 def _no_show_by(mart, key: str, filters: Filters) -> DataFrame:
@@ -379,18 +382,16 @@ def segment_completion(mart, filters: Filters = Filters(), settings: Settings =
         counts=_OUTCOMES,
         medians={"_lag": LAG},
     )
-    return (
-        grouped.where(f"_appointments >= {int(settings.min_segment_volume)}")
-        .selectExpr(
-            *person,
-            "visit_mode",
-            "_appointments AS appointment_count",
-            _COMPLETION_RATE,
-            _NO_SHOW_RATE,
-            f"{round_to('_lag', 1)} AS median_referral_to_appointment_days",
-        )
-        .orderBy("completion_rate_pct", "appointment_count", ascending=[True, False])
+    found = grouped.where(f"_appointments >= {int(settings.min_segment_volume)}").selectExpr(
+        *person,
+        "visit_mode",
+        "_appointments AS appointment_count",
+        _COMPLETION_RATE,
+        _NO_SHOW_RATE,
+        f"{round_to('_lag', 1)} AS median_referral_to_appointment_days",
     )
+    keys = [(name, True) for name in (*person, "visit_mode")]
+    return ordered(found, ("completion_rate_pct", True), ("appointment_count", False), *keys)
 
 
 def segment_labels(segments: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ def _orphan_count(mart, rule: str, role: str, key: str, parent: str) -> DataFram
 
 def scorecard(mart, settings: Settings = Settings(), checked_at: datetime | None = None) -> DataFrame:
     """One row per rule with its failed rows and status, by severity and rule."""
-    at = "current_timestamp()" if checked_at is None else f"TIMESTAMP_NTZ '{checked_at:%Y-%m-%d %H:%M:%S}'"
+    at = "CAST(current_timestamp() AS TIMESTAMP_NTZ)" if checked_at is None else f"TIMESTAMP_NTZ '{checked_at:%Y-%m-%d %H:%M:%S}'"
     rows = ", ".join(
         f"named_struct('rule_id', '{r.rule_id}', 'rule_name', '{r.rule_name}', "
         f"'table_name', '{r.table_name}', 'severity', '{r.severity}')"

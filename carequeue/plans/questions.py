@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from carequeue.functions.expressions import IN_PERSON, TELEHEALTH, one_decimal, thousands
+from carequeue.operators.scores import ordered
 from carequeue.params import Filters, Settings
 from carequeue.plans import dashboard
 from carequeue.plans.actions import dynamic_action_queue, funnel_dropoff, top
@@ -71,11 +73,15 @@ def with_route(questions: DataFrame, text: str = "question") -> DataFrame:
 
 @dataclass(frozen=True)
 class Answer:
-    """A one-row frame with the ``answer`` text, and the rows behind it if there are any."""
+    """A one-row frame with the ``answer`` text, and the rows behind it if there are any, built when asked for."""
 
     route: str
     text: DataFrame
-    rows: DataFrame | None = None
+    build_rows: Callable[[], DataFrame] | None = None
+
+    @property
+    def rows(self) -> DataFrame | None:
+        return self.build_rows and self.build_rows()
 
 
 def ask(question: str, mart, filters: Filters = Filters(), settings: Settings = Settings()) -> Answer:
@@ -105,7 +111,7 @@ def _from_top(route: str, rows: DataFrame, sentence: str, *order: tuple[str, boo
         best=best,
         args={"nothing": NOTHING[route]},
     )
-    return Answer(route, text, rows)
+    return Answer(route, text, lambda: rows)
 
 
 def _clinic_lag(mart, filters, settings) -> Answer:
@@ -130,12 +136,12 @@ def _improvement(mart, filters, settings) -> Answer:
 
 
 def _open_aging(mart, filters, settings) -> Answer:
-    rows = (
-        dashboard.clinic_report(mart, filters, settings)
-        .select("clinic_name", "open_referrals_over_threshold", "clinic_attention_index")
-        .orderBy("open_referrals_over_threshold", ascending=False)
-    )
-    text = dashboard.kpis(mart, filters, settings).selectExpr(
+    def rows() -> DataFrame:
+        report = dashboard.clinic_report(mart, filters, settings)
+        ranked = ordered(report, ("open_referrals_over_threshold", False), ("clinic_id", True))
+        return ranked.select("clinic_name", "open_referrals_over_threshold", "clinic_attention_index")
+
+    text = dashboard.counts(mart, filters, settings).selectExpr(
         f"concat('There are ', {thousands('open_referrals_over_threshold')}, "
         "' appointment-linked behavioral health referrals still open after "
         f"{settings.aging_days} days in the selected filter context. "
@@ -195,7 +201,7 @@ def _visit_mode(mart, filters, settings) -> Answer:
                              ' than in-person no-show rate of ', {one_decimal("in_person_rate")},
                              '% in the selected context.') END AS answer"""
     )
-    return Answer("visit_mode", text, rows)
+    return Answer("visit_mode", text, lambda: rows)
 
 
 def _provider(mart, filters, settings) -> Answer:

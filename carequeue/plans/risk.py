@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -51,11 +52,19 @@ class NoTrainingData(ValueError):
     """There are no appointments to learn from."""
 
 
-def feature_table(mart, settings: Settings = Settings(), friction: DataFrame | None = None) -> DataFrame:
-    """One row per appointment with an outcome: the target and eleven features."""
+def feature_table(
+    mart, settings: Settings = Settings(), friction: DataFrame | None = None, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """One row per appointment with an outcome: the target and eleven features, or those of them named.
+
+    ZIP codes are only scored if their score is among the features.
+    """
     listed = ", ".join(f"'{name}'" for name in OUTCOMES)
-    friction = zip_friction(mart, settings) if friction is None else friction
-    scores = friction.selectExpr("zip_code", "access_friction_score AS zip_access_friction_score")
+    features = [*NUMERIC, *CATEGORICAL] if columns is None else columns
+    scored, scores = "zip_access_friction_score" in features, None
+    if scored:
+        friction = zip_friction(mart, settings) if friction is None else friction
+        scores = friction.selectExpr("zip_code", "access_friction_score AS zip_access_friction_score")
     rows = linked(
         _Outcomes(mart, scores, f"appointment_status IN ({listed})"),
         appointment=[
@@ -73,10 +82,10 @@ def feature_table(mart, settings: Settings = Settings(), friction: DataFrame | N
             "insurance_type",
             "age_group",
             "transportation_risk_flag",
-            "zip_access_friction_score",
+            *(["zip_access_friction_score"] if scored else []),
         ],
     )
-    return rows.selectExpr(
+    found = rows.selectExpr(
         "appointment_id",
         f"{status('no_show')} AS {TARGET}",
         f"CAST({LAG} AS BIGINT) AS days_from_referral_to_appointment",
@@ -87,23 +96,24 @@ def feature_table(mart, settings: Settings = Settings(), friction: DataFrame | N
         "insurance_type",
         "age_group",
         "transportation_risk_flag",
-        "zip_access_friction_score",
+        *(["zip_access_friction_score"] if scored else []),
         "clinic_id",
         "referral_priority",
     )
+    return found if columns is None else found.select("appointment_id", TARGET, *columns)
 
 
 class _Outcomes:
     """A mart limited to some appointments, whose patients carry their ZIP's friction score."""
 
-    def __init__(self, mart, scores: DataFrame, rows: str):
+    def __init__(self, mart, scores: DataFrame | None, rows: str):
         self.mart, self.scores, self.rows = mart, scores, rows
         self.patient_from_referral = mart.patient_from_referral
 
     def table(self, role: str, *columns: str) -> DataFrame:
         if role == "appointment":
             return self.mart.table(role, *columns).where(self.rows)
-        if role != "patient":
+        if role != "patient" or self.scores is None:
             return self.mart.table(role, *columns)
         own = [name for name in columns if name != "zip_access_friction_score"]
         return (

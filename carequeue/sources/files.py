@@ -8,20 +8,44 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from carequeue.sources.schemas import FACT_ORDER, METRICS, PREDICTIONS, ROLE_TABLES, SCHEMAS
+from carequeue.sources.schemas import FACT_ORDER, KEYS, METRICS, PREDICTIONS, ROLE_TABLES, SCHEMAS
 
 
 class MissingSource(FileNotFoundError):
     """A table's file is not where it should be."""
 
 
-def read_table(spark: SparkSession, folder: str, table: str, form: str = "csv") -> DataFrame:
+# How CSV files are written and read: quotes inside quotes are doubled.
+CSV = {"header": True, "quote": '"', "escape": '"'}
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """CSV files with header, columns found by their names.
+
+    The header may have any order and more columns, but must be the same in all files. A cell that is not of its
+    column's type fails the job. Cells with line ends need ``multi_line``, with which a file is read by one task.
+    """
+    names = spark.read.options(**CSV, multiLine=multi_line).csv(path).columns
+    wanted = StructType.fromDDL(schema)
+    missing = [field.name for field in wanted if field.name not in names]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    found = StructType([wanted[name] if name in wanted.names else StructField(name, StringType()) for name in names])
+    reader = spark.read.schema(found).options(**CSV, enforceSchema=False, mode="FAILFAST", multiLine=multi_line)
+    return reader.csv(path).select(wanted.names)
+
+
+def read_table(
+    spark: SparkSession, folder: str, table: str, form: str = "csv", multi_line: bool = False
+) -> DataFrame:
     """One table of the mart, from ``<folder>/<table>.<form>`` (CSV with header, or parquet)."""
     path = f"{folder.rstrip('/')}/{table}.{form}"
-    reader = spark.read.schema(SCHEMAS[table])
     try:
-        return reader.option("header", True).csv(path) if form == "csv" else reader.parquet(path)
+        if form == "csv":
+            return read_csv(spark, path, SCHEMAS[table], multi_line)
+        return spark.read.schema(SCHEMAS[table]).parquet(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise MissingSource(f"Missing {path}: table {table} has no source file") from error
@@ -35,6 +59,8 @@ def load_tables(
 
     Facts are written in date ranges of even size, so that a date window skips most row groups.
     """
+    if target is not None and form == "parquet" and target.rstrip("/") == folder.rstrip("/"):
+        raise ValueError(f"{target} can't be refreshed from itself")
     tables = {name: read_table(spark, folder, name, form) for name in SCHEMAS}
     if target is None:
         return tables
@@ -54,6 +80,20 @@ def load_audit(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def repeated_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, str] = KEYS) -> DataFrame:
+    """(table_name, repeated_keys) for every table whose key the reports take to be unique: keys that several rows have."""
+    counts = [
+        tables[name]
+        .where(F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count_if(F.col("n") > 1).alias("repeated_keys"))
+        .select(F.lit(name).alias("table_name"), "repeated_keys")
+        for name, key in keys.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def register_views(views: Mapping[str, DataFrame]) -> None:
     """Register each frame as a temporary view, replacing one of the same name."""
     for name, frame in views.items():
@@ -70,7 +110,7 @@ def write_parquet(frame: DataFrame, path: str) -> None:
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
-    frame.write.mode("overwrite").option("header", True).csv(path)
+    frame.write.mode("overwrite").options(**CSV).csv(path)
 
 
 def write_json(frame: DataFrame, path: str) -> None:
@@ -78,7 +118,7 @@ def write_json(frame: DataFrame, path: str) -> None:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PREDICTIONS).option("header", True).csv(path)
+    return read_csv(spark, path, PREDICTIONS)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

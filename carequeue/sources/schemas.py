@@ -44,6 +44,15 @@ ROLE_TABLES = {
     "screening": "fact_screening",
 }
 
+# Keys that the reports take to be unique.
+KEYS = {
+    "dim_clinic": "clinic_id",
+    "dim_zip_code": "zip_code",
+    "dim_patient": "patient_id",
+    "dim_provider": "provider_id",
+    "fact_referral": "referral_id",
+}
+
 # Date that the reports filter each fact table by, and the key that splits a busy day.
 FACT_ORDER = {
     "fact_referral": ("referral_created_date", "referral_id"),
@@ -58,3 +67,8 @@ METRICS = (
     "accuracy double, precision double, recall double, f1 double, roc_auc double, "
     "confusion_matrix array<array<bigint>>, model_note string"
 )
+
+SCORECARD = (
+    "rule_id string, rule_name string, table_name string, severity string, failed_row_count bigint, "
+    "status string, checked_at timestamp_ntz"
+)

@@ -107,7 +107,7 @@ ROLES = {
 }
 
 # role -> rows of its table that take part
-ROWS = {"encounter": "l_returnflag = 'A' AND l_quantity < 48"}
+ROWS = {"encounter": "l_returnflag = 'A'"}
 
 # (role, column) -> (key in the role, table, its key, its value)
 LOOKUPS = {
@@ -125,18 +125,8 @@ AREA_RATES = {
 }
 
 
-# Tables large enough to be worth splitting, and the key to split them by.
-FACT_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
-SPLITS = "spark.carequeue.scan.splits"
-
-
 class TpchMart:
-    """Role tables over ``<folder>/<table>.parquet``.
-
-    A file of one row group is read by one task, and all work up to the first shuffle stays in it.
-    For such small inputs the session may set ``spark.carequeue.scan.splits`` to spread the fact tables
-    right after the scan; left unset, as for any table of many files, nothing is shuffled early.
-    """
+    """Role tables over ``<folder>/<table>.parquet``."""
 
     #: the patient of an appointment is the patient of its referral
     patient_from_referral = True
@@ -149,9 +139,7 @@ class TpchMart:
     def raw(self, name: str) -> DataFrame:
         """A parquet table, its footer read once per mart."""
         if name not in self._frames:
-            frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-            splits = self.spark.conf.get(SPLITS, None) if name in FACT_KEYS else None
-            self._frames[name] = frame.repartition(int(splits), FACT_KEYS[name]) if splits else frame
+            self._frames[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._frames[name]
 
     def table(self, role: str, *columns: str) -> DataFrame:

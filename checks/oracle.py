@@ -5,7 +5,7 @@ from __future__ import annotations
 from carequeue.plans.actions import SUMMARY_TEXT
 from carequeue.plans.questions import ROUTES
 from carequeue.plans.quality import RULES
-from checks.queries import QUESTIONS
+from checks.queries import ASKED as QUESTIONS
 
 AS_OF = "DATE '2001-08-01'"
 
@@ -39,7 +39,7 @@ person AS (
 provider AS (
   SELECT s_suppkey AS provider_id, s_name AS provider_name, s_nationkey AS home_clinic,
          CASE WHEN s_acctbal >= 5000 THEN 'Therapist' ELSE 'Social Worker' END AS provider_type,
-         20 + s_suppkey % 16 AS slots, s_acctbal >= 0 AS active
+         20 + s_suppkey % 16 AS slots
   FROM supplier),
 clinic AS (
   SELECT n_nationkey AS clinic_id, n_name AS clinic_name, r_name AS clinic_group,
@@ -52,7 +52,7 @@ area AS (
          avg(CASE WHEN c_mktsegment = 'FURNITURE' THEN 1.0 ELSE 0.0 END) AS language
   FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY ALL),
 encounter AS (
-  SELECT l_orderkey * 10 + l_linenumber AS encounter_id FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 48),
+  SELECT l_orderkey * 10 + l_linenumber AS encounter_id FROM lineitem WHERE l_returnflag = 'A'),
 followup AS (
   SELECT event_id * 10 + 1 AS encounter_id, event_type = 'purchase' AS done FROM events),
 linked AS (
@@ -113,15 +113,19 @@ def zero_share(name: str) -> str:
     return f"coalesce(coalesce({name}, 0) / nullif(max(coalesce({name}, 0)) OVER (), 0), 0)"
 
 
-CUSTOM = [
-    *FRICTION,
-    f"""custom AS (
-  SELECT *, round_even(100 * (0.25::DOUBLE * {zero_share('lag')} + 0.20::DOUBLE * {zero_share('no_show_rate_pct')}
-                  + 0.15::DOUBLE * coalesce(transportation, 0) + 0.15::DOUBLE * coalesce(underinsured, 0)
-                  + 0.10::DOUBLE * coalesce(language, 0) + 0.10::DOUBLE * {zero_share('open_rate')}
-                  + 0.05::DOUBLE * (1 - {zero_share('tele_rate')})), 2) AS custom_score
+def custom(w: tuple[str, ...] = ("0.25", "0.20", "0.15", "0.15", "0.10", "0.10", "0.05")) -> list[str]:
+    return [
+        *FRICTION,
+        f"""custom AS (
+  SELECT *, round_even(100 * ({w[0]}::DOUBLE * {zero_share('lag')} + {w[1]}::DOUBLE * {zero_share('no_show_rate_pct')}
+                  + {w[2]}::DOUBLE * coalesce(transportation, 0) + {w[3]}::DOUBLE * coalesce(underinsured, 0)
+                  + {w[4]}::DOUBLE * coalesce(language, 0) + {w[5]}::DOUBLE * {zero_share('open_rate')}
+                  + {w[6]}::DOUBLE * (1 - {zero_share('tele_rate')})), 2) AS custom_score
   FROM friction)""",
-]
+    ]
+
+
+CUSTOM = custom()
 
 PERFORMANCE = [
     f"""performance AS (
@@ -148,7 +152,8 @@ ATTENTION = [
 ]
 
 
-def report(where: str = "true") -> list[str]:
+def report(where: str = "true", weights: tuple[str, ...] = ("0.35", "0.25", "0.20", "0.20")) -> list[str]:
+    lag, no_show, open_aging, capacity = weights
     return [
         f"""facts AS (
   SELECT clinic_id, clinic_name, clinic_group, count(DISTINCT referral_id) AS referral_volume,
@@ -158,14 +163,34 @@ def report(where: str = "true") -> list[str]:
          round(count(DISTINCT appointment_id) / nullif(max(slots) * 4.0::DOUBLE, 0) * 100, 2) AS utilization
   FROM linked WHERE {where} GROUP BY clinic_id, clinic_name, clinic_group)""",
         f"""report AS (
-  SELECT *, round(100 * (0.35::DOUBLE * coalesce({share('lag')}, 0)
-                  + 0.25::DOUBLE * coalesce({share('no_show_rate_pct')}, 0)
-                  + 0.20::DOUBLE * coalesce({share('open_count')}, 0)
-                  + 0.20::DOUBLE * coalesce({share('utilization')}, 0)), 2) AS score
+  SELECT *, round(100 * ({lag}::DOUBLE * coalesce({share('lag')}, 0)
+                  + {no_show}::DOUBLE * coalesce({share('no_show_rate_pct')}, 0)
+                  + {open_aging}::DOUBLE * coalesce({share('open_count')}, 0)
+                  + {capacity}::DOUBLE * coalesce({share('utilization')}, 0)), 2) AS score
   FROM facts)""",
     ]
 
 
+def clinic_rows(*weights: tuple[str, ...]) -> str:
+    return query(
+        """SELECT clinic_id, clinic_name, clinic_group, referral_volume, appointment_volume,
+                  lag AS median_referral_to_appointment_days, completion_rate_pct, no_show_rate_pct,
+                  open_count AS open_referrals_over_threshold, utilization AS monthly_capacity_utilization_pct,
+                  score AS clinic_attention_index FROM report""",
+        *report("true", *weights),
+    )
+
+
+def zip_rows(*weights: tuple[str, ...]) -> str:
+    return query(
+        f"SELECT {FRICTION_COLUMNS}, custom_score AS custom_access_friction_score FROM filled",
+        *custom(*weights),
+        """filled AS (
+  SELECT * REPLACE (coalesce(lag, 0) AS lag, coalesce(no_show_rate_pct, 0) AS no_show_rate_pct,
+                    coalesce(open_rate, 0) AS open_rate, coalesce(tele_rate, 0) AS tele_rate) FROM custom)""",
+    )
+
+
 def kpi(name: str, where: str) -> str:
     return f"""{name} AS (
   SELECT CAST(count(DISTINCT referral_id) AS BIGINT) AS total_referrals,
@@ -204,7 +229,7 @@ def trends(grain: str) -> str:
     )
 
 
-def queue(where: str) -> list[str]:
+def queue(where: str, zips: str = "") -> list[str]:
     return [
         *CUSTOM,
         *report(where),
@@ -222,7 +247,7 @@ def queue(where: str) -> list[str]:
          concat_ws('; ', CASE WHEN custom_score >= 60 THEN printf('access friction %.1f', custom_score) END,
                    CASE WHEN no_show_rate_pct >= 18 THEN printf('no-show rate %.1f%%', no_show_rate_pct) END,
                    CASE WHEN open_rate >= 20 THEN printf('open aging rate %.1f%%', open_rate) END)
-  FROM (SELECT * FROM custom ORDER BY custom_score DESC, zip_code LIMIT 10))""",
+  FROM (SELECT * FROM custom ORDER BY custom_score DESC, zip_code {zips}))""",
     ]
 
 
@@ -303,7 +328,7 @@ QUALITY = [
   UNION ALL SELECT 'DQ011', (SELECT count(*) FROM referral WHERE state = 'closed' AND closure_reason IS NULL)
   UNION ALL SELECT 'DQ012', (SELECT count(*) FROM person LEFT JOIN area USING (zip_code) WHERE area_name IS NULL)
   UNION ALL SELECT 'DQ013', (SELECT count(*) FROM visit
-    WHERE provider_id NOT IN (SELECT provider_id FROM provider WHERE active))
+    WHERE provider_id NOT IN (SELECT provider_id FROM provider))
   UNION ALL SELECT 'DQ014', (SELECT count(*) FROM visit v LEFT JOIN clinic c USING (clinic_id) WHERE clinic_name IS NULL)
   UNION ALL SELECT 'DQ015', (SELECT count(*) FROM visit WHERE referral_id NOT IN (SELECT referral_id FROM referral)))""",
     """card AS (
@@ -316,8 +341,6 @@ QUALITY = [
          count(*) FILTER (status = 'fail' AND severity = 'warning') AS warning_failures, count(*) AS rule_count
   FROM card)""",
 ]
-# The mart of the context query lists every provider.
-FULL_QUALITY = [text.replace("FROM provider WHERE active", "FROM provider") for text in QUALITY]
 
 FEATURES = [
     *FRICTION,
@@ -399,7 +422,7 @@ def context(expression: str) -> str:
           'data_quality_score_pct': (SELECT data_quality_score_pct FROM checked),
           'top_operational_actions': {actions}}} AS m
   FROM kpi)"""
-    return query(f"SELECT {expression} FROM metrics", *queue(WINDOW), kpi("kpi", WINDOW), *FULL_QUALITY, body)
+    return query(f"SELECT {expression} FROM metrics", *queue(WINDOW, "LIMIT 10"), kpi("kpi", WINDOW), *QUALITY, body)
 
 
 def summary_text() -> str:
@@ -599,15 +622,22 @@ def all_sql() -> dict[str, str]:
         ),
         "filter_all_selected": query("SELECT * FROM kpi", *FRICTION, kpi("kpi", "true")),
         "kpi_window": query("SELECT * FROM kpi", *window_kpi),
+        "kpi_selected": query(
+            "SELECT * FROM kpi",
+            *FRICTION,
+            kpi(
+                "kpi",
+                "clinic_name IN ('NATION_1', 'NATION_7', 'NATION_12', 'NATION_20') AND kind IN ('MEDIUM', 'PROMO')",
+            ),
+        ),
+        "kpi_from": query("SELECT * FROM kpi", *FRICTION, kpi("kpi", "day >= DATE '1999-07-01'")),
+        "kpi_until": query("SELECT * FROM kpi", *FRICTION, kpi("kpi", "day <= DATE '1994-06-30'")),
+        "clinic_perf_weights": clinic_rows(("(50 / 65::DOUBLE)", "(10 / 65::DOUBLE)", "0", "(5 / 65::DOUBLE)")),
+        "clinic_perf_no_weights": clinic_rows(("0", "0", "0", "0")),
+        "zip_friction_weights": zip_rows(tuple(f"({n} / 45::DOUBLE)" for n in (9, 0, 30, 0, 1, 2, 3))),
         "kpi_prior_period": query(f"SELECT {sides} FROM current_window CROSS JOIN prior_window", *both),
         "kpi_delta": query(deltas, *both),
-        "clinic_perf_filtered": query(
-            """SELECT clinic_id, clinic_name, clinic_group, referral_volume, appointment_volume,
-                      lag AS median_referral_to_appointment_days, completion_rate_pct, no_show_rate_pct,
-                      open_count AS open_referrals_over_threshold, utilization AS monthly_capacity_utilization_pct,
-                      score AS clinic_attention_index FROM report""",
-            *report(),
-        ),
+        "clinic_perf_filtered": clinic_rows(),
         **{f"access_trends_{grain}": trends(grain) for grain in ("day", "week", "month", "year")},
         "trends_long": query(
             " UNION ALL ".join(
@@ -616,13 +646,7 @@ def all_sql() -> dict[str, str]:
             ),
             f"months AS (SELECT {month} AS period_start, {TRENDS} FROM linked GROUP BY 1)",
         ),
-        "zip_friction_custom": query(
-            f"SELECT {FRICTION_COLUMNS}, custom_score AS custom_access_friction_score FROM filled",
-            *CUSTOM,
-            """filled AS (
-  SELECT * REPLACE (coalesce(lag, 0) AS lag, coalesce(no_show_rate_pct, 0) AS no_show_rate_pct,
-                    coalesce(open_rate, 0) AS open_rate, coalesce(tele_rate, 0) AS tele_rate) FROM custom)""",
-        ),
+        "zip_friction_custom": zip_rows(),
         "appt_type_no_show": query("SELECT * FROM kinds", KINDS),
         "visit_mode_no_show": query("SELECT * FROM modes", MODES),
         "visit_mode_compare": query(
@@ -639,6 +663,7 @@ def all_sql() -> dict[str, str]:
         "provider_capacity": query("SELECT * FROM providers", PROVIDERS),
         "improvement_last30": query("SELECT * FROM improved", *IMPROVED),
         "action_queue_dynamic": query(f"SELECT {QUEUE_COLUMNS} FROM queue WHERE why <> ''", *queue("true")),
+        "action_queue_page": query(f"SELECT {QUEUE_COLUMNS} FROM queue WHERE why <> ''", *queue("true", "LIMIT 10")),
         "funnel_dropoff": query("SELECT * FROM drops", STAGES, DROPS),
         "funnel_largest_drop": query(
             "SELECT * FROM drops ORDER BY dropoff_from_prior_stage DESC, stage_order LIMIT 1", STAGES, DROPS
@@ -664,17 +689,17 @@ def all_sql() -> dict[str, str]:
             *window_kpi,
         ),
         "scenario_capacity": query(
-            """SELECT CAST(g AS INTEGER) AS extra_slots_per_week, CAST(g * 100 AS BIGINT) AS added_monthly_slots,
+            """SELECT CAST(g AS INTEGER) AS extra_slots_per_week, CAST(g * 4 * n AS BIGINT) AS added_monthly_slots,
                       open_referrals_over_threshold AS backlog,
-                      least(open_referrals_over_threshold, g * 100) AS potential_backlog_coverage
-               FROM kpi CROSS JOIN range(0, 31, 5) t(g)""",
+                      least(open_referrals_over_threshold, g * 4 * n) AS potential_backlog_coverage
+               FROM kpi CROSS JOIN range(0, 31, 5) t(g) CROSS JOIN (SELECT count(*) AS n FROM clinic)""",
             *window_kpi,
         ),
         "metric_context": context("CAST(to_json(m) AS VARCHAR) AS metrics_json"),
         "executive_summary": context(summary_text()),
         "question_route": query(
             f"""SELECT question_id, CASE WHEN trim(q) = '' THEN 'empty' {ROUTE} ELSE 'fallback' END AS route
-                FROM (SELECT event_id AS question_id, lower(CASE {ASKED} END) AS q FROM events
+                FROM (SELECT event_id AS question_id, lower(concat_ws(' ', user_id::VARCHAR, event_type, CASE {ASKED} END, props, value::VARCHAR)) AS q FROM events
                       UNION ALL SELECT -(conv_id * 1000 + turn) - 1, lower(text) FROM conversations)"""
         ),
         "answer_clinic_lag": first(
@@ -788,6 +813,26 @@ def all_sql() -> dict[str, str]:
                            FROM scored GROUP BY p))""",
             *SCORED,
         ),
+        "through_views": query(
+            """SELECT zip_code, score AS access_friction_score, (SELECT max(score) FROM attention) AS worst,
+                      (SELECT count(*) FROM card WHERE status = 'fail') AS failing
+               FROM friction WHERE score >= 40""",
+            *FRICTION,
+            *ATTENTION,
+            *QUALITY,
+        ),
+        "repeated_keys": query(
+            " UNION ALL ".join(
+                f"SELECT '{role}' AS table_name, (SELECT count(*) FROM (SELECT {key} FROM {table} GROUP BY {key} "
+                f"HAVING count({key}) > 1)) AS repeated_keys"
+                for role, table, key in (
+                    ("referral", "referral", "referral_id"),
+                    ("appointment", "visit", "appointment_id"),
+                    ("patient", "person", "patient_id"),
+                    ("clinic", "clinic", "clinic_id"),
+                )
+            )
+        ),
         "dq_scorecard": query("SELECT * FROM card", *QUALITY),
         "dq_summary": query("SELECT * FROM checked", *QUALITY),
         "dq_by_table": query(
@@ -796,7 +841,7 @@ def all_sql() -> dict[str, str]:
             *QUALITY,
         ),
         "orphan_rows": query(
-            """SELECT provider_id, count(*) AS row_count FROM visit
-               WHERE provider_id NOT IN (SELECT provider_id FROM provider WHERE active) GROUP BY provider_id"""
+            """SELECT encounter_id, count(*) AS row_count FROM followup
+               WHERE encounter_id NOT IN (SELECT encounter_id FROM encounter) GROUP BY encounter_id"""
         ),
     }

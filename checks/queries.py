@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date, datetime
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carequeue.functions.expressions import flag
+from carequeue.operators.settle import settled
 from carequeue.operators.summary import summarise
-from carequeue.params import Filters, Selection, Settings
-from carequeue.plans import actions, dashboard, quality, questions, risk, views
-from carequeue.sources.files import load_audit
+from carequeue.params import ClinicWeights, Filters, Selection, Settings, ZipWeights
+from carequeue.plans import actions, catalog, dashboard, quality, questions, risk, views
+from carequeue.sources.files import load_audit, repeated_keys
 from carequeue.sources.tpch import ROLES, TpchMart
 
 SETTINGS = Settings(as_of=date(2001, 8, 1))
@@ -26,31 +27,29 @@ WINDOW = Filters(
     insurance_types=Selection(["BUILDING", "HOUSEHOLD", "MACHINERY"], INSURANCE),
 )
 EVERYTHING = Filters(visit_modes=Selection(MODES, MODES), insurance_types=Selection(INSURANCE, INSURANCE))
-DIRECTORY = "active_flag"
-
-# A question for each event, by its type and the last digit of its id, in mixed case and padding.
-QUESTIONS = {
-    ("view", 0): "  Which CLINICS have the highest median referral-to-appointment lag?",
-    ("view", 1): "Which clinics have improved access over the last 30 days? ",
-    ("signup", 0): "How many referrals are still OPEN after 21 days?",
-    ("signup", 1): "Where are patients dropping off in the referral funnel?",
-    ("error", 0): "Which ZIP codes have the highest access friction score?",
-    ("error", 1): "Which appointment types have the highest no-show rate?",
-    ("click", 0): "Are telehealth visits associated with lower no-show rates?",
-    ("click", 1): "Which PROVIDERS have capacity constraints?",
-    ("purchase", 0): "Which patient segments are least likely to complete a visit?",
-    ("purchase", 1): "What should leadership do this week?",
-}
-
 
-class Directory(TpchMart):
-    """The mart with a provider directory that lists active providers only, so that orphans exist."""
+# Weights whose sum is not 100, and none at all.
+WEIGHTED = replace(SETTINGS, clinic_weights=ClinicWeights(50, 10, 0, 5), zip_weights=ZipWeights(9, 0, 30, 0, 1, 2, 3))
+UNWEIGHTED = replace(SETTINGS, clinic_weights=ClinicWeights(0, 0, 0, 0))
+CLINICS = ["NATION_1", "NATION_7", "NATION_12", "NATION_20"]
+SELECTED = Filters(
+    clinics=Selection(CLINICS, [*CLINICS, "NATION_2"]),
+    appointment_types=Selection(["MEDIUM", "PROMO"], ["LARGE", "MEDIUM", "PROMO", "STANDARD"]),
+)
 
-    def table(self, role: str, *columns: str) -> DataFrame:
-        if role != "provider":
-            return super().table(role, *columns)
-        listed = super().table(role, *dict.fromkeys([*columns, DIRECTORY])).where(DIRECTORY)
-        return listed.select(*columns)
+# What a question is put together from: the event's own words before and after one of these, by type and parity.
+ASKED = {
+    ("view", 0): "slowest clinic by waiting LAG",
+    ("view", 1): "has access IMPROVED in any clinic",
+    ("signup", 0): "count of referrals left open past the limit",
+    ("signup", 1): "biggest drop in our funnel",
+    ("error", 0): "worst zip for friction",
+    ("error", 1): "no-show rate for each appointment type",
+    ("click", 0): "telehealth against in person",
+    ("click", 1): "any Provider short of capacity",
+    ("purchase", 0): "segment that seldom completes",
+    ("purchase", 1): "summary for leadership",
+}
 
 
 def scan_projection(mart) -> DataFrame:
@@ -88,13 +87,30 @@ def scorecard(mart) -> DataFrame:
     return quality.scorecard(mart, SETTINGS, CHECKED_AT)
 
 
+def through_views(mart) -> DataFrame:
+    """ZIP codes of high friction beside the clinics' worst attention index, read through the registered names."""
+    catalog.create_views(mart, SETTINGS, scorecard(mart))
+    return mart.spark.sql(
+        """SELECT zip_code, access_friction_score, (SELECT max(clinic_attention_index) FROM vw_clinic_attention_index) AS worst,
+                  (SELECT count(*) FROM vw_data_quality_scorecard WHERE status = 'fail') AS failing
+           FROM vw_zip_access_friction WHERE access_friction_score >= 40"""
+    )
+
+
+def repeated(mart) -> DataFrame:
+    tables = {role: mart.table(role, key) for role, key in ROLE_KEYS.items()}
+    return repeated_keys(tables, ROLE_KEYS)
+
+
 def orphan_rows(mart) -> DataFrame:
-    return quality.orphan_keys(mart, "appointment", "provider_id", "provider")
+    """Follow-ups of encounters that are not there, by encounter."""
+    return quality.orphan_keys(mart, "followup", "encounter_id", "encounter")
 
 
 def stand_in(mart) -> DataFrame:
     """Scored appointments with a fixed formula in place of the model."""
-    return risk.feature_table(mart, SETTINGS).selectExpr(
+    columns = ["prior_no_show_count", "days_from_scheduled_to_appointment"]
+    return risk.feature_table(mart, SETTINGS, columns=columns).selectExpr(
         "appointment_id",
         "no_show_target",
         "(prior_no_show_count * 7 + days_from_scheduled_to_appointment) / 113D AS predicted_no_show_probability",
@@ -102,7 +118,7 @@ def stand_in(mart) -> DataFrame:
 
 
 def feature_imputed(mart) -> DataFrame:
-    return risk.impute(risk.feature_table(mart, SETTINGS))
+    return risk.impute(settled(risk.feature_table(mart, SETTINGS)))
 
 
 def fill_values(mart) -> DataFrame:
@@ -110,13 +126,13 @@ def fill_values(mart) -> DataFrame:
 
 
 def risk_scores(mart) -> DataFrame:
-    features = risk.feature_table(mart, SETTINGS)
+    features = settled(risk.feature_table(mart, SETTINGS))
     return risk.predictions(risk.score(risk.train(features), features))
 
 
 def model_metrics(mart) -> DataFrame:
-    features = risk.feature_table(mart, SETTINGS)
-    return risk.metrics_document(risk.score(risk.train(features), features)).selectExpr(
+    features = settled(risk.feature_table(mart, SETTINGS))
+    return risk.metrics_document(settled(risk.score(risk.train(features), features))).selectExpr(
         "accuracy", "precision", "recall", "f1", "roc_auc", "to_json(confusion_matrix) AS confusion_matrix"
     )
 
@@ -126,26 +142,28 @@ def stand_in_auc(mart) -> DataFrame:
     return mart.spark.sql(f"SELECT round({area!r}D * 10000, 0) / 10000 AS roc_auc")
 
 
-def queue(mart) -> DataFrame:
+def queue(mart, zip_rows: int | None = None) -> DataFrame:
     clinics = dashboard.clinic_report(mart, EVERYTHING, SETTINGS)
-    return actions.dynamic_action_queue(clinics, dashboard.zip_report(mart, SETTINGS), SETTINGS)
+    return actions.dynamic_action_queue(clinics, dashboard.zip_report(mart, SETTINGS), SETTINGS, zip_rows)
 
 
 def context(mart) -> DataFrame:
     clinics = dashboard.clinic_report(mart, WINDOW, SETTINGS)
     friction = views.zip_friction(mart, SETTINGS)
-    found = actions.dynamic_action_queue(clinics, dashboard.zip_report(mart, SETTINGS, friction), SETTINGS)
+    found = actions.dynamic_action_queue(clinics, dashboard.zip_report(mart, SETTINGS, friction), SETTINGS, actions.PAGE_ZIPS)
     kpi = dashboard.kpis(mart, WINDOW, SETTINGS, friction)
     checked = quality.quality_summary(scorecard(mart))
     return actions.metric_context(kpi, clinics, found, checked, WINDOW, SETTINGS)
 
 
 def question_route(mart) -> DataFrame:
+    """Routes of questions made of events' columns, and of what conversations say (which mostly asks nothing we answer)."""
     cases = " ".join(
-        f"WHEN event_type = '{kind}' AND event_id % 2 = {digit} THEN '{text}'"
-        for (kind, digit), text in QUESTIONS.items()
+        f"WHEN event_type = '{kind}' AND event_id % 2 = {digit} THEN '{text}'" for (kind, digit), text in ASKED.items()
+    )
+    asked = mart.raw("events").selectExpr(
+        "event_id AS question_id", f"concat_ws(' ', ' User', user_id, event_type, CASE {cases} END, props, value, ' ') AS question"
     )
-    asked = mart.raw("events").selectExpr("event_id AS question_id", f"CASE {cases} END AS question")
     said = mart.raw("conversations").selectExpr("-(conv_id * 1000 + turn) - 1 AS question_id", "text AS question")
     routed = questions.with_route(asked.unionByName(said))
     return routed.select("question_id", "route")
@@ -162,7 +180,11 @@ def clinic_top_lag(mart) -> DataFrame:
     return actions.top(report, 10, ("median_referral_to_appointment_days", False), ("clinic_id", True))
 
 
+ROLE_KEYS = {"referral": "referral_id", "appointment": "appointment_id", "patient": "patient_id", "clinic": "clinic_id"}
+
 MART_QUERIES = {
+    "through_views": through_views,
+    "repeated_keys": repeated,
     "scan_projection": scan_projection,
     "load_audit": audit,
     "filter_in_list": filter_in_list,
@@ -202,16 +224,23 @@ MART_QUERIES = {
     "provider_capacity": lambda m: dashboard.provider_report(m, EVERYTHING),
     "improvement_last30": lambda m: dashboard.clinic_improvement(m, EVERYTHING),
     "action_queue_dynamic": queue,
+    "action_queue_page": lambda m: queue(m, actions.PAGE_ZIPS),
     "funnel_dropoff": actions.funnel_dropoff,
     "funnel_largest_drop": actions.largest_dropoff,
     "clinic_top_lag": clinic_top_lag,
     "clinic_open_aging": lambda m: questions.answer("open_aging", m, EVERYTHING, SETTINGS).rows,
     "scenario_outreach": lambda m: actions.outreach_scenarios(
-        dashboard.kpis(m, WINDOW, SETTINGS), range(0, 51, 10)
+        dashboard.counts(m, WINDOW, SETTINGS), range(0, 51, 10)
     ),
     "scenario_capacity": lambda m: actions.capacity_scenarios(
-        dashboard.kpis(m, WINDOW, SETTINGS), 25, range(0, 31, 5)
+        dashboard.counts(m, WINDOW, SETTINGS), m.table("clinic", "clinic_id"), range(0, 31, 5)
     ),
+    "kpi_selected": lambda m: dashboard.kpis(m, SELECTED, SETTINGS),
+    "kpi_from": lambda m: dashboard.kpis(m, Filters(start=date(1999, 7, 1)), SETTINGS),
+    "kpi_until": lambda m: dashboard.kpis(m, Filters(end=date(1994, 6, 30)), SETTINGS),
+    "clinic_perf_weights": lambda m: dashboard.clinic_report(m, EVERYTHING, WEIGHTED),
+    "zip_friction_weights": lambda m: dashboard.zip_report(m, WEIGHTED),
+    "clinic_perf_no_weights": lambda m: dashboard.clinic_report(m, EVERYTHING, UNWEIGHTED),
     "metric_context": lambda m: actions.context_json(context(m)),
     "executive_summary": lambda m: actions.executive_summary(context(m)),
     "question_route": question_route,
@@ -228,10 +257,6 @@ MART_QUERIES = {
     "roc_auc": stand_in_auc,
     "risk_scores": risk_scores,
     "model_metrics": model_metrics,
-}
-
-# Queries over the mart whose provider directory has gaps.
-DIRECTORY_QUERIES = {
     "dq_scorecard": scorecard,
     "dq_summary": lambda m: quality.quality_summary(scorecard(m)),
     "dq_by_table": lambda m: quality.quality_by_table(scorecard(m)),
@@ -239,20 +264,13 @@ DIRECTORY_QUERIES = {
 }
 
 
-@lru_cache(maxsize=8)
-def open_mart(mart_type, spark: SparkSession, folder: str) -> TpchMart:
-    """One mart per session and folder, so that footers are read once."""
-    return mart_type(spark, folder)
-
-
-def bind(build, mart_type):
-    return lambda spark, folder: build(open_mart(mart_type, spark, folder))
+def bind(build):
+    return lambda spark, folder: build(TpchMart(spark, folder))
 
 
 def all_queries():
-    found = {name: bind(build, TpchMart) for name, build in MART_QUERIES.items()}
-    return found | {name: bind(build, Directory) for name, build in DIRECTORY_QUERIES.items()}
+    return {name: bind(build) for name, build in MART_QUERIES.items()}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return views.clinic_attention_index(open_mart(TpchMart, spark, folder), SETTINGS)
+    return views.clinic_attention_index(TpchMart(spark, folder), SETTINGS)

@@ -74,3 +74,19 @@ def test_weights(spark):
     table = weights_table(spark, Settings()).collect()
     assert len(table) == 11
     assert (table[0].score, table[0].component, table[0].weight_pct) == ("Clinic Attention", "Lag", 35.0)
+
+
+def test_half_open_windows(spark):
+    rows = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-01-10')) AS appointment_date")
+    for filters, n in (
+        (Filters(start=date(2024, 1, 4)), 7),
+        (Filters(end=date(2024, 1, 4)), 4),
+        (Filters(end=date(2023, 1, 4)), 0),
+        (Filters(), 10),
+    ):
+        kept = rows
+        for test in filters.on_appointment():
+            kept = kept.where(test)
+        assert kept.count() == n
+    with pytest.raises(ValueError, match="prior"):
+        Filters(start=date(2024, 1, 4)).prior()

@@ -2,7 +2,7 @@ import pytest
 
 from carequeue.sources import files
 from carequeue.sources.schemas import SCHEMAS
-from carequeue.sources.tpch import SPLITS, TpchMart
+from carequeue.sources.tpch import TpchMart
 from tests.conftest import SMALL
 
 
@@ -40,10 +40,46 @@ def test_only_needed_tables_are_read(spark):
     assert "supplier" not in plan and "s_suppkey" not in plan and "p_partkey" not in plan
 
 
-def test_splits_setting(spark):
-    spark.conf.set(SPLITS, "3")
-    try:
-        assert "Repartition" in TpchMart(spark, SMALL).raw("lineitem")._jdf.queryExecution().toString()
-    finally:
-        spark.conf.unset(SPLITS)
-    assert "Repartition" not in TpchMart(spark, SMALL).raw("lineitem")._jdf.queryExecution().toString()
+
+CELLS = "clinic_id string, clinic_name string, weekly_intake_slot_capacity bigint, opened date"
+
+
+def written(folder, text, name="cells.csv"):
+    path = folder / name
+    path.write_text(text)
+    return str(path)
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    path = written(tmp_path, 'opened,extra,clinic_name,weekly_intake_slot_capacity,clinic_id\n2024-01-02,x,"Adult ""A"" Clinic",12,C1\n')
+    row = files.read_csv(spark, path, CELLS).first()
+    assert (row.clinic_id, row.clinic_name, row.weekly_intake_slot_capacity, str(row.opened)) == ("C1", 'Adult "A" Clinic', 12, "2024-01-02")
+    with pytest.raises(ValueError, match="clinic_name"):
+        files.read_csv(spark, written(tmp_path, "clinic_id\nC1\n", "few.csv"), CELLS)
+
+
+def test_csv_cell_of_the_wrong_type_fails(spark, tmp_path):
+    path = written(tmp_path, "clinic_id,clinic_name,weekly_intake_slot_capacity,opened\nC1,A,twelve,2024-01-02\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        files.read_csv(spark, path, CELLS).collect()
+
+
+def test_csv_round_trip_of_quotes_and_line_ends(spark, tmp_path):
+    rows = [("C1", 'one "two", three', 1, None), ("C2", "line\nend", None, None), ("C3", None, 3, None)]
+    frame = spark.createDataFrame(rows, CELLS)
+    files.write_csv(frame.coalesce(1), str(tmp_path / "out"))
+    again = files.read_csv(spark, str(tmp_path / "out"), CELLS, multi_line=True)
+    assert sorted(again.collect(), key=str) == sorted(frame.collect(), key=str)
+
+
+def test_refresh_from_itself_is_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="itself"):
+        files.load_tables(spark, str(tmp_path), f"{tmp_path}/", "parquet")
+
+
+def test_repeated_keys(spark, mart):
+    tables = dict(mart.tables)
+    assert {r.repeated_keys for r in files.repeated_keys(tables).collect()} == {0}
+    tables["dim_clinic"] = tables["dim_clinic"].union(tables["dim_clinic"])
+    found = {r.table_name: r.repeated_keys for r in files.repeated_keys(tables).collect()}
+    assert found["dim_clinic"] == mart.tables["dim_clinic"].count()

@@ -160,6 +160,6 @@ def test_scenarios(mart, settings):
     # Half of one no-show rounds to the even number.
     assert [outreach[p]["recovered_appointments"] for p in (0, 50, 100)] == [0, 0, 1]
     assert outreach[100]["scenario_no_show_rate_pct"] == 0.0
-    capacity = rows_of(actions.capacity_scenarios(kpi, 2, [0, 1]), "extra_slots_per_week")
+    capacity = rows_of(actions.capacity_scenarios(kpi, kpi.sparkSession.range(2), [0, 1]), "extra_slots_per_week")
     assert (capacity[1]["added_monthly_slots"], capacity[1]["potential_backlog_coverage"]) == (8, 2)
     assert capacity[0]["potential_backlog_coverage"] == 0
