@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 import public_tokenizers
@@ -19,8 +23,13 @@ from carequeue.llm.shared import shared_folder, table
 TOKENIZER = "word_bpe_49k.json"
 END = 1
 #: Text, in characters, of words that are encoded together, and words a worker process remembers.
-GROUP_CHARS = 4_000_000
-WORDS = 300_000
+GROUP_CHARS = 8_000_000
+WORDS = 800_000
+BATCH = 50
+SPECIAL = "<|"
+_PLAIN = re.compile("[a-z]+")
+_STOPPED = re.compile(r"([^\W_]+)([.,;:!?]+)")
+
 #: Rows of a file, whose offsets count from its start.
 FILE_SCHEMA = "file int, doc_id bigint, offset bigint, ids array<int>"
 ORC_OPTIONS = {
@@ -36,36 +45,68 @@ ORC_OPTIONS = {
 class WordEncoder:
     """Encodes texts by their parts between spaces and line ends, each part once.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are its parts' ids in turn. Parts not met
-    before are encoded together as one text, and each id goes to the part that its place lies in.
+    The tokenizer drops white space, lowers case and lets no token span white space, or a word and the stops after
+    it, so a text's ids are its parts' ids in turn. Parts are learned when first met: plain words from the
+    tokenizer's model, others through the whole tokenizer.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers: dict[str, int] = defaultdict(count().__next__)
+        self.single: dict[str, list[int]] = {}
+        self.starts = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
+
+    def _learn_single(self, words: set[str]) -> None:
+        """Ids of words and of runs of stops."""
+        model, others = self.tokenizer.model, []
+        for word in words - self.single.keys():
+            if _PLAIN.fullmatch(word):
+                self.single[word] = [token.id for token in model.tokenize(word)]
+            else:
+                others.append(word)
+        for begin in range(0, len(others), BATCH):
+            part = others[begin : begin + BATCH]
+            found = self.tokenizer.encode_batch(part, add_special_tokens=False)
+            self.single.update(zip(part, (one.ids for one in found)))
 
     def _learn(self, parts: list[str]) -> None:
-        text = " ".join(parts)
-        encoded = self.tokenizer.encode(text, add_special_tokens=False)
-        ids = np.array(encoded.ids, np.int32)
-        starts = np.array([start for start, _ in encoded.offsets], np.int64).reshape(-1)
-        ends = np.cumsum([len(part) + 1 for part in parts])
-        cuts = np.searchsorted(starts, ends[:-1])
-        for part, own in zip(parts, np.split(ids, cuts), strict=True):
-            self.known[part] = own
+        """Append the ids of parts that have just been numbered."""
+        split = [found.groups() if (found := _STOPPED.fullmatch(part)) else (part,) for part in parts]
+        self._learn_single({word for words in split for word in words})
+        ids = [[i for word in words for i in self.single[word]] for words in split]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.ids = np.append(self.ids, np.fromiter((i for own in ids for i in own), np.int32, int(sizes.sum())))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens added."""
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        if len(self.known) > WORDS:
-            self.known.clear()
-        fresh = list({part for parts in split for part in parts} - self.known.keys())
-        if fresh:
-            self._learn(fresh)
-        none = [np.zeros(0, np.int32)]
-        return [np.concatenate(none + [self.known[part] for part in parts]) for parts in split]
+        if len(self.numbers) > WORDS:
+            self._forget()
+        known, places = len(self.numbers), []
+        for text in texts:
+            # What looks like a special token is not taken apart; lowering ASCII letters is the tokenizer's own first step.
+            parts = [] if SPECIAL in text else text.encode().lower().decode().replace("\n", " ").split(" ")
+            places.append(np.fromiter(map(self.numbers.__getitem__, parts), np.int64, len(parts)))
+        if len(self.numbers) > known:
+            self._learn(list(islice(self.numbers, known, None)))
+        return [self._gathered(at) if SPECIAL not in text else self._whole(text) for text, at in zip(texts, places)]
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def _gathered(self, places: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[places]
+        shift = np.repeat(self.starts[places] - (np.cumsum(sizes) - sizes), sizes)
+        return self.ids[shift + np.arange(len(shift))]
 
 
 @lru_cache(maxsize=2)
@@ -136,7 +177,8 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     # The window has no partitions: a row for each file.
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("file", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
-    return stored.join(before, "file").select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "ids")
+    # As many rows as files, which write_tokens bounds by the number of shuffle partitions: ids stay where they are.
+    return stored.join(F.broadcast(before), "file").select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "ids")
 
 
 def find_tokens(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:
