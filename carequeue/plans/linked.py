@@ -28,7 +28,7 @@ def linked(
     asked = ["referral_id", *appointment]
     if clinic is not None:
         asked.append("clinic_id")
-    if filters.start is not None:
+    if filters.start is not None or filters.end is not None:
         asked.append("appointment_date")
     if filters.visit_modes is not None:
         asked.append("visit_mode")
