@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,9 @@ from carequeue.llm.shared import checkpointed, table
 WIDTH = 4
 RADIUS = 4
 SEED = 42
-#: Fingerprints in a tile; a task compares two tiles.
-TILE_ROWS = 16384
+#: Fingerprints in a tile, a task compares two: at least so many, and this many times the square root of those of the
+#: same population count. So both a task's tiles and the copies of a fingerprint grow with the square root.
+TILE_ROWS, TILE_ROOTS = 4096, 64
 #: Hashes whose bits are counted together, and rows of the two blocks that are compared together.
 HASHES = 65536
 BLOCK = (512, 2048)
@@ -132,16 +134,16 @@ def _merged(label: np.ndarray, found: list) -> np.ndarray:
     return _forest(len(label), left, right)
 
 
-def _tiles_per_count(prints: DataFrame, tile_rows: int) -> list[int]:
+def _tiles_per_count(prints: DataFrame, tile_rows: int | None) -> list[int]:
     """Tiles for each of the 65 population counts."""
     rows = prints.groupBy(F.bit_count("print").alias("p")).count().collect()
     tiles = [1] * 65
     for p, n in rows:
-        tiles[p] = -(-n // tile_rows)
+        tiles[p] = math.ceil(n / (tile_rows or max(TILE_ROWS, TILE_ROOTS * math.sqrt(n))))
     return tiles
 
 
-def links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, tile_rows: int | None = None) -> DataFrame:
     """Links (u, v) that connect all fingerprints `print` at most radius bits apart; prints must be distinct.
 
     Tiles hold fingerprints of one population count, a count with many of them has several tiles. A fingerprint goes
@@ -179,7 +181,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -
     )
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, tile_rows: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs (doc_id, text; other columns are ignored).
 
     Texts with equal fingerprints are one class, so copies are compared once. component_id is the smallest doc_id
