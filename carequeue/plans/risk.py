@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -194,6 +194,32 @@ class RiskModel:
         return RiskModel(PipelineModel.load(f"{path}/pipeline"), spark.read.parquet(f"{path}/fill"))
 
 
+def training_part(features: DataFrame) -> DataFrame:
+    """The imputed rows that models learn from, settled with the values that were filled in taken from them alone."""
+    part = features.where(f"NOT ({is_test_row()})")
+    return settled(impute(part, settled(fill_values(part))))
+
+
+def class_weights(learn: DataFrame) -> DataFrame:
+    """Rows of each class, and the weight that makes all classes count the same in sum."""
+    return learn.sparkSession.sql(
+        f"""SELECT {TARGET}, row_count, total / (classes * CAST(row_count AS DOUBLE)) AS class_weight
+            FROM (SELECT *, (SELECT sum(row_count) FROM {{counts}}) AS total, (SELECT count(*) FROM {{counts}}) AS classes
+                  FROM {{counts}})""",
+        counts=settled(learn.groupBy(TARGET).agg(F.count(F.lit(1)).alias("row_count"))),
+    )
+
+
+def scaling(learn: DataFrame) -> DataFrame:
+    """Mean and population deviation of each numeric feature."""
+    measures = ", ".join(f"avg({name}) AS {name}_mean, stddev_pop({name}) AS {name}_deviation" for name in NUMERIC)
+    stacked = ", ".join(f"'{name}', {name}_mean, {name}_deviation" for name in NUMERIC)
+    return learn.sparkSession.sql(
+        f"SELECT stack({len(NUMERIC)}, {stacked}) AS (feature, mean, deviation) FROM (SELECT {measures} FROM {{learn}})",
+        learn=learn,
+    )
+
+
 def train(features: DataFrame) -> RiskModel:
     """Impute, scale, one-hot encode and fit a class-balanced logistic regression on the training part.
 
@@ -202,17 +228,17 @@ def train(features: DataFrame) -> RiskModel:
     part = features.where(f"NOT ({is_test_row()})")
     fill = settled(fill_values(part))
     learn = settled(impute(part, fill))
-    # Two classes, so two rows.
-    classes = {row[TARGET]: row["count"] for row in learn.groupBy(TARGET).count().collect()}
+    # Two classes and four numeric features, so as many rows.
+    classes = class_weights(learn).collect()
     if not classes:
         raise NoTrainingData("No appointment data found: load appointments before training")
-    total = sum(classes.values())
-    weight = "CASE " + " ".join(
-        f"WHEN {TARGET} = {label} THEN {total / (len(classes) * count)!r}D" for label, count in classes.items()
+    total = sum(row.row_count for row in classes)
+    weight = "CASE " + " ".join(f"WHEN {TARGET} = {row[TARGET]} THEN {row.class_weight!r}D" for row in classes)
+    scaled = ", ".join(
+        f"({row.feature} - {row.mean!r}D) / {row.deviation or 1.0!r}D AS _{row.feature}_scaled" for row in scaling(learn).collect()
     )
     stages = [
-        VectorAssembler(inputCols=NUMERIC, outputCol="_numbers"),
-        StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True),
+        SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"),
         StringIndexer(inputCols=CATEGORICAL, outputCols=[f"_{c}_index" for c in CATEGORICAL], handleInvalid="keep"),
         # The index kept for unseen values is the dropped one: an unseen value encodes as zeros.
         OneHotEncoder(
@@ -220,7 +246,7 @@ def train(features: DataFrame) -> RiskModel:
             outputCols=[f"_{c}_hot" for c in CATEGORICAL],
             dropLast=True,
         ),
-        VectorAssembler(inputCols=["_scaled", *[f"_{c}_hot" for c in CATEGORICAL]], outputCol="features"),
+        VectorAssembler(inputCols=[*[f"_{n}_scaled" for n in NUMERIC], *[f"_{c}_hot" for c in CATEGORICAL]], outputCol="features"),
         LogisticRegression(
             labelCol=TARGET,
             weightCol="_weight",

@@ -777,6 +777,26 @@ def all_sql() -> dict[str, str]:
                 FROM features GROUP BY ALL""",
             *FEATURES,
         ),
+        "risk_scores_check": query(
+            """SELECT count(*) AS scored, count(*) AS probable, count(*) AS in_bucket,
+                      count(DISTINCT appointment_id) AS appointments FROM features""",
+            *FEATURES,
+        ),
+        "class_weights": query(
+            f"""SELECT no_show_target, count(*) AS row_count,
+                       sum(count(*)) OVER () / (count(*) OVER () * count(*)::DOUBLE) AS class_weight
+                FROM features WHERE NOT ({test_row}) GROUP BY no_show_target""",
+            *FEATURES,
+        ),
+        "scaling": query(
+            " UNION ALL ".join(
+                f"""SELECT '{n}' AS feature, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS deviation
+                    FROM (SELECT coalesce({n}, (SELECT median({n}) FROM learn))::DOUBLE AS x FROM learn)"""
+                for n in NUMERIC
+            ),
+            *FEATURES,
+            f"learn AS (SELECT * FROM features WHERE NOT ({test_row}))",
+        ),
         "risk_bucket": query(
             "SELECT appointment_id, p AS predicted_no_show_probability, risk_bucket FROM scored", *SCORED
         ),

@@ -130,6 +130,26 @@ def risk_scores(mart) -> DataFrame:
     return risk.predictions(risk.score(risk.train(features), features))
 
 
+def risk_scores_check(mart) -> DataFrame:
+    """Rows the model scores, those whose probability is one, and those in the bucket of their probability."""
+    return risk_scores(mart).selectExpr(
+        "count(*) AS scored",
+        "count_if(predicted_no_show_probability BETWEEN 0 AND 1) AS probable",
+        f"count_if(risk_bucket = {risk.risk_bucket('predicted_no_show_probability')}) AS in_bucket",
+        "count(DISTINCT appointment_id) AS appointments",
+    )
+
+
+def class_weights(mart) -> DataFrame:
+    features = risk.feature_table(mart, SETTINGS, columns=[])
+    return risk.class_weights(features.where(f"NOT ({risk.is_test_row()})"))
+
+
+def scaling(mart) -> DataFrame:
+    learn = risk.training_part(settled(risk.feature_table(mart, SETTINGS)))
+    return risk.scaling(learn).selectExpr("feature", "round(mean, 6) AS mean", "round(deviation, 6) AS deviation")
+
+
 def model_metrics(mart) -> DataFrame:
     features = settled(risk.feature_table(mart, SETTINGS))
     return risk.metrics_document(settled(risk.score(risk.train(features), features))).selectExpr(
@@ -257,6 +277,9 @@ MART_QUERIES = {
     "roc_auc": stand_in_auc,
     "risk_scores": risk_scores,
     "model_metrics": model_metrics,
+    "risk_scores_check": risk_scores_check,
+    "class_weights": class_weights,
+    "scaling": scaling,
     "dq_scorecard": scorecard,
     "dq_summary": lambda m: quality.quality_summary(scorecard(m)),
     "dq_by_table": lambda m: quality.quality_by_table(scorecard(m)),

@@ -59,7 +59,7 @@ def test_hot_referral_is_split_when_referrals_are_kept(large):
 
 
 def test_every_query_avoids_pairs_and_python(spark):
-    skip = ("risk_scores", "model_metrics")
+    skip = ("risk_scores", "model_metrics", "risk_scores_check")
     for name, build in all_queries().items():
         if name in skip:
             continue
@@ -68,6 +68,24 @@ def test_every_query_avoids_pairs_and_python(spark):
             assert word not in plan, (name, word)
 
 
+def jobs_of(spark, build) -> int:
+    """Jobs that run while a frame is built."""
+    spark.sparkContext.setJobGroup("building", "building")
+    try:
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("building"))
+        build()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) - before
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_frames_without_scores_are_built_without_jobs(spark):
+    # Reading a table's footer is a job of its own; the friction score would take a dozen.
+    for name in ("scenario_outreach", "scenario_capacity", "answer_open_aging", "score_histogram", "kpi_from"):
+        jobs = jobs_of(spark, lambda name=name: all_queries()[name](spark, SMALL))
+        assert (jobs <= 8) == (name != "kpi_from"), (name, jobs)
+
+
 def test_date_filters_reach_the_scan(spark):
     rows = linked(TpchMart(spark, SMALL), ["appointment_status"], patient=[], clinic=[], filters=WINDOW)
     plan = rows._jdf.queryExecution().executedPlan().toString()

@@ -41,3 +41,9 @@ def test_orphans_include_missing_keys(mart):
 def test_summary_of_no_rules(mart, settings):
     empty = quality.scorecard(mart, settings).where("false")
     assert quality.quality_summary(empty).first().data_quality_score_pct == 0.0
+
+
+def test_rules_have_their_severities():
+    warnings = {"DQ006", "DQ008", "DQ011", "DQ012"}
+    expected = {f"DQ{n:03}": "warning" if f"DQ{n:03}" in warnings else "critical" for n in range(1, 16)}
+    assert {rule.rule_id: rule.severity for rule in quality.RULES} == expected
