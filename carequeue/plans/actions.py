@@ -98,6 +98,19 @@ def top(frame: DataFrame, rows: int, *order: tuple[str, bool]) -> DataFrame:
     return ordered(frame, *order).limit(rows)
 
 
+def clinic_overview(clinics: DataFrame, rows: int = 8) -> DataFrame:
+    """The clinics that most need attention, in the columns of the overview."""
+    return top(clinics, rows, ("clinic_attention_index", False), ("clinic_id", True)).select(
+        "clinic_name",
+        "clinic_group",
+        "clinic_attention_index",
+        "median_referral_to_appointment_days",
+        "completion_rate_pct",
+        "no_show_rate_pct",
+        "open_referrals_over_threshold",
+    )
+
+
 def funnel_dropoff(mart) -> DataFrame:
     """The funnel with each stage's share of the largest stage and its loss from the stage before."""
     # Five rows, one per stage: a window without partitions is bounded by the number of stages.

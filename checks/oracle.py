@@ -673,6 +673,12 @@ def all_sql() -> dict[str, str]:
                ORDER BY lag DESC, clinic_id LIMIT 10""",
             *report(),
         ),
+        "clinic_overview": query(
+            """SELECT clinic_name, clinic_group, score AS clinic_attention_index, lag AS median_referral_to_appointment_days,
+                      completion_rate_pct, no_show_rate_pct, open_count AS open_referrals_over_threshold
+               FROM report ORDER BY score DESC, clinic_id LIMIT 8""",
+            *report(),
+        ),
         "clinic_open_aging": query(
             """SELECT clinic_name, open_count AS open_referrals_over_threshold, score AS clinic_attention_index
                FROM report""",

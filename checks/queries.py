@@ -248,6 +248,7 @@ MART_QUERIES = {
     "funnel_dropoff": actions.funnel_dropoff,
     "funnel_largest_drop": actions.largest_dropoff,
     "clinic_top_lag": clinic_top_lag,
+    "clinic_overview": lambda m: actions.clinic_overview(dashboard.clinic_report(m, EVERYTHING, SETTINGS)),
     "clinic_open_aging": lambda m: questions.answer("open_aging", m, EVERYTHING, SETTINGS).rows,
     "scenario_outreach": lambda m: actions.outreach_scenarios(
         dashboard.counts(m, WINDOW, SETTINGS), range(0, 51, 10)
