@@ -56,10 +56,10 @@ def train(docs: DataFrame, languages: list[str], rows: int = TRAIN_ROWS) -> np.n
             ["language", "place", "n"],
         )
 
-    told = docs.where(F.col("declared").isin(languages) & F.col("text").isNotNull()).select("declared", "text")
+    told = docs.where(F.col("declared").isin(languages) & F.col("text").isNotNull()).select("row_id", "declared", "text")
     share = min(1.0, rows / max(told.count(), 1))
-    chosen = told if share == 1 else told.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    found = chosen.mapInArrow(run, "language int, place int, n bigint").groupBy("language", "place").agg(F.sum("n").alias("n"))
+    chosen = told if share == 1 else told.where(F.pmod(F.xxhash64("row_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    found = chosen.select("declared", "text").mapInArrow(run, "language int, place int, n bigint").groupBy("language", "place").agg(F.sum("n").alias("n"))
     counts = np.zeros((PLACES, len(languages)))
     rows_found = found.toArrow()
     counts[rows_found["place"].to_numpy(), rows_found["language"].to_numpy()] = rows_found["n"].to_numpy()
