@@ -47,6 +47,7 @@ ASIDE = frozenset(
 #: A page's header is not the article, but one inside the article holds its heading.
 PAGE_HEADER = frozenset("header topbar".split())
 ARTICLE = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A slot is template if this share of a host's distinct pages, and so many at least, surely have the same text in it.
 SAME, LEAST_PAGES = 0.7, 5
 #: Values kept for each slot to prove that, and the share of varying text that the content's element holds.
@@ -291,12 +292,17 @@ def _varying(slot: Slot) -> int:
 
 
 def content_path(wrapper: Slot) -> list[Slot]:
-    """Slots from the root to the element that holds most of the varying text and is no single block of it."""
+    """Slots from the root to the element that holds most of the varying text and is no single block of it.
+
+    A heading that varies belongs to the text beside it.
+    """
     path, total = [wrapper], _varying(wrapper)
     while True:
         best = max(path[-1].slots, key=_varying, default=None)
         if best is None or not best.slots or best.many or _varying(best) < MOST_TEXT * total:
             return path
+        if any(s.label.split(" ")[0] in HEADINGS and _varying(s) for s in path[-1].slots):
+            return path
         path.append(best)
 
 

@@ -40,6 +40,15 @@ def test_template_and_slots_of_a_host_without_articles(spark):
     assert found == {i: f"First words of story {i} &c.\n\nMore about number {i} xy" for i in range(12)}
 
 
+def test_heading_beside_the_text_stays(spark):
+    rows = [
+        (i, f"http://h.example/{i}", f"<div class=x><h1>Title {i}</h1><div class=y><p>First of {i}, long enough.</p><p>Second {i}</p></div></div>")
+        for i in range(8)
+    ]
+    found = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {i: f"Title {i}\n\nFirst of {i}, long enough.\n\nSecond {i}" for i in range(8)}
+
+
 def test_copies_of_one_page_are_no_template(spark):
     rows = [(i, "http://copy.example/", f"<body><nav>n {i}</nav><article><h1>Same</h1><p>The same text.</p></article></body>") for i in range(40)]
     found = pages.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()
