@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from string import Formatter
 
 from pyspark.sql import DataFrame
 
@@ -52,6 +53,29 @@ ONE_MODE = (
     "The current filters do not include both telehealth and in-person appointments. "
     "Adjust visit-mode filters to compare them."
 )
+SENTENCES = {
+    "clinic_lag": "{clinic_name} has the highest median referral-to-appointment lag at "
+    "{median_referral_to_appointment_days:.1f} days in the selected filter context.",
+    "improvement": "{clinic_name} improved the most over the latest 30-day comparison, with median lag improving by "
+    "{lag_improvement_days:.1f} days and completion rate changing by {completion_rate_change_pct_points:.1f} "
+    "percentage points.",
+    "open_aging": "There are {open_referrals_over_threshold:,} appointment-linked behavioral health referrals still open "
+    "after {aging_days} days in the selected filter context. You can change this threshold in the sidebar.",
+    "funnel": "The largest funnel drop-off occurs at '{stage}', with an estimated drop-off of "
+    "{dropoff_from_prior_stage:,} from the prior stage.",
+    "zip_friction": "ZIP {zip_code} has the highest custom access friction score at "
+    "{custom_access_friction_score:.1f}. The score reflects the weights currently selected in the sidebar.",
+    "appointment_type": "{appointment_type} has the highest no-show rate at {no_show_rate_pct:.1f}% across "
+    "{appointment_count:,} appointments in the selected context.",
+    "visit_mode": "Telehealth no-show rate is {telehealth_rate:.1f}%, which is {direction} than in-person no-show rate of "
+    "{in_person_rate:.1f}% in the selected context.",
+    "provider": "{provider_name} at {clinic_name} has the highest provider utilization proxy at "
+    "{monthly_provider_utilization_pct:.1f}% for the selected period.",
+    "segment": "The lowest-completion segment is age group {age_group!s}, {insurance_type!s} insurance, preferred language "
+    "{preferred_language!s}, visit mode {visit_mode!s}, with a completion rate of {completion_rate_pct:.1f}%.",
+    "action": "The top recommended priority is {entity_type} {entity_name} with priority score {priority_score:.1f}. "
+    "Recommended action: {recommended_action}",
+}
 FEW_ROWS = 10
 MORE_ROWS = 15
 
@@ -103,11 +127,23 @@ def _fixed(mart, text: str) -> DataFrame:
     return mart.spark.sql("SELECT :text AS answer", args={"text": text})
 
 
-def _from_top(route: str, rows: DataFrame, sentence: str, *order: tuple[str, bool]) -> Answer:
+def _said(route: str) -> str:
+    """The route's sentence as an expression over columns: `:.1f` one decimal, `:,` thousands, `!s` a null as "None"."""
+    parts = []
+    for text, column, form, conversion in Formatter().parse(SENTENCES[route]):
+        if text:
+            parts.append("'" + text.replace("'", r"\'") + "'")
+        if column:
+            shown = {".1f": one_decimal, ",": thousands}.get(form, str)(column)
+            parts.append(f"coalesce({shown}, 'None')" if conversion else shown)
+    return f"concat({', '.join(parts)})"
+
+
+def _from_top(route: str, rows: DataFrame, *order: tuple[str, bool]) -> Answer:
     """The sentence about the first row in order, or the route's message where there is none."""
     best = top(rows, 1, *order)
     text = rows.sparkSession.sql(
-        f"SELECT coalesce((SELECT max({sentence}) FROM {{best}}), :nothing) AS answer",
+        f"SELECT coalesce((SELECT max({_said(route)}) FROM {{best}}), :nothing) AS answer",
         best=best,
         args={"nothing": NOTHING[route]},
     )
@@ -117,22 +153,13 @@ def _from_top(route: str, rows: DataFrame, sentence: str, *order: tuple[str, boo
 def _clinic_lag(mart, filters, settings) -> Answer:
     order = [("median_referral_to_appointment_days", False), ("clinic_id", True)]
     rows = top(dashboard.clinic_report(mart, filters, settings), FEW_ROWS, *order)
-    sentence = (
-        "concat(clinic_name, ' has the highest median referral-to-appointment lag at ', "
-        f"{one_decimal('median_referral_to_appointment_days')}, ' days in the selected filter context.')"
-    )
-    return _from_top("clinic_lag", rows, sentence, *order)
+    return _from_top("clinic_lag", rows, *order)
 
 
 def _improvement(mart, filters, settings) -> Answer:
     order = [("lag_improvement_days", False), ("completion_rate_change_pct_points", False), ("clinic_name", True)]
     rows = top(dashboard.clinic_improvement(mart, filters), FEW_ROWS, *order)
-    sentence = (
-        "concat(clinic_name, ' improved the most over the latest 30-day comparison, with median lag improving by ', "
-        f"{one_decimal('lag_improvement_days')}, ' days and completion rate changing by ', "
-        f"{one_decimal('completion_rate_change_pct_points')}, ' percentage points.')"
-    )
-    return _from_top("improvement", rows, sentence, *order)
+    return _from_top("improvement", rows, *order)
 
 
 def _open_aging(mart, filters, settings) -> Answer:
@@ -141,42 +168,25 @@ def _open_aging(mart, filters, settings) -> Answer:
         ranked = ordered(report, ("open_referrals_over_threshold", False), ("clinic_id", True))
         return ranked.select("clinic_name", "open_referrals_over_threshold", "clinic_attention_index")
 
-    text = dashboard.counts(mart, filters, settings).selectExpr(
-        f"concat('There are ', {thousands('open_referrals_over_threshold')}, "
-        "' appointment-linked behavioral health referrals still open after "
-        f"{settings.aging_days} days in the selected filter context. "
-        "You can change this threshold in the sidebar.') AS answer"
-    )
+    counted = dashboard.counts(mart, filters, settings).selectExpr("*", f"'{settings.aging_days}' AS aging_days")
+    text = counted.selectExpr(f"{_said('open_aging')} AS answer")
     return Answer("open_aging", text, rows)
 
 
 def _funnel(mart, filters, settings) -> Answer:
-    sentence = (
-        r"concat('The largest funnel drop-off occurs at \'', stage, '\', with an estimated drop-off of ', "
-        f"{thousands('dropoff_from_prior_stage')}, ' from the prior stage.')"
-    )
     order = [("dropoff_from_prior_stage", False), ("stage_order", True)]
-    return _from_top("funnel", funnel_dropoff(mart), sentence, *order)
+    return _from_top("funnel", funnel_dropoff(mart), *order)
 
 
 def _zip_friction(mart, filters, settings) -> Answer:
     order = [("custom_access_friction_score", False), ("zip_code", True)]
     rows = top(dashboard.zip_report(mart, settings), FEW_ROWS, *order)
-    sentence = (
-        "concat('ZIP ', zip_code, ' has the highest custom access friction score at ', "
-        f"{one_decimal('custom_access_friction_score')}, "
-        "'. The score reflects the weights currently selected in the sidebar.')"
-    )
-    return _from_top("zip_friction", rows, sentence, *order)
+    return _from_top("zip_friction", rows, *order)
 
 
 def _appointment_type(mart, filters, settings) -> Answer:
     order = [("no_show_rate_pct", False), ("appointment_count", False), ("appointment_type", True)]
-    sentence = (
-        f"concat(appointment_type, ' has the highest no-show rate at ', {one_decimal('no_show_rate_pct')}, "
-        f"'% across ', {thousands('appointment_count')}, ' appointments in the selected context.')"
-    )
-    return _from_top("appointment_type", dashboard.appointment_type_no_show(mart, filters), sentence, *order)
+    return _from_top("appointment_type", dashboard.appointment_type_no_show(mart, filters), *order)
 
 
 def compare_visit_modes(modes: DataFrame) -> DataFrame:
@@ -197,9 +207,7 @@ def _visit_mode(mart, filters, settings) -> Answer:
     text = compare_visit_modes(rows).selectExpr(
         f"""CASE WHEN modes < 2 THEN '{NOTHING["visit_mode"]}'
                  WHEN direction IS NULL THEN '{ONE_MODE}'
-                 ELSE concat('Telehealth no-show rate is ', {one_decimal("telehealth_rate")}, '%, which is ', direction,
-                             ' than in-person no-show rate of ', {one_decimal("in_person_rate")},
-                             '% in the selected context.') END AS answer"""
+                 ELSE {_said("visit_mode")} END AS answer"""
     )
     return Answer("visit_mode", text, lambda: rows)
 
@@ -211,11 +219,7 @@ def _provider(mart, filters, settings) -> Answer:
         ("provider_id", True),
     ]
     rows = top(dashboard.provider_report(mart, filters), MORE_ROWS, *order)
-    sentence = (
-        "concat(provider_name, ' at ', clinic_name, ' has the highest provider utilization proxy at ', "
-        f"{one_decimal('monthly_provider_utilization_pct')}, '% for the selected period.')"
-    )
-    return _from_top("provider", rows, sentence, *order)
+    return _from_top("provider", rows, *order)
 
 
 def _segment(mart, filters, settings) -> Answer:
@@ -229,13 +233,7 @@ def _segment(mart, filters, settings) -> Answer:
         ("visit_mode", True),
     ]
     rows = top(dashboard.segment_completion(mart, filters, settings), MORE_ROWS, *order)
-    sentence = (
-        "concat('The lowest-completion segment is age group ', coalesce(age_group, 'None'), ', ', "
-        "coalesce(insurance_type, 'None'), ' insurance, preferred language ', coalesce(preferred_language, 'None'), "
-        "', visit mode ', coalesce(visit_mode, 'None'), ', with a completion rate of ', "
-        f"{one_decimal('completion_rate_pct')}, '%.')"
-    )
-    return _from_top("segment", rows, sentence, *order)
+    return _from_top("segment", rows, *order)
 
 
 def _action(mart, filters, settings) -> Answer:
@@ -244,11 +242,7 @@ def _action(mart, filters, settings) -> Answer:
         dashboard.clinic_report(mart, filters, settings), dashboard.zip_report(mart, settings), settings
     )
     rows = top(queue, MORE_ROWS, *order)
-    sentence = (
-        "concat('The top recommended priority is ', entity_type, ' ', entity_name, ' with priority score ', "
-        f"{one_decimal('priority_score')}, '. Recommended action: ', recommended_action)"
-    )
-    return _from_top("action", rows, sentence, *order)
+    return _from_top("action", rows, *order)
 
 
 _ANSWERS = {
