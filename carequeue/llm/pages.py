@@ -50,6 +50,8 @@ ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A slot is template if this share of a host's distinct pages, and so many at least, surely have the same text in it.
 SAME, LEAST_PAGES = 0.7, 5
+#: Keys that the pages of a host are dealt to.
+SALTS = 32
 #: Values kept for each slot to prove that, and the share of varying text that the content's element holds.
 KEPT, MOST_TEXT = 4, 0.8
 _TOKEN = re.compile(r"[a-z]+")
@@ -434,8 +436,12 @@ def extract_text(pages: DataFrame) -> DataFrame:
                 ["page_id", "url", "text", "n_chars"],
             )
 
-    given = pages.select("page_id", F.col("url").cast("string").alias("url"), "html", _host().alias("host"))
-    joined = given.join(checkpointed(wrappers(pages)), "host", "left").select("page_id", "url", "html", "wrapper")
+    given = pages.select("page_id", F.col("url").cast("string").alias("url"), "html", _host().alias("host")).withColumn(
+        "salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).cast("int")
+    )
+    # A host may have a third of all pages: its pages are dealt to several keys, each with a copy of its wrapper.
+    dealt = checkpointed(wrappers(pages)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = given.join(dealt, ["host", "salt"], "left").select("page_id", "url", "html", "wrapper")
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
 
 

@@ -76,7 +76,7 @@ def test_odd_rows(spark):
         (6, "http://b.example", "<nav>menu</nav>"),
         (7, "http://b.example", "<<>><p <b>&#0;&bogus;</p>"),
     ]
-    frame = spark.createDataFrame(rows, SCHEMA).withColumn("host", F.lit("h")).withColumn("wrapper", F.lit("w"))
+    frame = spark.createDataFrame(rows, SCHEMA).withColumn("host", F.lit("h")).withColumn("wrapper", F.lit("w")).withColumn("salt", F.lit(0))
     found = pages.extract_text(frame).collect()
     assert len(found) == len(rows)
     by = {r.page_id: r.text for r in found}
