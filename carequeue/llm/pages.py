@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
@@ -50,6 +51,8 @@ ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A slot is template if this share of a host's distinct pages, and so many at least, surely have the same text in it.
 SAME, LEAST_PAGES = 0.7, 5
+#: A page with less than this share of text beside the template is one of many near copies: it keeps all its text.
+OWN = 0.02
 #: Keys that the pages of a host are dealt to.
 SALTS = 32
 #: Values kept for each slot to prove that, and the share of varying text that the content's element holds.
@@ -349,6 +352,10 @@ def main_text(html: str, wrapper: Slot | None = None) -> str:
         inside = [node for node in _all(root) if id(node) in wanted]
     inside = inside or [root]
     template = frozenset(_template(wrapper, page)) if wrapper is not None else frozenset()
+    sizes = [(owner, len(text)) for owner, text, _ in blocks(root)] if template else []
+    if sum(n for owner, n in sizes if owner not in template) < OWN * sum(n for _, n in sizes):
+        template = frozenset()
+        inside = _elements(root, {"article"}) or _elements(root, {"main"}) or [root]
     whole = [(owner, text) for node in inside for owner, text, _ in blocks(node)]
     kept = [text for owner, text in whole if owner not in template]
     return "\n\n".join(kept or [text for _, text in whole])
@@ -373,7 +380,7 @@ def _wrapper(packed: str) -> Slot:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) by aligning the trees of all pages of each host; pages of one text count once.
+    """(host, wrapper) by aligning the trees of all pages of each host; pages all of whose blocks are equal count once.
 
     A task aligns the pages it holds, host by host, into partial wrappers, one per host and task; these are aligned
     in their turn. So pages of a host with very many are spread, and only small trees meet in one task.
@@ -385,8 +392,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
             for html in batch.column(1).to_pylist():
                 root = pruned(parse(html or ""))
                 packed.append(json.dumps(folded(root).packed()))
-                longest = max((text for _, text, _ in blocks(root)), key=len, default="")
-                marks.append(zlib.crc32(longest.encode("utf-8", "surrogatepass")))
+                whole = "\n\n".join(text for _, text, _ in blocks(root)).encode("utf-8", "surrogatepass")
+                marks.append(int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "big", signed=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed), pa.array(marks, pa.int64())], ["host", "tree", "mark"])
 
     def together(rows: list[tuple[str, str]], held: dict[str, Slot]) -> None:

@@ -55,6 +55,19 @@ def test_copies_of_one_page_are_no_template(spark):
     assert {r.text for r in found} == {"Same\n\nThe same text."}
 
 
+def test_boilerplate_longer_than_any_paragraph_is_template(spark):
+    legal = "All posts are the property of their authors and may not be copied without leave. " * 3
+    rows = [(i, f"http://l.example/{i}", f"<body><div class=x><p>Post {i} is short.</p><p>Ends {i}.</p></div><div class=y>{legal}</div></body>") for i in range(8)]
+    found = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {i: f"Post {i} is short.\n\nEnds {i}." for i in range(8)}
+
+
+def test_near_copies_keep_their_text(spark):
+    rows = [(i, "http://n.example/", f"<body><div><p>{'One long story. ' * 60}</p><p>Its end.</p></div><div>Copy {i}</div></body>") for i in range(8)]
+    found = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {i: f"{('One long story. ' * 60).strip()}\n\nIts end.\n\nCopy {i}" for i in range(8)}
+
+
 def test_what_is_no_article():
     html = """<!DOCTYPE html><title>t</title><header><h1>Site</h1></header><nav><ul><li><a href=x>m</a></ul></nav>
     <div role="banner">b</div><div class="cookie-notice">c</div><article><header><h1>Head</h1></header><p>One<br>two<p>Three
