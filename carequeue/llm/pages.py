@@ -48,15 +48,14 @@ ASIDE = frozenset(
 #: A page's header is not the article, but one inside the article holds its heading.
 PAGE_HEADER = frozenset("header topbar".split())
 ARTICLE = frozenset(("article", "main"))
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A slot is template if this share of a host's distinct pages, and so many at least, surely have the same text in it.
 SAME, LEAST_PAGES = 0.7, 5
 #: A page with less than this share of text beside the template is one of many near copies: it keeps all its text.
 OWN = 0.02
 #: Keys that the pages of a host are dealt to.
 SALTS = 32
-#: Values kept for each slot to prove that, and the share of varying text that the content's element holds.
-KEPT, MOST_TEXT = 4, 0.8
+#: Values kept for each slot to prove that; elements nested deeper than so many blocks are one slot.
+KEPT, DEEPEST = 4, 60
 _TOKEN = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -148,28 +147,26 @@ def pruned(root: Node) -> Node:
     return kept
 
 
-def blocks(root: Node, skip: frozenset[int] = frozenset()) -> list[tuple[int, str, int]]:
-    """(number of the node that holds it, text, characters in links) of each block, in page order, white space joined."""
-    found: list[tuple[int, str, int]] = []
+def blocks(root: Node, skip: frozenset[int] = frozenset()) -> list[tuple[int, str]]:
+    """(number of the node that holds it, text) of each block, in page order, white space joined."""
+    found: list[tuple[int, str]] = []
     held: list[str] = []
-    owner, linked = [id(root)], [0]
+    owner = [id(root)]
 
     def flush() -> None:
         text = _SPACE.sub(" ", "".join(held)).strip()
         held.clear()
         if text:
-            found.append((owner[0], text, linked[0]))
-        linked[0] = 0
+            found.append((owner[0], text))
 
-    stack: list[tuple] = [("in", root, False)]
+    stack: list[tuple] = [("in", root, 0)]
     while stack:
-        what, node, link = stack.pop()
+        what, node, outer = stack.pop()
         if what == "out":
             flush()
-            owner[0] = link
+            owner[0] = outer
         elif not node.tag:
             held.append(node.text)
-            linked[0] += len(node.text.strip()) if link else 0
         elif id(node) in skip:
             continue
         elif node.tag == "br":
@@ -179,7 +176,7 @@ def blocks(root: Node, skip: frozenset[int] = frozenset()) -> list[tuple[int, st
                 flush()
                 stack.append(("out", node, owner[0]))
                 owner[0] = id(node)
-            stack += [("in", child, link or node.tag == "a") for child in reversed(node.children)]
+            stack += [("in", child, 0) for child in reversed(node.children)]
     flush()
     return found
 
@@ -188,7 +185,7 @@ def blocks(root: Node, skip: frozenset[int] = frozenset()) -> list[tuple[int, st
 class Slot:
     """A node of a wrapper: siblings of one label are one slot, `many` if a page has several.
 
-    n counts pages, size the characters of text beside links, values (hash: count) texts that may be most pages'.
+    n counts pages, size the characters of text, values (hash: count) texts that may be most pages'.
     """
 
     label: str
@@ -260,17 +257,18 @@ def merged(a: Slot, b: Slot, siblings: bool = False) -> Slot:
 def folded(root: Node) -> Slot:
     """A page's tree of block elements, neighbouring siblings of one label folded into one slot."""
     text: dict[int, list[str]] = {}
-    beside: dict[int, int] = {}
-    for owner, own, linked in blocks(root):
+    for owner, own in blocks(root):
         text.setdefault(owner, []).append(own)
-        beside[owner] = beside.get(owner, 0) + max(0, len(own) - linked)
 
-    def fold(node: Node, depth: int) -> Slot:
-        own = " ".join(text.get(id(node), ()))
+    def slot_of(node: Node, nodes: list[int]) -> Slot:
+        own = " ".join(part for number in nodes for part in text.get(number, ()))
         values = {zlib.crc32(own.encode("utf-8", "surrogatepass")): 1} if own else {}
-        slot = Slot(node.label, size=beside.get(id(node), 0), values=values, nodes=[id(node)])
+        return Slot(node.label, size=len(own), values=values, nodes=nodes)
+
+    def fold(node: Node, depth: int) -> Slot:
+        slot = slot_of(node, [id(node)])
         for child in _block_children(node):
-            inner = fold(child, depth + 1) if depth < 60 else Slot(child.label, nodes=[id(child)])
+            inner = fold(child, depth + 1) if depth < DEEPEST else slot_of(child, [id(below) for below in _all(child)])
             if slot.slots and slot.slots[-1].label == inner.label:
                 slot.slots[-1] = merged(slot.slots[-1], inner, siblings=True)
             else:
@@ -297,18 +295,14 @@ def _varying(slot: Slot) -> int:
 
 
 def content_path(wrapper: Slot) -> list[Slot]:
-    """Slots from the root to the element that holds most of the varying text and is no single block of it.
-
-    A heading that varies belongs to the text beside it.
-    """
+    """Slots from the root to the lowest element that holds all of the varying text and is no single block of it."""
     path, total = [wrapper], _varying(wrapper)
-    while True:
+    while total:
         best = max(path[-1].slots, key=_varying, default=None)
-        if best is None or not best.slots or best.many or _varying(best) < MOST_TEXT * total:
-            return path
-        if any(s.label.split(" ")[0] in HEADINGS and _varying(s) for s in path[-1].slots):
-            return path
+        if best is None or not best.slots or best.many or _varying(best) < total:
+            break
         path.append(best)
+    return path
 
 
 def _template(wrapper: Slot, page: Slot) -> Iterator[int]:
@@ -352,11 +346,11 @@ def main_text(html: str, wrapper: Slot | None = None) -> str:
         inside = [node for node in _all(root) if id(node) in wanted]
     inside = inside or [root]
     template = frozenset(_template(wrapper, page)) if wrapper is not None else frozenset()
-    sizes = [(owner, len(text)) for owner, text, _ in blocks(root)] if template else []
+    sizes = [(owner, len(text)) for owner, text in blocks(root)] if template else []
     if sum(n for owner, n in sizes if owner not in template) < OWN * sum(n for _, n in sizes):
         template = frozenset()
         inside = _elements(root, {"article"}) or _elements(root, {"main"}) or [root]
-    whole = [(owner, text) for node in inside for owner, text, _ in blocks(node)]
+    whole = [part for node in inside for part in blocks(node)]
     kept = [text for owner, text in whole if owner not in template]
     return "\n\n".join(kept or [text for _, text in whole])
 
@@ -392,7 +386,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
             for html in batch.column(1).to_pylist():
                 root = pruned(parse(html or ""))
                 packed.append(json.dumps(folded(root).packed()))
-                whole = "\n\n".join(text for _, text, _ in blocks(root)).encode("utf-8", "surrogatepass")
+                whole = "\n\n".join(text for _, text in blocks(root)).encode("utf-8", "surrogatepass")
                 marks.append(int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "big", signed=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed), pa.array(marks, pa.int64())], ["host", "tree", "mark"])
 

@@ -62,6 +62,19 @@ def test_boilerplate_longer_than_any_paragraph_is_template(spark):
     assert found == {i: f"Post {i} is short.\n\nEnds {i}." for i in range(8)}
 
 
+def test_all_varying_text_stays(spark):
+    words = "with more words than there are in what stands beside it"
+    split = "<body><div class=x><div class=lead>Lead {0}</div><div class=y><p>Body {0} {1}</p><p>Body {0} again {1}</p></div><div class=z>End {0}</div></div><p>All rights reserved</p></body>"
+    lists = "<body><div class=x><ul><li><a href=a>One {0}</a></li></ul></div><div class=y><p><a href=b>Two {0}</a></p></div></body>"
+    deep = "<body><div class=x><p>Short {0}</p></div>" + "<div>" * 80 + "<p>Deep {0}</p>" + "</div>" * 80 + "</body>"
+    rows = [(100 * k + i, f"http://{k}.example/{i}", html.format(i, words)) for k, html in enumerate((split, lists, deep)) for i in range(8)]
+    found = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in range(8):
+        assert found[i] == f"Lead {i}\n\nBody {i} {words}\n\nBody {i} again {words}\n\nEnd {i}"
+        assert found[100 + i] == f"One {i}\n\nTwo {i}"
+        assert found[200 + i] == f"Short {i}\n\nDeep {i}"
+
+
 def test_near_copies_keep_their_text(spark):
     rows = [(i, "http://n.example/", f"<body><div><p>{'One long story. ' * 60}</p><p>Its end.</p></div><div>Copy {i}</div></body>") for i in range(8)]
     found = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
