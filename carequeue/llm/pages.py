@@ -47,6 +47,11 @@ ASIDE = frozenset(
 )
 #: A page's header is not the article, but one inside the article holds its heading.
 PAGE_HEADER = frozenset("header topbar".split())
+#: Parts that a class name or id may have beside those words, and marks of remarks, which are never the article.
+PLAIN = frozenset("site area box block list links posts buttons items slot bar".split())
+REMARKS = frozenset("comment comments commentlist reply replies respond disqus".split())
+#: Of the elements that never hold article text, those that pages put around everything.
+AROUND = frozenset(("form", "fieldset"))
 ARTICLE = frozenset(("article", "main"))
 #: A slot is template if this share of a host's distinct pages, and so many at least, surely have the same text in it.
 SAME, LEAST_PAGES = 0.7, 5
@@ -68,12 +73,27 @@ class Node:
     names: tuple[str, ...] = ()
     children: list[Node] = field(default_factory=list)
     text: str = ""
+    marks: frozenset[str] = frozenset()
 
     @property
     def label(self) -> str:
         return " ".join((self.tag, *self.names))
 
 
+@lru_cache(maxsize=4096)
+def _named(value: str) -> tuple[frozenset[str], frozenset[str]]:
+    """Words of class names, an id or a role; and those that mark, of names that consist of marks and plain parts alone."""
+    words: set[str] = set()
+    marks: set[str] = set()
+    for name in value.lower().split():
+        parts = set(_TOKEN.findall(name))
+        words |= parts
+        telling = {part for part in parts if len(part) > 1} - PLAIN
+        if telling <= ASIDE | PAGE_HEADER:
+            marks |= telling
+    return frozenset(words), frozenset(marks)
+
+
 class _Parser(HTMLParser):
     """Builds a tree of any input, however broken; with open elements closed as browsers do in the common cases."""
 
@@ -96,8 +116,9 @@ class _Parser(HTMLParser):
         if tag in SIBLINGS:
             self._close(*SIBLINGS[tag])
         given = dict(attrs)
-        words = (w for name in ("class", "id", "role") for w in _TOKEN.findall((given.get(name) or "").lower()))
-        node = Node(tag, tuple(sorted(set(words))))
+        named = [_named(given[name]) for name in ("class", "id", "role") if given.get(name)]
+        words, marks = (frozenset().union(*sets) for sets in zip(*named)) if named else ((), frozenset())
+        node = Node(tag, tuple(sorted(words)), marks=marks)
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -126,25 +147,62 @@ def parse(html: str) -> Node:
 
 
 def _is_aside(node: Node, in_article: bool) -> bool:
-    if node.tag in NEVER or not ASIDE.isdisjoint(node.names):
+    if node.tag in NEVER or not ASIDE.isdisjoint(node.marks):
         return node.tag not in ("body", "html")
-    return not in_article and (node.tag == "header" or not PAGE_HEADER.isdisjoint(node.names)) and node.tag not in ("body", "html")
+    return not in_article and (node.tag == "header" or not PAGE_HEADER.isdisjoint(node.marks)) and node.tag not in ("body", "html")
+
+
+def _is_remark(node: Node) -> bool:
+    return node.tag not in ARTICLE and not REMARKS.isdisjoint(node.marks)
+
+
+def _may_hold(node: Node) -> bool:
+    """Whether an element may hold the article though its markup speaks against it."""
+    return (node.tag not in NEVER or node.tag in AROUND) and not _is_remark(node)
+
+
+def _most(root: Node) -> set[int]:
+    """Elements that hold more than half of the page's text, without what can't be the article."""
+    sizes: dict[int, int] = {}
+    stack = [(root, False)]
+    while stack:
+        node, done = stack.pop()
+        if done:
+            sizes[id(node)] = len(node.text.strip()) + sum(sizes.get(id(child), 0) for child in node.children)
+        elif not node.tag or node is root or _may_hold(node):
+            stack.append((node, True))
+            stack += [(child, False) for child in node.children]
+    return {number for number, size in sizes.items() if 2 * size > sizes[id(root)]}
 
 
 def pruned(root: Node) -> Node:
-    """The tree without what its own markup declares to be no article text."""
-    kept = Node(root.tag, root.names, [], root.text)
+    """The tree without what its own markup declares to be no article text.
+
+    If that takes all article and main elements, or there are none, elements that hold most of the text stay.
+    """
+    kept, whole, dropped = _without(root, frozenset())
+    if dropped and not whole and (most := _most(root)):
+        kept = _without(root, most)[0]
+    return kept
+
+
+def _without(root: Node, held: set[int] | frozenset[int]) -> tuple[Node, bool, bool]:
+    """The tree without marked elements but those held; whether an article or main is left; whether one that may hold it went."""
+    kept = Node(root.tag, root.names, [], root.text, root.marks)
     stack = [(root, kept, root.tag in ARTICLE)]
+    whole = dropped = False
     while stack:
         node, copy, inside = stack.pop()
         for child in node.children:
-            if child.tag and _is_aside(child, inside):
+            if child.tag and id(child) not in held and _is_aside(child, inside):
+                dropped = dropped or _may_hold(child)
                 continue
-            own = Node(child.tag, child.names, [], child.text)
+            own = Node(child.tag, child.names, [], child.text, child.marks)
             copy.children.append(own)
+            whole = whole or child.tag in ARTICLE
             if child.children:
                 stack.append((child, own, inside or child.tag in ARTICLE))
-    return kept
+    return kept, whole, dropped
 
 
 def blocks(root: Node, skip: frozenset[int] = frozenset()) -> list[tuple[int, str]]:

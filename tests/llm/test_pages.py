@@ -1,6 +1,7 @@
 import html as entities
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from carequeue.llm import pages
@@ -90,6 +91,24 @@ def test_what_is_no_article():
     assert pages.main_text(html) == "Head\n\nOne two\n\nThree\n\na\n\nb\n\nq éé z"
 
 
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        ("<div class='layout with-sidebar'>", "</div>"),
+        ("<div class='no-ads'>", "</div>"),
+        ("<div id='search-article'>", "</div>"),
+        ("<article class='post share-enabled'>", "</article>"),
+        ("<article class='share'>", "</article>"),
+        ("<div class='discussion'><main>", "</main></div>"),
+        ("<div class='widget'>", "</div>"),
+        ("<form action=x>", "</form>"),
+    ],
+)
+def test_wrappers_with_names_of_asides_stay(start, end):
+    html = f"<body><nav>Menu</nav><div class='ad-block'>Buy</div>{start}<p>The story's first words.</p><div class='ad'>Ad</div><p>More of it.</p>{end}<div id=comments-2>A remark longer than the story itself, by one who has read it.</div></body>"
+    assert pages.main_text(html) == "The story's first words.\n\nMore of it."
+
+
 def test_odd_rows(spark):
     rows = [
         (1, None, None),
