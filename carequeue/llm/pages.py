@@ -8,7 +8,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -53,6 +53,10 @@ REMARKS = frozenset("comment comments commentlist reply replies respond disqus".
 #: Of the elements that never hold article text, those that pages put around everything.
 AROUND = frozenset(("form", "fieldset"))
 ARTICLE = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Article and main elements are a hint: they are the content if they hold this share of the host's varying text, or
+#: more than this share of the text of a page without a wrapper.
+HINT_OF_HOST, HINT_OF_PAGE = 0.8, 0.5
 #: A slot is template if this share of a host's distinct pages, and so many at least, surely have the same text in it.
 SAME, LEAST_PAGES = 0.7, 5
 #: A page with less than this share of text beside the template is one of many near copies: it keeps all its text.
@@ -262,6 +266,15 @@ class Slot:
         label, n, many, size, values, slots = row
         return Slot(label, n, bool(many), size, {k: v for k, v in values}, [Slot.unpacked(s) for s in slots])
 
+    @property
+    def tag(self) -> str:
+        return self.label.split(" ")[0]
+
+    @cached_property
+    def path(self) -> list[Slot]:
+        """Slots from a wrapper's root to its content."""
+        return content_path(self)
+
     @property
     def constant(self) -> bool:
         """Whether the text is surely the same on most pages; what several siblings share is a list, not template."""
@@ -353,33 +366,41 @@ def _varying(slot: Slot) -> int:
 
 
 def content_path(wrapper: Slot) -> list[Slot]:
-    """Slots from the root to the lowest element that holds all of the varying text and is no single block of it."""
+    """Slots from the root to the lowest element that holds all of the varying text and is no single block of it.
+
+    One article or main element needs to hold only most of it, unless a heading beside it varies.
+    """
     path, total = [wrapper], _varying(wrapper)
     while total:
         best = max(path[-1].slots, key=_varying, default=None)
-        if best is None or not best.slots or best.many or _varying(best) < total:
+        if best is None or not best.slots or best.many:
+            break
+        hinted = best.tag in ARTICLE and not any(s.tag in HEADINGS and _varying(s) for s in path[-1].slots)
+        if _varying(best) < total * (HINT_OF_HOST if hinted else 1):
             break
         path.append(best)
+        total = _varying(best)
     return path
 
 
-def _template(wrapper: Slot, page: Slot) -> Iterator[int]:
-    """Nodes of a page whose text is the template's."""
-    for a, b in _aligned(wrapper.slots, page.slots)[1]:
-        if a is not None and b is not None:
-            if a.constant and b.values and a.values.get(next(iter(b.values)), 0) >= SAME * a.n:
-                yield from b.nodes
-            yield from _template(a, b)
+def _judged(wrapper: Slot, page: Slot) -> tuple[Slot, frozenset[int]]:
+    """The page's slot that aligns with the wrapper's content, as deep as there is one; the nodes whose text is template."""
+    found, template = page, set()
 
+    def walk(slot: Slot, own: Slot, path: list[Slot]) -> None:
+        nonlocal found
+        for a, b in _aligned(slot.slots, own.slots)[1]:
+            if a is None or b is None:
+                continue
+            if a.constant and b.values and a.values.get(next(iter(b.values)), 0) >= SAME * a.n:
+                template.update(b.nodes)
+            below = path[1:] if path and a is path[0] else []
+            if path and a is path[0]:
+                found = b
+            walk(a, b, below)
 
-def _found(wrapper: Slot, page: Slot) -> Slot:
-    """The page's slot that aligns with the wrapper's content, as deep as there is one."""
-    for step in content_path(wrapper)[1:]:
-        below = next((b for a, b in _aligned(wrapper.slots, page.slots)[1] if a is step and b is not None), None)
-        if below is None:
-            break
-        wrapper, page = step, below
-    return page
+    walk(wrapper, page, wrapper.path[1:])
+    return found, frozenset(template)
 
 
 def _elements(root: Node, wanted: frozenset[str] | set[str]) -> list[Node]:
@@ -394,23 +415,30 @@ def _elements(root: Node, wanted: frozenset[str] | set[str]) -> list[Node]:
     return found
 
 
+def _declared(root: Node) -> list[tuple[int, str]]:
+    """Blocks of a page's article elements, else main elements, if these hold most of its text; else all."""
+    whole = blocks(root)
+    for tag in ("article", "main"):
+        inside = [part for node in _elements(root, {tag}) for part in blocks(node)]
+        if sum(len(text) for _, text in inside) > HINT_OF_PAGE * sum(len(text) for _, text in whole):
+            return inside
+    return whole
+
+
 def main_text(html: str, wrapper: Slot | None = None) -> str:
-    """Article text of a page. Template is left out unless nothing else is left; without a wrapper, markup decides alone."""
+    """Article text of a page. Template is left out unless nothing else is left; without a wrapper of enough pages, markup decides alone."""
     root = pruned(parse(html))
-    page = folded(root)
-    inside = _elements(root, {"article"}) or _elements(root, {"main"})
-    if wrapper is not None and not inside:
-        wanted = set(_found(wrapper, page).nodes)
-        inside = [node for node in _all(root) if id(node) in wanted]
-    inside = inside or [root]
-    template = frozenset(_template(wrapper, page)) if wrapper is not None else frozenset()
-    sizes = [(owner, len(text)) for owner, text in blocks(root)] if template else []
-    if sum(n for owner, n in sizes if owner not in template) < OWN * sum(n for _, n in sizes):
-        template = frozenset()
-        inside = _elements(root, {"article"}) or _elements(root, {"main"}) or [root]
-    whole = [part for node in inside for part in blocks(node)]
-    kept = [text for owner, text in whole if owner not in template]
-    return "\n\n".join(kept or [text for _, text in whole])
+    if wrapper is not None and wrapper.n >= LEAST_PAGES:
+        page = folded(root)
+        found, template = _judged(wrapper, page)
+        whole = blocks(root) if template else []
+        own = [part for part in whole if part[0] not in template]
+        if not template or sum(len(text) for _, text in own) >= OWN * sum(len(text) for _, text in whole):
+            wanted = set(found.nodes)
+            inside = [part for node in _all(root) if id(node) in wanted for part in blocks(node)]
+            kept = [text for owner, text in inside if owner not in template]
+            return "\n\n".join(kept or [text for _, text in own or inside])
+    return "\n\n".join(text for _, text in _declared(root))
 
 
 def _all(root: Node) -> Iterator[Node]:

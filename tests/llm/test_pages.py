@@ -76,6 +76,22 @@ def test_all_varying_text_stays(spark):
         assert found[200 + i] == f"Short {i}\n\nDeep {i}"
 
 
+def test_story_beside_teasers_that_are_articles_stays(spark):
+    story = "<h1>Title {0}</h1><p>The story of {0} is told in a div, at some length.</p><p>It ends after {0} more words.</p>"
+    body = f"<body><div class=story>{story}</div><div class=x><article><p>Teaser {{0}}</p></article><article><p>Another {{0}}</p></article></div></body>"
+    rows = [(i, f"http://t.example/{i}", body.format(i)) for i in range(8)] + [(100, "http://few.example/", body.format(100))]
+    found = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in (*range(8), 100):
+        assert found[i].startswith(f"Title {i}\n\nThe story of {i} is told in a div, at some length.\n\nIt ends after {i} more words.")
+
+
+def test_article_of_most_varying_text_is_the_content(spark):
+    body = "<body><div class=x>Posted on day {0}</div><article><p>{1} {0}.</p><p>Second {0}.</p></article></body>"
+    rows = [(i, f"http://m.example/{i}", body.format(i, "Words of the article " * 9)) for i in range(8)]
+    found = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {i: f"{'Words of the article ' * 9} {i}.\n\nSecond {i}.".replace("  ", " ") for i in range(8)}
+
+
 def test_near_copies_keep_their_text(spark):
     rows = [(i, "http://n.example/", f"<body><div><p>{'One long story. ' * 60}</p><p>Its end.</p></div><div>Copy {i}</div></body>") for i in range(8)]
     found = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
