@@ -101,6 +101,11 @@ def _smoothed(mass: Column, prior: Column, strength: float) -> Column:
     return F.transform(F.arrays_zip(mass.alias("m"), prior.alias("p")), lambda x: (x["m"] + x["p"] * strength) / (total + strength))
 
 
+def _declared(docs: DataFrame) -> list[str]:
+    declared = docs.where("declared is not null and declared <> ''").select("declared").distinct().orderBy("declared")
+    return [row.declared for row in declared.collect()]
+
+
 def identify(docs: DataFrame, languages: list[str] | None = None, least: float = LEAST) -> DataFrame:
     """(row_id, language, probability, text_language, rejected) for every row of docs (row_id, text, declared, host).
 
@@ -112,8 +117,7 @@ def identify(docs: DataFrame, languages: list[str] | None = None, least: float =
     like rows whose best language has less than the least probability. Repeated rows stay.
     """
     if languages is None:
-        declared = docs.where("declared is not null and declared <> ''").select("declared").distinct().orderBy("declared")
-        languages = [row.declared for row in declared.collect()]
+        languages = _declared(docs)
     kind = docs.schema["row_id"].dataType.simpleString()
     schema = f"row_id {kind}, language string, probability double, text_language string, rejected boolean"
     if not languages:
@@ -201,8 +205,15 @@ def of_pages(pages: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """Docs without those that are rejected. Rows of one doc_id go if all of them are rejected; those without id stay."""
-    kept = identify(of_documents(docs)).where("not rejected").select(F.col("row_id").alias("doc_id")).distinct()
+    """Docs without those that are rejected. Rows of one doc_id go if all of them are rejected; those without id stay.
+
+    Without any declared language there is nothing to judge by: only rows without letters go.
+    """
+    rows = of_documents(docs)
+    languages = _declared(rows)
+    lettered = rows.where(F.regexp_like("text", F.lit(r"\p{L}")))
+    judged = identify(rows, languages).where("not rejected") if languages else lettered
+    kept = judged.select(F.col("row_id").alias("doc_id")).distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
     return named.union(docs.where("doc_id is null"))
 

@@ -51,6 +51,11 @@ def test_odd_rows(spark):
     assert [(r.language, r.rejected) for r in language.identify(untold).collect()] == [("und", True)]
 
 
+def test_stage_keeps_rows_if_no_language_is_declared(spark):
+    docs = spark.createDataFrame([(1, ENGLISH, None), (2, "12 ..", None), (3, "ж", None), (4, None, None)], "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in language.known_language(docs).collect()) == [1, 3]
+
+
 def test_stage_keeps_rows_and_columns(spark):
     docs = spark.createDataFrame(
         [(1, ENGLISH, "en", "s", 10), (2, "...", "en", "s", 3), (None, "??", None, "s", 2), (3, ENGLISH, "en", "s", 1), (3, ENGLISH, "en", "s", 1)],
