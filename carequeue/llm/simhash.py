@@ -51,20 +51,24 @@ def fingerprint(text: bytes, width: int = WIDTH, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, print) for every row of docs; print holds the 64 bits as a bigint. A null text is an empty one."""
+    """(doc_id, mark, print) for every row of docs; print holds the 64 bits as a bigint, mark a hash of the text. A null text is an empty one."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(text or b"", width) for text in batch.column(1).to_pylist()]
+            found = [fingerprint(text or b"", width) for text in batch.column(2).to_pylist()]
             values = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values], ["doc_id", "mark", "print"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        prints, f"doc_id {kind}, print bigint"
+    return docs.select("doc_id", _mark().alias("mark"), F.col("text").cast("binary").alias("text")).mapInArrow(
+        prints, f"doc_id {kind}, mark bigint, print bigint"
     )
 
 
+def _mark() -> Column:
+    return F.xxhash64("text")
+
+
 def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For each of n nodes the smallest node that the links reach."""
     label = np.arange(n)
@@ -190,26 +194,37 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, t
     doc_id takes part, keeps its null and never names a component (null only if no member has an id). An empty table
     gives an empty result.
     """
+    prints, linked = _linked(docs, width, radius, tile_rows)
+    least = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = linked.join(least, "component").select("print", "component_id")
+    return prints.join(named, "print").select(
+        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _linked(docs: DataFrame, width: int, radius: int, tile_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and (print, first_id, component) of each distinct one."""
     prints = checkpointed(fingerprints(docs, width))
     classes = checkpointed(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")))
     found = connected_components(links(classes.select("print"), radius, tile_rows))
     linked = classes.join(found, F.col("print") == F.col("node"), "left").select(
         "print", "first_id", F.coalesce("component", "print").alias("component")
     )
-    least = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = linked.join(least, "component").select("print", "component_id")
-    return prints.join(named, "print").select(
-        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return prints, linked
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """Docs with one row of each group of near-duplicates: the one that names the group.
 
-    Of rows that repeat that doc_id one stays. Rows without doc_id can't be named and all stay.
+    Of rows that repeat that doc_id and its text one stays; of other texts under that doc_id, those that name a group of
+    their own stay too. Rows without doc_id can't be named and all stay.
     """
-    kept = near_duplicates(docs, width, radius).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    prints, linked = _linked(docs, width, radius)
+    # The least row of each fingerprint first, so that a group of many copies is folded before it meets in one task.
+    least = prints.where("doc_id is not null").groupBy("print").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    kept = least.join(linked, "print").groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.mark")
+    marked = docs.where("doc_id is not null").withColumn("_mark", _mark())
+    named = marked.join(kept.withColumnRenamed("mark", "_mark"), ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "_mark"])
     return named.select(docs.columns).union(docs.where("doc_id is null"))
 
 

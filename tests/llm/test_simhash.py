@@ -72,6 +72,15 @@ def test_odd_rows(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_other_texts_under_one_id_stay(spark):
+    unique, copied, other = (" ".join(f"{name}{i}" for i in range(60)) for name in ("u", "c", "o"))
+    rows = [(1, copied), (2, copied), (2, unique), (3, other), (3, unique + " end"), (3, other)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA))
+    near = plain_components({i: plain_print(text) for i, text in enumerate((unique, unique + " end"))})
+    expected = [(1, copied), (2, unique), (3, other)] + ([] if len(set(near.values())) == 1 else [(3, unique + " end")])
+    assert sorted(map(tuple, kept.collect())) == sorted(expected)
+
+
 @pytest.mark.parametrize("same", [True, False])
 def test_tiles_link_what_all_pairs_link(same):
     rng = np.random.default_rng(3)
