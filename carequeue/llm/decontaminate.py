@@ -34,9 +34,9 @@ def _places(n: Column, width: int) -> Column:
     return F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
 
 
-def item_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
-    """(item_id, own, n, width): the distinct windows of each item and the width of their shingles."""
-    items = benchmark.where("item_id is not null").select("item_id", F.explode(F.array(words(F.col("text")))).alias("all_words"))
+def item_windows(benchmark: DataFrame, window: int, shingle: int, unnamed: bool = False) -> DataFrame:
+    """(item_id, own, n, width): the distinct windows of each item, of those without id too if unnamed, and the width of their shingles."""
+    items = benchmark.where(F.lit(unnamed) | F.col("item_id").isNotNull()).select("item_id", F.explode(F.array(words(F.col("text")))).alias("all_words"))
     sized = items.withColumn("n", F.least(F.size("all_words"), F.lit(window))).where("n > 0")
     starts = F.sequence(F.lit(0), F.size("all_words") - F.col("n"))
     return (
@@ -102,14 +102,14 @@ def _document_shingles(docs: DataFrame, hashes: DataFrame, widths: list[int], wi
     return split.select("row", "doc_id", "n_words", found.alias("shingles"))
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, bits: int = FILTER_BITS):
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, bits: int = FILTER_BITS, unnamed: bool = False):
     """Documents (row, doc_id, n_words) and occurrences (row, item_id, start, n) of the items' windows in them.
 
     A window can only occur where all its shingles do, so one of them, the rarest over all documents, is enough to
     find it (the prefix of a set join at full containment). Its place in the document gives the window's start, which
     must lie within the document; then the words of document and window are compared.
     """
-    windows = checkpointed(item_windows(benchmark, window, shingle))
+    windows = checkpointed(item_windows(benchmark, window, shingle, unnamed))
     widths = sorted(row.width for row in windows.select("width").distinct().collect())
     shingles = checkpointed(window_shingles(windows, widths))
     split = written(_document_shingles(docs, shingles.select("hash"), widths, window, bits))
@@ -135,18 +135,22 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shi
     return split.select("row", "doc_id", "n_words"), found
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = SHARE) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = SHARE, unnamed: bool = False
+) -> DataFrame:
     """(row, doc_id, n_words, n_hit, n_items, items, contaminated) for every row of docs (doc_id, text).
 
     A document word is hit if it lies in an occurrence of a window: `window` consecutive words of an item, or all of
     a shorter item. contaminated: at least one word in `share` is hit. Null and wordless texts have no words and are
-    clean; items without words or id take no part, repeated items count once; repeated documents and those without id
+    clean; items without words take no part, repeated items count once; items without id take part only if unnamed,
+    count as one and are not in items; repeated documents and those without id
     stay, each judged by its own text. Empty tables give clean or no rows. Other columns are ignored.
     """
-    rows, found = occurrences(docs, benchmark, window, shingle)
+    rows, found = occurrences(docs, benchmark, window, shingle, unnamed=unnamed)
     span = F.struct("start", (F.col("start") + F.col("n")).alias("stop"))
     hits = found.groupBy("row").agg(
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
+        F.max(F.col("item_id").isNull().cast("int")).alias("n_unnamed"),
         F.array_sort(F.collect_set(span)).alias("spans"),
     )
     # Sorted spans: each adds the words after the last stop.
@@ -159,20 +163,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         ),
         lambda done: done["hit"],
     )
-    hit = hits.select("row", "items", union.alias("n_hit"))
+    hit = hits.select("row", "items", "n_unnamed", union.alias("n_hit"))
     joined = rows.join(hit, "row", "left").select(
         "row",
         "doc_id",
         F.col("n_words").cast("bigint").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("n_unnamed", F.lit(0)).alias("n_unnamed"),
     )
     return joined.select(
         "row",
         "doc_id",
         "n_words",
         "n_hit",
-        F.size("items").cast("bigint").alias("n_items"),
+        (F.size("items") + F.col("n_unnamed")).cast("bigint").alias("n_items"),
         "items",
         ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"),
     )
@@ -180,13 +185,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Docs without the contaminated ones. Rows that share a doc_id go together if one of them is contaminated; rows without an id stay."""
-    bad = contamination(docs, benchmark).where("contaminated").select("doc_id")
+    bad = contamination(docs, benchmark, unnamed=True).where("contaminated").select("doc_id")
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
-    """Contamination of all documents by all benchmark items."""
-    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    """Contamination of all documents by all benchmark items, those without id too, as in ORACLE."""
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), unnamed=True)
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
     )

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from carequeue.llm import decontaminate
@@ -78,6 +79,21 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 3, 6, 7]
 
 
+def test_items_without_id_hit_words_as_in_the_sql(spark, tmp_path):
+    docs = [(1, "one two three four"), (2, "one five"), (3, "six")]
+    items = [(None, "one two"), (None, "five"), (7, "four"), (None, None)]
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = sorted(tuple(r) for r in decontaminate.op2_decontaminate(spark, str(tmp_path)).collect())
+    with duckdb.connect() as own:
+        for name in ("documents", "benchmark"):
+            own.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        assert found == sorted(own.execute(decontaminate.ORACLE).fetchall())
+    assert [row[2:4] for row in found] == [(3, 2), (1, 1), (0, 0)]
+    kept = decontaminate.clean_documents(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
+    assert [r.doc_id for r in kept.collect()] == [3]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "some words")], DOCS)
     none, nothing = spark.createDataFrame([], ITEMS), spark.createDataFrame([], DOCS)
