@@ -14,8 +14,6 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from carequeue.llm.shared import checkpointed, table
 
-#: Rows with a declared language, chosen by a hash, whose trigrams are learned from, about.
-TRAIN_ROWS = 20_000
 #: Byte trigrams are hashed to so many places; the weight of the prior of each place.
 PLACES = 1 << 16
 SMOOTHING = 0.1
@@ -38,8 +36,8 @@ def _trigrams(text: str) -> np.ndarray:
     return (data[:-2] * 0x9E5 ^ data[1:-1] * 0x6B1 ^ data[2:]) & (PLACES - 1)
 
 
-def train(docs: DataFrame, languages: list[str], rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Log-likelihoods of trigrams, places x languages, from about `rows` rows by their declared language.
+def train(docs: DataFrame, languages: list[str]) -> np.ndarray:
+    """Log-likelihoods of trigrams, places x languages, from all rows by their declared language.
 
     Trigrams are counted by tasks and summed by place and language, so at most places x languages numbers come back.
     """
@@ -56,10 +54,8 @@ def train(docs: DataFrame, languages: list[str], rows: int = TRAIN_ROWS) -> np.n
             ["language", "place", "n"],
         )
 
-    told = docs.where(F.col("declared").isin(languages) & F.col("text").isNotNull()).select("row_id", "declared", "text")
-    share = min(1.0, rows / max(told.count(), 1))
-    chosen = told if share == 1 else told.where(F.pmod(F.xxhash64("row_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    found = chosen.select("declared", "text").mapInArrow(run, "language int, place int, n bigint").groupBy("language", "place").agg(F.sum("n").alias("n"))
+    told = docs.where(F.col("declared").isin(languages) & F.col("text").isNotNull()).select("declared", "text")
+    found = told.mapInArrow(run, "language int, place int, n bigint").groupBy("language", "place").agg(F.sum("n").alias("n"))
     counts = np.zeros((PLACES, len(languages)))
     rows_found = found.toArrow()
     counts[rows_found["place"].to_numpy(), rows_found["language"].to_numpy()] = rows_found["n"].to_numpy()

@@ -36,8 +36,6 @@ LEAST_RATIO = 16.0
 LEAST_PER_PAIR = 0.7
 #: Rules of dashes and the like are improbable as identifiers but not random: a secret has this many symbols.
 LEAST_SYMBOLS = 8
-#: Documents (chosen by a hash) whose identifiers are learned from, about; secrets are learned from all documents.
-IDENTIFIER_DOCUMENTS = 20_000
 #: Weight of the prior of each model's rows, in pairs.
 PRIOR = 66.0
 CODES = 128
@@ -116,14 +114,11 @@ def _pair_counts(values: DataFrame) -> DataFrame:
     return pairs.where(f"pair >= 0 and pair < {CODES * CODES}").groupBy("pair").agg(F.count("*").alias("n"))
 
 
-def labelled_samples(docs: DataFrame, documents: int = IDENTIFIER_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
-    """Secrets and identifiers, as distinct strings `value`: what the fixed patterns find in all documents, and words of about `documents` of them."""
+def labelled_samples(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Secrets and identifiers, as distinct strings `value`: what the fixed patterns find, and words, of all documents."""
     text = F.coalesce("text", F.lit(""))
     secrets = docs.select(F.explode(F.transform(base_spans(text), lambda x: x["value"])).alias("value"))
-    rows = docs.count()
-    share = min(1.0, documents / max(rows, 1))
-    chosen = docs if share == 1 else docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    words = chosen.select(F.explode(F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))).alias("value"))
+    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))).alias("value"))
     # A word that a fixed pattern finds is no identifier.
     return secrets.distinct(), words.distinct().where(~F.regexp_like("value", F.lit("|".join(f"({kind.pattern})" for kind in reversed(KINDS)))))
 
@@ -187,7 +182,7 @@ def find_secrets(docs: DataFrame, least: float = LEAST_RATIO, per_pair: float =
 
     base holds the fixed patterns' spans in order of start and kind, spans these and those of the Markov models, whose
     kind is the number after the last of KINDS. The models are trained here, from the documents' own labelled samples:
-    what the fixed patterns find, and a sample of words. Null and empty texts have no spans; without any samples
+    what the fixed patterns find, and words. Null and empty texts have no spans; without any samples
     the models find nothing. Repeated rows and rows without id are scanned like others. Columns of docs called
     base or spans are replaced.
     """

@@ -51,6 +51,14 @@ def test_odd_rows(spark):
     assert [(r.language, r.rejected) for r in language.identify(untold).collect()] == [("und", True)]
 
 
+def test_a_language_of_few_rows_is_learned_from_a_large_table(spark):
+    many = spark.range(60_000).selectExpr("id AS row_id", f"concat('{ENGLISH} ', id) AS text", "'en' AS declared", "'a.example.com' AS host")
+    few = spark.createDataFrame([(-1, GERMAN, "de", "b.example.de")], SCHEMA)
+    model = language.train(many.union(few), ["de", "en"])
+    places = language._trigrams(GERMAN)
+    assert model[places, 0].sum() > model[places, 1].sum() + 100
+
+
 def test_stage_keeps_rows_if_no_language_is_declared(spark):
     docs = spark.createDataFrame([(1, ENGLISH, None), (2, "12 ..", None), (3, "ж", None), (4, None, None)], "doc_id bigint, text string, lang string")
     assert sorted(r.doc_id for r in language.known_language(docs).collect()) == [1, 3]

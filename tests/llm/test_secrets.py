@@ -84,6 +84,11 @@ def test_given_documents(spark):
     assert {r.doc_id: r.spans for r in found} == expected
 
 
+def test_identifiers_of_all_documents_are_learned(spark):
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat('identifier_', id) AS text")
+    assert secrets.labelled_samples(docs)[1].count() == 30_000
+
+
 def test_odd_texts(spark):
     rows = list(enumerate(ODD)) + [(None, ODD[4]), (None, ODD[4])]
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("base", F.lit(1)).withColumn("n_chars", F.length("text").cast("bigint"))
