@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from carequeue.llm import decontaminate
+from carequeue.llm.alignment import op12_align
 from carequeue.llm.bpe import op3_bpe
 from carequeue.llm.decontaminate import op2_decontaminate
 from carequeue.llm.language import language_of_pages, op8_language
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
+    "op12_align": op12_align,
     "language_of_pages": language_of_pages,
 }
 
