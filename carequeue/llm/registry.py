@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carequeue.llm import decontaminate
+from carequeue.llm import decontaminate, merkle
 from carequeue.llm.alignment import op12_align
 from carequeue.llm.bpe import op3_bpe
 from carequeue.llm.decontaminate import op2_decontaminate
 from carequeue.llm.language import language_of_pages, op8_language
+from carequeue.llm.merkle import op11_merkle
 from carequeue.llm.neighbours import op5_neighbours
 from carequeue.llm.pages import op6_pages
 from carequeue.llm.secrets import op10_secrets
@@ -30,10 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
+    "op11_merkle": op11_merkle,
     "op12_align": op12_align,
     "language_of_pages": language_of_pages,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE,
+    "op11_merkle": merkle.ORACLE,
 }
