@@ -13,6 +13,7 @@ from carequeue.llm.decontaminate import op2_decontaminate
 from carequeue.llm.language import language_of_pages, op8_language
 from carequeue.llm.merkle import op11_merkle
 from carequeue.llm.neighbours import op5_neighbours
+from carequeue.llm.ngram_join import op13_similar
 from carequeue.llm.pages import op6_pages
 from carequeue.llm.secrets import op10_secrets
 from carequeue.llm.simhash import op1_simhash
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
     "op11_merkle": op11_merkle,
     "op12_align": op12_align,
+    "op13_similar": op13_similar,
     "language_of_pages": language_of_pages,
 }
 
