@@ -20,13 +20,16 @@ from tokenizers import Tokenizer
 from carequeue.llm.shared import table, written
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Characters of text that are aligned together, and words a worker process remembers.
-GROUP_CHARS = 4_000_000
-WORDS = 400_000
+#: Characters of text that are aligned together, words a worker process remembers, and words encoded together.
+GROUP_CHARS = 1_000_000
+WORDS = 300_000
+BATCH = 2000
 #: How the second tokenizer writes a space.
 SPACE = "▁"
 # A single space between two visible characters: neither tokenizer lets a token reach over its left side.
 _CUT = re.compile(rf" (?<=[^\s{SPACE}] )(?=[^\s{SPACE}])")
+# Words that are encoded alone: a space before or after them could join theirs.
+_ODD_ENDS = re.compile(rf"^\s|\s$|{SPACE}|^$")
 
 ALIGNED = (
     "digest binary, copies bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<int>"
@@ -57,8 +60,12 @@ class Aligner:
         self.a_bytes, self.b_bytes = self._a_bytes(a_path), self._b_bytes()
         if any(b" " in token.lstrip(b" ") for token in self.b_bytes):
             raise ValueError("a token of the second tokenizer reaches over a space between words")
+        self.a_sizes, self.b_sizes = (np.array([len(token) for token in own]) for own in (self.a_bytes, self.b_bytes))
+        # Each id as text, followed by a comma or by what ends its side of a group.
+        self.texts = [f"{k}{end}" for own, last in ((self.a_bytes, "|"), (self.b_bytes, ";")) for k in range(len(own)) for end in ("," + last)]
         self.codes = self._possible_pairs()
-        self.known: dict[str, tuple[str, bytes, bytes] | None] = {}
+        self.known: dict[str, tuple[str, bytes, int, int] | None] = {}
+        self.older: dict[str, tuple[str, bytes, int, int] | None] = {}
 
     def _a_bytes(self, path: str) -> list[bytes]:
         with open(path, encoding="utf-8") as lines:
@@ -91,37 +98,49 @@ class Aligner:
             codes.update(a * size + number for cut in range(len(token)) for a in of_a.get(token[cut:], ()))
         return np.array(sorted(codes), np.int64)
 
-    def ids(self, words: list[str]) -> list[tuple[list[int], list[int]]]:
-        first = [found.ids for found in self.a.encode_batch([" " + word for word in words], add_special_tokens=False)]
-        return list(zip(first, self.b.encode(words, num_threads=1), strict=True))
-
-    def _linked(self, word: str, a_ids: list[int], b_ids: list[int]) -> tuple[str, bytes, bytes] | None:
-        """Groups as text, the pairs' numbers, and the numbers of tokens, of one word; None if the tokens do not spell it."""
-        spelled = b" " + word.encode()
-        a_tokens, b_tokens = [self.a_bytes[k] for k in a_ids], [self.b_bytes[k] for k in b_ids]
-        if b"".join(a_tokens) != spelled or b"".join(b_tokens) != spelled:
-            return None
-        groups, codes = [], []
-        i = j = a_end = b_end = a_from = b_from = 0
-        while i < len(a_ids):
-            a_end += len(a_tokens[i])
-            i += 1
-            while b_end < a_end:
-                b_end += len(b_tokens[j])
-                j += 1
-            if a_end == b_end:
-                groups.append(f"{','.join(map(str, a_ids[a_from:i]))}|{','.join(map(str, b_ids[b_from:j]))}")
-                codes.append(a_ids[i - 1] * len(self.b_bytes) + b_ids[j - 1])
-                a_from, b_from = i, j
-        pairs = np.searchsorted(self.codes, np.array(codes, np.int64)).astype(np.int32)
-        return ";".join(groups), pairs.tobytes(), np.array([len(a_ids), len(b_ids)], np.int64).tobytes()
+    def _encoded(self, words: list[str]) -> list[tuple[str, bytes, int, int] | None]:
+        """Groups as text, the pairs' numbers and the numbers of tokens of each word; None if the tokens do not spell it.
+
+        Words are encoded in one text, since no token reaches over a cut; if it is not spelled, each word alone.
+        """
+        text = " ".join(words)
+        a = np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.int64)
+        b = np.array(self.b.encode(text), np.int64)
+        spelled = (" " + text).encode()
+        if any(b"".join([of[k] for k in ids.tolist()]) != spelled for of, ids in ((self.a_bytes, a), (self.b_bytes, b))):
+            return [None] if len(words) == 1 else [self._encoded([word])[0] for word in words]
+        ends = np.cumsum([len(word.encode()) + 1 for word in words])
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        both = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_last, b_last = np.searchsorted(a_ends, both), np.searchsorted(b_ends, both)
+        pairs = np.searchsorted(self.codes, a[a_last] * len(self.b_bytes) + b[b_last]).astype(np.int32)
+        # All ids as text in the order of the groups: a group's first ids, then its second ids, each with what follows it.
+        a_group, b_group = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.concatenate(([0], b_last + 1))[a_group]] = 2 * a + np.isin(np.arange(len(a)), a_last)
+        order[np.arange(len(b)) + a_last[b_group] + 1] = 2 * (len(self.a_bytes) + b) + np.isin(np.arange(len(b)), b_last)
+        texts = [self.texts[k] for k in order.tolist()]
+        last = np.searchsorted(both, ends)
+        bounds = [np.concatenate(([0], own)).tolist() for own in (last + 1, a_last[last] + 1, b_last[last] + 1)]
+        return [
+            ("".join(texts[a0 + b0 : a1 + b1]), pairs[g0:g1].tobytes(), a1 - a0, b1 - b0)
+            for (g0, a0, b0), (g1, a1, b1) in zip(zip(*bounds), list(zip(*bounds))[1:])
+        ]
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > WORDS:
-            self.known = {}
+        """Have all the words in `known`. When it is full it becomes the older half, from which words met again come back."""
+        if len(self.known) + len(words) > WORDS // 2:
+            self.older, self.known = self.known, {}
+        for word in words & self.older.keys():
+            self.known[word] = self.older[word]
         new = [word for word in words if word not in self.known]
-        for word, (a_ids, b_ids) in zip(new, self.ids(new), strict=True):
-            self.known[word] = self._linked(word, a_ids, b_ids)
+        odd = [word for word in new if _ODD_ENDS.search(word)]
+        plain = [word for word in new if not _ODD_ENDS.search(word)] if odd else new
+        for begin in range(0, len(plain), BATCH):
+            part = plain[begin : begin + BATCH]
+            self.known.update(zip(part, self._encoded(part), strict=True))
+        for word in odd:
+            self.known[word] = self._encoded([word])[0]
 
     def align(self, texts: list[str]) -> Iterator[tuple[int, int, str, np.ndarray]]:
         """For each text the numbers of tokens, its groups as text and its pairs' numbers."""
@@ -133,9 +152,8 @@ class Aligner:
             if not found or None in found:
                 yield 0, 0, "", none
                 continue
-            groups, pairs, sizes = zip(*found)
-            n_a, n_b = np.frombuffer(b"".join(sizes), np.int64).reshape(-1, 2).sum(axis=0)
-            yield int(n_a), int(n_b), ";".join(groups), np.frombuffer(b"".join(pairs), np.int32)
+            groups, pairs, n_a, n_b = zip(*found)
+            yield sum(n_a), sum(n_b), "".join(groups)[:-1], np.frombuffer(b"".join(pairs), np.int32)
 
 
 @lru_cache(maxsize=2)
