@@ -32,6 +32,10 @@ COLUMNS = 1024
 FEW_PAIRS = 64
 PAIRS = 2_000_000
 
+#: Rounds in which sets with too few shared keys go, and bits that tell tasks which texts to cut again (2 MB).
+PEELS = 2
+MARK_BITS = 1 << 24
+
 _GOLDEN = 0x9E3779B97F4A7C15
 _ODD = np.uint64(_GOLDEN)
 _HALF = np.uint64(32)
@@ -108,6 +112,25 @@ def range_keys(sets: list[np.ndarray], percent: int = PERCENT) -> list[np.ndarra
     return [np.concatenate(own) for own in keys]
 
 
+def least_keys(sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """How many keys a set of each size shares at least with any set that it links to and does not equal.
+
+    A link of S shingles in both sets agrees in all ranges but those that its differences may touch; of these ranges the
+    spare ones may be empty. S is most where the other set is as large as the link and the band allow.
+    """
+    least, cuts, spare = _bands(percent)
+    bands = np.searchsorted(least, sizes, side="right") - 1
+    found = np.full(len(sizes), np.iinfo(np.int32).max, np.int64)
+    open_ = sizes > 0
+    while open_.any():
+        most = np.minimum(100 * sizes // percent, least[bands + 1] - 1)
+        needed = cuts[bands] - spare[bands] - (sizes + most) * (100 - percent) // (100 + percent)
+        found = np.where(open_ & (cuts[bands] > 0), np.minimum(found, needed), found)
+        bands = bands + 1
+        open_ &= percent * least[bands] <= 100 * sizes
+    return np.maximum(found, 1)
+
+
 def _add_keys(keys: list, sets: list[np.ndarray], rows: np.ndarray, bands: np.ndarray, cuts: np.ndarray, spare: np.ndarray) -> None:
     sizes = np.array([len(own) for own in sets])
     flat = np.concatenate(sets)
@@ -164,7 +187,8 @@ def _shingled(batches: Iterator[pa.RecordBatch], width: int, beside: int) -> Ite
 
 
 def marked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, mark, n, high, low, keys) for every row: hash of its text, its set's size and digest, its ranges' keys.
+    """(doc_id, mark, n, high, low, needed, keys) for every row: hash of its text, its set's size and digest, and its ranges'
+    keys, of which it shares the needed number at least with any set it links to.
 
     The keys of a set that a task has met before are left out: copies of a text are one row per task where keys meet.
     """
@@ -183,12 +207,13 @@ def marked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
                     new.append(k)
             for k, found in zip(new, range_keys([sets[k] for k in new], percent)):
                 keys[k] = found
-            columns = [*beside, *(pa.array(values, pa.int64()) for values in digests), _lists(keys)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n", "high", "low", "keys"])
+            needed = least_keys(np.array(digests[0], np.int64), percent)
+            columns = [*beside, *(pa.array(values, pa.int64()) for values in (*digests, needed)), _lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n", "high", "low", "needed", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, mark bigint, n bigint, high bigint, low bigint, keys array<bigint>"
+        run, f"doc_id {kind}, mark bigint, n bigint, high bigint, low bigint, needed bigint, keys array<bigint>"
     )
 
 
@@ -296,8 +321,8 @@ def block_links(
     return _stars(mask & (left_ids[:, None] != right_ids[None, :]), left_ids, right_ids)
 
 
-def _product(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) from the blocks (key, a, b, side, id): side 1 is a left row, 2 a right one, 0 both.
+def _products(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) from the rows (key, a, b, side, id, shingles) of blocks: side 1 is a left row, 2 a right one, 0 both.
 
     Blocks are shuffled whole and read in their order; one block at a time is held, with bounded rows and shingles
     (or one large set on a side).
@@ -325,8 +350,8 @@ def _product(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if held:
             yield links()
 
-    rows = blocks.join(sets, "id").select("key", "a", "b", "side", "id", "shingles")
-    return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(run, "u bigint, v bigint")
+    dealt = rows.select("key", "a", "b", "side", "id", "shingles").repartition("key", "a", "b")
+    return dealt.sortWithinPartitions("key", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
 def _blocks_of(rows: Column, shingles: Column) -> Column:
@@ -384,18 +409,64 @@ def other_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
     return left.union(right)
 
 
+def live_members(members: DataFrame) -> DataFrame:
+    """Members (key, id, n, needed) of the sets that share as many keys as a link needs, and of keys that several such sets have."""
+    for _ in range(PEELS):
+        enough = members.groupBy("id").agg((F.count("*") >= F.min("needed")).alias("enough")).where("enough")
+        members = members.join(enough.select("id"), "id", "left_semi")
+        several = members.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
+        members = checkpointed(members.join(several.select("key"), "key", "left_semi"))
+    return members
+
+
+def gathered(members: DataFrame) -> DataFrame:
+    """(id, group, whole) of the live sets: those that keys hold together, and whether the group is one block of the product.
+
+    Sets of different groups have no key in common. Most groups are a few near copies and become a block each, to which
+    every set goes once; larger groups are multiplied key by key.
+    """
+    first = members.groupBy("key").agg(F.min("id").alias("v"))
+    groups = connected_components(members.join(first, "key").select(F.col("id").alias("u"), "v"))
+    placed = checkpointed(members.groupBy("id").agg(F.min("n").alias("n")).join(groups.withColumnRenamed("node", "id"), "id"))
+    sizes = placed.groupBy("component").agg((_blocks_of(F.count("*"), F.sum("n")) == 1).alias("whole"))
+    return placed.join(sizes, "component").select("id", F.col("component").alias("group"), "whole")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of the wanted sets (id, doc_id, mark, n, high, low): the texts of one row each are cut anew."""
+    """The wanted sets (mark, n, high, low, ...) with their shingles: the texts with their marks are cut anew.
+
+    Which texts to cut a task sees in a bitmap of the marks, of a fixed size: it may let others pass, which find no
+    wanted set of their digest. So no text is shuffled. Copies of a text are cut once in a task.
+    """
+    bits = wanted.select(F.pmod("mark", F.lit(MARK_BITS)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
+    )
+    found = bits.toArrow()
+    words = np.zeros(MARK_BITS // 64, np.int64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy()
+    marks = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _shingled(batches, width, 0):
+        met: set[int] = set()
+
+        def passing() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column(0).to_numpy()
+                bit = own % MARK_BITS
+                take = []
+                for k in np.flatnonzero(marks.value[bit >> 6] >> (bit & 63) & 1).tolist():
+                    if own[k] not in met:
+                        met.add(own[k])
+                        take.append(k)
+                yield batch.take(pa.array(take, pa.int64())).select([1])
+
+        for _, sets in _shingled(passing(), width, 0):
             columns = [*(pa.array(x, pa.int64()) for x in _digests(sets)), pa.array([own.tobytes() for own in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["n", "high", "low", "shingles"])
 
-    rows = wanted.select(F.col("doc_id").alias("of"), F.col("mark").alias("own"))
-    texts = docs.select("doc_id", "text").join(rows, F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("own")), "left_semi")
-    found = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "n bigint, high bigint, low bigint, shingles binary")
-    return found.join(wanted.select("id", "n", "high", "low"), ["n", "high", "low"]).select("id", "shingles").dropDuplicates(["id"])
+    texts = docs.select(F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    cut = texts.mapInArrow(run, "n bigint, high bigint, low bigint, shingles binary")
+    return cut.join(wanted.drop("mark"), ["n", "high", "low"]).dropDuplicates(["n", "high", "low"])
 
 
 def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -409,28 +480,41 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     empty result. Shingles are told by 64 bits and sets by 128.
     """
     marks = written(marked(docs, width, percent))
-    one = marks.where("n > 0").groupBy("n", "high", "low").agg(
-        F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("mark", "doc_id"), F.min("mark")).alias("mark")
-    )
+    one = marks.where("n > 0").groupBy("n", "high", "low", "needed").agg(F.min("doc_id").alias("doc_id"), F.min("mark").alias("mark"))
     # Numbered in the order in which they are written, which stays.
     classes = written(one.withColumn("id", F.monotonically_increasing_id()))
     keys = marks.where("n > 0").select("low", F.explode("keys").alias("key"))
-    members = written(shared_keys(keys).join(classes.select("low", "id", "n"), "low").select("key", "id", "n"))
-    wanted = classes.join(members.select("id").distinct(), "id", "left_semi")
-    sets = written(_sets(docs, wanted, width))
-    links = checkpointed(_product(first_blocks(members), sets, percent))
-    near = connected_components(links).select(F.col("node").alias("id"), F.col("component"))
-    labels = wanted.select("id").join(near, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
-    linked = connected_components(links.union(_product(other_blocks(members, labels), sets, percent)))
+    named = classes.select("low", "id", "n", "needed")
+    members = live_members(checkpointed(shared_keys(keys).join(named, "low").select("key", "id", "n", "needed")))
+    groups = checkpointed(gathered(members))
+    wanted = classes.join(groups, "id").select("mark", "n", "high", "low", "id", "group", "whole")
+    sets = written(_sets(docs, wanted, width).select("id", "group", "whole", "shingles"))
+    none = F.lit(0)
+    whole = sets.where("whole").select(F.col("group").alias("key"), none.alias("a"), none.alias("b"), none.alias("side"), "id", "shingles")
+    links = _products(whole, percent).union(_large_links(members, groups.where("not whole"), sets.where("not whole"), percent))
+    linked = connected_components(links)
     grouped = checkpointed(classes.join(linked.withColumnRenamed("node", "id"), "id").select("n", "high", "low", "doc_id", "component"))
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("least"))
+    found = marks.select("doc_id", "n", "high", "low")
     alone = classes.join(linked.select(F.col("node").alias("id")), "id", "left_anti").select("n", "high", "low", F.col("doc_id").alias("least"))
     named = grouped.join(least, "component").select("n", "high", "low", "least").union(alone)
-    return marks.drop("keys", "mark").join(named, ["n", "high", "low"], "left").select(
+    return found.join(named, ["n", "high", "low"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
+def _large_links(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside groups that are too large for a block: of the first blocks, then of what they leave unconnected."""
+    if groups.isEmpty():
+        return groups.select(F.col("id").alias("u"), F.col("id").alias("v"))
+    members = checkpointed(members.join(groups.select("id"), "id", "left_semi"))
+    sets = sets.select("id", "shingles")
+    links = checkpointed(_products(first_blocks(members).join(sets, "id"), percent))
+    near = connected_components(links).select(F.col("node").alias("id"), F.col("component"))
+    labels = groups.select("id").join(near, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
+    return links.union(_products(other_blocks(members, labels).join(sets, "id"), percent))
+
+
 def op13_similar(spark: SparkSession, folder: str) -> DataFrame:
     """Components of all documents."""
     return similar_documents(table(spark, folder, "documents"))
