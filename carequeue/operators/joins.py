@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: How many equal rows a folded row stands for.
+COPIES = "_copies"
+
+
 def keep_left(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """``left`` outer-joined to the many rows of ``right``, as inner join plus anti join.
+    """``left`` outer-joined to the many rows of ``right``, of which equal ones are folded into one, counted in ``COPIES``.
 
-    AQE may split a hot key on either side of an inner join, but never on the optional side of
-    an outer join. The unmatched rows need only the distinct keys of ``right``, combined on the
-    map side. Rows without a key match nothing and never enter a join on it, so they cannot pile
-    up in one task either; the shuffle of the others serves both joins.
+    Each row stands for that many rows of the join; ``summarise`` takes the column as its weight. ``right`` is read
+    once. AQE may not split a hot key on the optional side of an outer join, so rows are folded before it: each task
+    folds its own, a hot key's rows are shuffled by all their columns, and what is left of them is as much as they have
+    different values. So name no column of ``right`` that the report does not need, least of all an id.
     """
-    keyed = left.where(F.col(key).isNotNull())
-    matched = keyed.join(right, key)
-    unmatched = keyed.join(right.select(key).distinct(), key, "left_anti")
-    keyless = left.where(F.col(key).isNull())
-    return matched.unionByName(unmatched.unionByName(keyless), allowMissingColumns=True)
+    folded = right.where(F.col(key).isNotNull()).groupBy(*right.columns).agg(F.count(F.lit(1)).alias(COPIES))
+    return left.join(folded, key, "left").fillna(1, [COPIES])
 
 
 def known_only(rows: DataFrame, dimension: DataFrame, key: str) -> DataFrame:

@@ -24,17 +24,22 @@ def summarise(
     medians: Mapping[str, str] | None = None,
     distinct: Mapping[str, str] | None = None,
     distinct_where: Mapping[str, tuple[str, str]] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per group of ``keys`` (or one row in all, if there are none).
 
     ``counts`` are whole-number expressions to add up (0 over no rows), ``medians`` whole-number
     expressions to take the interpolated exact median of, ``distinct`` ids to count without nulls.
-    ``distinct_where`` counts those ids of a ``distinct`` entry that meet a test on any row.
+    ``distinct_where`` counts those ids of a ``distinct`` entry that meet a test on any row. With a ``weight``, a
+    whole-number column, a row stands for so many equal ones in counts and medians.
     """
     medians, distinct, tested = dict(medians or {}), dict(distinct or {}), dict(distinct_where or {})
     values = [*medians, *distinct]
-    measures = {**medians, **distinct, **{name: f"CAST({text} AS BIGINT)" for name, text in counts.items()}}
+    times = f" * {weight}" if weight else ""
+    measures = {**medians, **distinct, **{name: f"CAST({text} AS BIGINT){times}" for name, text in counts.items()}}
     measures |= {name: f"CAST({flag(test)} AS BIGINT)" for name, (_, test) in tested.items()}
+    if weight:
+        measures["_weight"] = weight
     narrow = _select([*keys, *named(measures)], "{rows}")
     added = [f"sum({name}) AS {name}" for name in counts] + [f"max({name}) AS {name}" for name in tested]
     totals = [f"coalesce(sum({name}), 0L) AS {name}" for name in (*distinct, *tested, *counts)]
@@ -48,7 +53,8 @@ def summarise(
     else:
         listed = ", ".join(f"({', '.join([*keys, value])})" for value in values)
         sets, which = f"GROUP BY GROUPING SETS ({listed})", "grouping_id(" + ", ".join(columns) + ")"
-    broken_down = _select([*columns, f"{which} AS _set", "count(*) AS _rows", *added], f"({narrow})") + f" {sets}"
+    size = "sum(_weight)" if weight else "count(*)"
+    broken_down = _select([*columns, f"{which} AS _set", f"{size} AS _rows", *added], f"({narrow})") + f" {sets}"
 
     def within(value: str, measure: str) -> str:
         # grouping_id sets one bit for each column that a set leaves out

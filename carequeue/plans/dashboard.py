@@ -26,7 +26,7 @@ from carequeue.operators.scores import of_max, of_max_or_zero, ordered, with_max
 from carequeue.operators.settle import settled
 from carequeue.operators.summary import summarise
 from carequeue.params import Filters, Settings
-from carequeue.plans.linked import linked
+from carequeue.plans.linked import Page, linked
 from carequeue.plans.views import zip_friction
 
 KPIS = [
@@ -126,15 +126,17 @@ def _kpi_summary(mart, filters: Filters, settings: Settings, friction, keys=(),
         scores = friction.selectExpr(
             "zip_code", "CAST(round(access_friction_score * 100D, 0) AS BIGINT) AS friction_hundredths"
         )
-        mart = _Scored(mart, scores)
+    on_page = scored and isinstance(mart, Page)
     rows = linked(
-        mart,
+        _Scored(mart, scores) if scored and not on_page else mart,
         appointment=_VISIT,
         referral=["referral_created_date", "referral_status"],
-        patient=["friction_hundredths"] if scored else [],
+        patient=["zip_code"] if on_page else ["friction_hundredths"] if scored else [],
         clinic=[],
         filters=filters,
     )
+    if on_page:
+        rows = rows.join(scores, "zip_code", "left")
     grouped = summarise(
         rows.selectExpr("*", *extra) if extra else rows,
         keys,

@@ -6,10 +6,31 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from carequeue.operators.joins import known_only
+from carequeue.operators.settle import settled
 from carequeue.params import Filters
 
+# What reports ask of each table.
+VISIT = [
+    "appointment_id",
+    "appointment_date",
+    "appointment_status",
+    "appointment_type",
+    "visit_mode",
+    "clinic_id",
+    "provider_id",
+]
+REFERRAL = ["referral_created_date", "referral_status"]
+PERSON = [
+    "zip_code",
+    "insurance_type",
+    "age_group",
+    "preferred_language",
+    "transportation_risk_flag",
+]
+
 
 def linked(
     mart,
@@ -23,8 +44,10 @@ def linked(
 
     ``None`` leaves a table out; no columns keeps it as an existence test. Patients go onto
     referrals first where a mart allows it, so that the appointments, the largest table, are
-    shuffled once.
+    shuffled once. A ``Page`` has the rows at hand.
     """
+    if isinstance(mart, Page):
+        return mart.linked(appointment, referral, patient, clinic, filters)
     asked = ["referral_id", *appointment]
     if clinic is not None:
         asked.append("clinic_id")
@@ -61,3 +84,54 @@ def _attach(rows, mart, role, key, columns, filtered, tests) -> DataFrame:
 
 def _where(frame: DataFrame, tests: Sequence[Column]) -> DataFrame:
     return frame.where(reduce(lambda a, b: a & b, tests)) if tests else frame
+
+
+class Page:
+    """A mart whose appointments were joined to their referral, patient and clinic and written once.
+
+    All the filtered reports of a page, and the ZIP scores, read those rows instead of joining the facts again. Rows
+    are kept whatever the filters, and without a patient or clinic too, since not all reports ask for them; each
+    report applies its own filters.
+    """
+
+    def __init__(self, mart):
+        self.mart, self.spark = mart, mart.spark
+        self.patient_from_referral = mart.patient_from_referral
+        patients = mart.table("patient", "patient_id", *PERSON).withColumn("_patient", F.lit(True))
+        clinics = mart.table("clinic", "clinic_id", "clinic_name").withColumn("_clinic", F.lit(True))
+        referrals = mart.table("referral", "referral_id", "patient_id", *REFERRAL)
+        own = [] if self.patient_from_referral else ["patient_id"]
+        visits = mart.table("appointment", "referral_id", *own, *VISIT).join(clinics, "clinic_id", "left")
+        if self.patient_from_referral:
+            rows = visits.join(referrals.join(patients, "patient_id", "left"), "referral_id").withColumn("_home", F.col("zip_code"))
+        else:
+            homes = mart.table("patient", "patient_id", "zip_code").withColumnRenamed("zip_code", "_home")
+            placed = referrals.join(homes, "patient_id", "left").drop("patient_id")
+            rows = visits.join(placed, "referral_id").join(patients, "patient_id", "left")
+        self.rows = settled(rows.select("referral_id", *VISIT, *REFERRAL, *PERSON, "clinic_name", "_home", "_patient", "_clinic"))
+
+    def table(self, role: str, *columns: str) -> DataFrame:
+        return self.mart.table(role, *columns)
+
+    def linked(
+        self,
+        appointment: Sequence[str],
+        referral: Sequence[str],
+        patient: Sequence[str] | None,
+        clinic: Sequence[str] | None,
+        filters: Filters,
+    ) -> DataFrame:
+        """What ``linked`` gives, from the written rows."""
+        tests = [*filters.on_appointment()]
+        if patient is not None:
+            tests += [F.col("_patient"), *filters.on_patient()]
+        if clinic is not None:
+            tests += [F.col("_clinic"), *filters.on_clinic()]
+        columns = ["referral_id", *appointment, *referral, *(patient or ()), *(clinic or ())]
+        return _where(self.rows, tests).select(*dict.fromkeys(columns))
+
+    def placed_visits(self) -> DataFrame:
+        """Appointments of referrals whose patient has a ZIP code."""
+        columns = ["referral_id", "_home AS zip_code", "referral_created_date", "referral_status"]
+        visit = ["appointment_id", "appointment_date", "appointment_status", "visit_mode"]
+        return self.rows.where("_home IS NOT NULL").selectExpr(*columns, *visit)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carequeue.functions.expressions import LAG, flag, ratio, risk_bucket, round_to, status
+from carequeue.operators.ordered import running_totals
+from carequeue.operators.selection import cut_texts
 from carequeue.operators.settle import settled
 from carequeue.params import Settings
 from carequeue.plans.actions import top
@@ -41,6 +43,8 @@ CATEGORICAL = [
 OUTCOMES = ["completed", "no_show", "canceled", "rescheduled"]
 TEST_SHARE = 0.25
 MAX_ITERATIONS = 1000
+#: What decides whether a row is held out; rows without an id share one.
+ID_HASH = "md5(coalesce(CAST(appointment_id AS STRING), ''))"
 TOP_RISKS = 50
 MODEL_NOTE = (
     "For operational outreach prioritization only. "
@@ -162,16 +166,38 @@ def _typed(features: DataFrame) -> DataFrame:
     )
 
 
-def is_test_row(id_column: str = "appointment_id") -> str:
-    """About a quarter of the ids, by their hash: needs no shuffle and is the same in every run."""
-    share = int(TEST_SHARE * 2**32)
-    return f"CAST(conv(substr(md5(CAST({id_column} AS STRING)), 1, 8), 16, 10) AS BIGINT) < {share}"
+def hold_out_sizes(rows: dict[int, int], share: float = TEST_SHARE) -> dict[int, int]:
+    """Hold-out rows of each class: the share of all rows, rounded up, in proportion to the classes.
+
+    Each class gets the whole part of its share; rows left over go to the largest remainders, the smaller class first.
+    """
+    total = sum(rows.values())
+    taken = math.ceil(share * total)
+    sizes = {key: n * taken // total for key, n in rows.items()}
+    by_remainder = sorted(rows, key=lambda key: (-(rows[key] * taken % total), key))
+    for key in by_remainder[: taken - sum(sizes.values())]:
+        sizes[key] += 1
+    return sizes
+
+
+def hold_out(features: DataFrame, share: float = TEST_SHARE) -> str:
+    """The test, as SQL text, that a row of ``features`` is in the stratified hold-out part.
+
+    Of each class the rows with the least hashes of their id are held out, as many as its share: the same rows in every
+    run, whatever the partitions. The features are read a few times over, so they should be settled; see ``cut_texts``.
+    """
+    counts = {row[TARGET]: row.n for row in features.groupBy(TARGET).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return "FALSE"
+    cuts = cut_texts(features, TARGET, ID_HASH, hold_out_sizes(counts, share))
+    below = " ".join(f"WHEN {key} THEN {ID_HASH} < '{cut}'" for key, cut in sorted(cuts.items()))
+    return f"(CASE {TARGET} {below} END)"
 
 
 def split_counts(features: DataFrame) -> DataFrame:
     """Rows per class in the training and the hold-out part."""
     return features.sparkSession.sql(
-        f"""SELECT CASE WHEN {is_test_row()} THEN 'test' ELSE 'train' END AS split, {TARGET},
+        f"""SELECT CASE WHEN {hold_out(features)} THEN 'test' ELSE 'train' END AS split, {TARGET},
                    count(*) AS row_count
             FROM {{features}} GROUP BY 1, 2""",
         features=features,
@@ -194,10 +220,14 @@ class RiskModel:
         return RiskModel(PipelineModel.load(f"{path}/pipeline"), spark.read.parquet(f"{path}/fill"))
 
 
-def training_part(features: DataFrame) -> DataFrame:
-    """The imputed rows that models learn from, settled with the values that were filled in taken from them alone."""
-    part = features.where(f"NOT ({is_test_row()})")
-    return settled(impute(part, settled(fill_values(part))))
+def training_part(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The imputed rows that models learn from, and the row of values that were filled in, taken from them alone.
+
+    ``features`` should be settled: training rows are not written again but filled in whenever they are read.
+    """
+    part = features.where(f"NOT {hold_out(features)}")
+    fill = settled(fill_values(part))
+    return impute(part, fill), fill
 
 
 def class_weights(learn: DataFrame) -> DataFrame:
@@ -220,20 +250,18 @@ def scaling(learn: DataFrame) -> DataFrame:
     )
 
 
-def train(features: DataFrame) -> RiskModel:
-    """Impute, scale, one-hot encode and fit a class-balanced logistic regression on the training part.
+def _weight(classes: Sequence) -> str:
+    return "CASE " + " ".join(f"WHEN {TARGET} = {row[TARGET]} THEN {row.class_weight!r}D" for row in classes) + " END"
 
-    The training rows are written out once, since every stage and every iteration reads them again.
-    """
-    part = features.where(f"NOT ({is_test_row()})")
-    fill = settled(fill_values(part))
-    learn = settled(impute(part, fill))
+
+def train(features: DataFrame) -> RiskModel:
+    """Impute, scale, one-hot encode and fit a class-balanced logistic regression on the training part of settled features."""
+    learn, fill = training_part(features)
     # Two classes and four numeric features, so as many rows.
     classes = class_weights(learn).collect()
     if not classes:
         raise NoTrainingData("No appointment data found: load appointments before training")
     total = sum(row.row_count for row in classes)
-    weight = "CASE " + " ".join(f"WHEN {TARGET} = {row[TARGET]} THEN {row.class_weight!r}D" for row in classes)
     scaled = ", ".join(
         f"({row.feature} - {row.mean!r}D) / {row.deviation or 1.0!r}D AS _{row.feature}_scaled" for row in scaling(learn).collect()
     )
@@ -255,7 +283,7 @@ def train(features: DataFrame) -> RiskModel:
             standardization=False,
         ),
     ]
-    pipeline = Pipeline(stages=stages).fit(learn.selectExpr("*", f"{weight} END AS _weight"))
+    pipeline = Pipeline(stages=stages).fit(learn.selectExpr("*", f"{_weight(classes)} AS _weight"))
     return RiskModel(pipeline, fill)
 
 
@@ -267,6 +295,51 @@ def score(model: RiskModel, features: DataFrame) -> DataFrame:
     ).selectExpr("*", f"{risk_bucket(PROBABILITY)} AS risk_bucket")
 
 
+def coefficients(model: RiskModel) -> DataFrame:
+    """(feature, value, coefficient) of the fitted model: one row for the intercept, each numeric feature, and each value of
+    the others. As many rows as the dimensions have values."""
+    _, indexer, _, _, regression = model.pipeline.stages
+    names = [(name, None) for name in NUMERIC]
+    names += [(name, value) for name, values in zip(CATEGORICAL, indexer.labelsArray, strict=True) for value in values]
+    rows = [("intercept", None, float(regression.intercept))]
+    rows += [(*name, float(own)) for name, own in zip(names, regression.coefficients, strict=True)]
+    return model.fill.sparkSession.createDataFrame(rows, "feature string, value string, coefficient double")
+
+
+def encoded(rows: DataFrame, scaling_of: DataFrame) -> DataFrame:
+    """Rows laid out as (feature, value, x) beside their other columns: what each coefficient is multiplied by."""
+    moments = {row.feature: row for row in scaling_of.collect()}
+    cells = ["struct('intercept' AS feature, CAST(NULL AS STRING) AS value, 1D AS x)"]
+    cells += [f"struct('{n}' AS feature, CAST(NULL AS STRING) AS value, ({n} - {moments[n].mean!r}D) / {moments[n].deviation or 1.0!r}D AS x)" for n in NUMERIC]
+    cells += [f"struct('{name}' AS feature, {name} AS value, CASE WHEN {name} IS NOT NULL THEN 1D END AS x)" for name in CATEGORICAL]
+    others = [name for name in rows.columns if name not in (*NUMERIC, *CATEGORICAL)]
+    return rows.selectExpr(*others, f"inline(array({', '.join(cells)}))").where("x IS NOT NULL")
+
+
+def optimality(model: RiskModel, features: DataFrame) -> DataFrame:
+    """(feature, value, coefficient, residual): how far each coefficient is from where the loss is least.
+
+    The loss, a weighted mean over the training rows and a penalty on all coefficients but the intercept, is strictly
+    convex. So the fit is the best one if and only if its gradient, sum of w (p - y) x over sum of w, plus the
+    penalty's slope is zero for every coefficient. One grouped aggregate over the encoded rows, combined on the map side.
+    """
+    learn, _ = training_part(features)
+    weight = _weight(class_weights(learn).collect())
+    probability = model.pipeline.transform(learn).select(*learn.columns, vector_to_array("probability")[1].alias("_p"))
+    errors = probability.selectExpr("*", f"{weight} AS _w").selectExpr("*", f"_w * (_p - {TARGET}) AS _error")
+    slopes = encoded(errors, scaling(learn)).groupBy("feature", "value").agg(F.sum(F.expr("_error * x")).alias("slope"))
+    regression = model.pipeline.stages[-1]
+    return features.sparkSession.sql(
+        f"""SELECT c.feature, c.value, coefficient,
+                   abs(slope / (SELECT sum(_w) FROM {{errors}})
+                       + CASE WHEN c.feature = 'intercept' THEN 0D ELSE {regression.getRegParam()!r}D * coefficient END) AS residual
+            FROM {{fitted}} c LEFT JOIN {{slopes}} s ON c.feature = s.feature AND c.value <=> s.value""",
+        fitted=coefficients(model),
+        slopes=slopes,
+        errors=errors,
+    )
+
+
 def predictions(scored: DataFrame) -> DataFrame:
     return scored.select("appointment_id", PROBABILITY, "risk_bucket")
 
@@ -293,24 +366,37 @@ def classification_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFra
     )
 
 
-def roc_auc(scored: DataFrame) -> float:
-    """Exact area under the ROC curve, from a distributed sort over all distinct probabilities."""
-    curve = BinaryClassificationEvaluator(
-        rawPredictionCol=PROBABILITY, labelCol=TARGET, metricName="areaUnderROC", numBins=0
+def area_under_curve(scored: DataFrame) -> DataFrame:
+    """One row: the exact area under the ROC curve, null if a class is missing.
+
+    The share of pairs of a positive and a negative row that the scores order rightly, equal scores counting half. Rows
+    are first counted by score; a score's positives then beat the negatives below it, a running total.
+    """
+    counted = scored.groupBy(PROBABILITY).agg(
+        F.count_if(F.col(TARGET) == 1).alias("positives"), F.count_if(F.col(TARGET) == 0).alias("negatives")
     )
-    return curve.evaluate(scored.selectExpr(PROBABILITY, f"CAST({TARGET} AS DOUBLE) AS {TARGET}"))
+    return scored.sparkSession.sql(
+        """SELECT sum(positives * (negatives_before + negatives / 2D))
+                  / nullif(CAST(sum(positives) AS DOUBLE) * sum(negatives), 0D) AS roc_auc FROM {counted}""",
+        counted=running_totals(counted, [PROBABILITY], ["negatives"]),
+    )
+
+
+def roc_auc(scored: DataFrame) -> float | None:
+    """The area under the ROC curve as a number."""
+    return area_under_curve(scored).first().roc_auc
 
 
 def metrics_document(scored: DataFrame) -> DataFrame:
     """The hold-out metrics in one nested row, for the JSON sink."""
-    held_out = scored.where(is_test_row())
-    area = round(roc_auc(held_out), 4)
+    held_out = scored.where(hold_out(scored))
+    area = roc_auc(held_out)
     return classification_metrics(held_out).selectExpr(
         "accuracy",
         "precision",
         "recall",
         "f1",
-        f"{area!r}D AS roc_auc",
+        "CAST(NULL AS DOUBLE) AS roc_auc" if area is None else f"{round(area, 4)!r}D AS roc_auc",
         "array(array(true_negatives, false_positives), array(false_negatives, true_positives)) AS confusion_matrix",
         f"'{MODEL_NOTE}' AS model_note",
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from carequeue.functions.expressions import (
     CANCELED,
@@ -29,12 +30,12 @@ from carequeue.functions.expressions import (
     utilization,
     weighted_score,
 )
-from carequeue.operators.joins import keep_left, known_only, null_unknown
+from carequeue.operators.joins import COPIES, keep_left, known_only, null_unknown
 from carequeue.operators.scores import of_max, with_maxima
 from carequeue.operators.settle import settled
 from carequeue.operators.summary import distinct_flags, summarise
 from carequeue.params import Settings
-from carequeue.plans.linked import linked
+from carequeue.plans.linked import Page, linked
 
 # Aging threshold, weights, action texts and their thresholds. The dashboard's
 # settings do not change them.
@@ -88,6 +89,7 @@ def referral_lag(mart, settings: Settings = Settings()) -> DataFrame:
         "referral", "referral_id", "referral_created_date", "referral_reviewed_date", "referral_status"
     )
     visits = mart.table("appointment", "referral_id", "clinic_id", "appointment_scheduled_date", "appointment_date")
+    # Visits are folded by these columns; their ids and outcomes are not asked for.
     rows = null_unknown(keep_left(referrals, visits, "referral_id"), mart.table("clinic", "clinic_id"), "clinic_id")
     grouped = summarise(
         rows.selectExpr("*", f"{period_start('referral_created_date', 'month')} AS referral_month"),
@@ -102,6 +104,7 @@ def referral_lag(mart, settings: Settings = Settings()) -> DataFrame:
             "median_referral_to_appointment_days": LAG,
         },
         distinct={"total_referrals": "referral_id"},
+        weight=COPIES,
     )
     return grouped.join(mart.table("clinic", "clinic_id", "clinic_name"), "clinic_id", "left").select(
         "clinic_id",
@@ -257,35 +260,57 @@ def provider_capacity_all(mart) -> DataFrame:
     )
 
 
-def _zip_metrics(mart, settings: Settings) -> DataFrame:
+def placed_referrals(mart) -> DataFrame:
+    """Referrals of patients who have a ZIP code, with it."""
     homes = mart.table("patient", "patient_id", "zip_code").where("zip_code IS NOT NULL")
-    placed = (
+    return (
         mart.table("referral", "referral_id", "patient_id", "referral_created_date", "referral_status")
         .join(homes, "patient_id")
         .select("referral_id", "zip_code", "referral_created_date", "referral_status")
     )
+
+
+def placed_visits(mart, placed: DataFrame) -> DataFrame:
+    """Appointments of the placed referrals; from the rows of a page, if the mart is one."""
+    if isinstance(mart, Page):
+        return mart.placed_visits()
     visits = mart.table(
         "appointment", "referral_id", "appointment_id", "appointment_date", "appointment_status", "visit_mode"
     )
+    return placed.join(visits, "referral_id")
+
+
+def _zip_metrics(mart, settings: Settings) -> DataFrame:
+    """Measures of all referrals by ZIP code, those without appointments included, of one scan of the appointments.
+
+    Of an outer join's rows the report needs sums only. So appointments meet their referrals in an inner join, whose hot
+    keys are split, and what referrals without any would add is counted as all referrals less those that were met.
+    """
+    aged = open_longer_than(AGED, settings.today())
     counts = {
         "_appointments": present("appointment_id"),
         "_no_shows": status(NO_SHOW),
-        "_open": flag(open_longer_than(AGED, settings.today())),
+        "_open_rows": flag(aged),
         "_telehealth": flag(f"visit_mode = '{TELEHEALTH}'"),
     }
-    grouped = summarise(
-        keep_left(placed, visits, "referral_id"),
+    placed = placed_referrals(mart)
+    met = summarise(
+        placed_visits(mart, placed),
         ["zip_code"],
         counts=counts,
         medians={"median_referral_to_appointment_days": LAG},
-        distinct={"referral_volume": "referral_id"},
+        distinct={"_met": "referral_id"},
+        distinct_where={"_met_open": ("_met", aged)},
     )
+    everyone = summarise(placed, ["zip_code"], counts={"referral_volume": present("referral_id"), "_all_open": flag(aged)})
+    grouped = everyone.join(met, "zip_code", "left").fillna(0, [*counts, "_met_open"])
+    grouped = grouped.withColumn("_open", F.col("_open_rows") + F.col("_all_open") - F.col("_met_open"))
     areas = mart.table(
         "zip", "zip_code", "area_name", "transportation_risk_rate", "underinsured_rate", "limited_english_rate"
     )
     return (
         areas.join(grouped, "zip_code", "left")
-        .fillna(0, ["referral_volume", *counts])
+        .fillna(0, ["referral_volume", "_open", *counts])
         .selectExpr(
             *areas.columns,
             "referral_volume",

@@ -445,6 +445,22 @@ def first(sentence: str, source: str, order: str, *ctes: str) -> str:
     return query(f"SELECT {sentence} AS answer FROM {source} ORDER BY {order} LIMIT 1", *ctes)
 
 
+# Hold-out rows by rank of the id's hash within each class; quotas by largest remainder.
+SPLIT = [
+    *FEATURES,
+    """quotas AS (
+  SELECT no_show_target, n * taken // total + CAST(row_number() OVER (ORDER BY n * taken % total DESC, no_show_target)
+           <= taken - sum(n * taken // total) OVER () AS BIGINT) AS quota
+  FROM (SELECT no_show_target, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total,
+               CAST(ceil(sum(count(*)) OVER () * 0.25) AS BIGINT) AS taken FROM features GROUP BY no_show_target))""",
+    """parted AS (
+  SELECT f.*, place <= quota AS held_out
+  FROM (SELECT *, row_number() OVER (PARTITION BY no_show_target ORDER BY md5(CAST(appointment_id AS VARCHAR))) AS place
+        FROM features) f JOIN quotas USING (no_show_target))""",
+    "learn AS (SELECT * FROM parted WHERE NOT held_out)",
+]
+
+
 def all_sql() -> dict[str, str]:
     current, prior = kpi("current_window", WINDOW), kpi("prior_window", PRIOR)
     both = [*FRICTION, current, prior]
@@ -482,7 +498,6 @@ def all_sql() -> dict[str, str]:
       ELSE '30+ days' END"""
     person_keys = "age_group, insurance_type, transportation_risk_flag, zip_code"
     window_kpi = [*FRICTION, kpi("kpi", WINDOW)]
-    test_row = "CAST('0x' || substr(md5(CAST(appointment_id AS VARCHAR)), 1, 8) AS BIGINT) < 1073741824"
     hit = "p > 0.5"
     audits = {
         "referral": "referral",
@@ -770,6 +785,11 @@ def all_sql() -> dict[str, str]:
             "priority_score DESC, entity_type, entity_name",
             *queue("true"),
         ),
+        "page_totals": query(
+            f"""SELECT n AS kpi, n AS clinics, n AS trend, n AS kinds, n AS modes, n AS providers,
+                       (SELECT count(*) FROM referral JOIN person USING (patient_id)) AS referrals
+                FROM (SELECT count(*) AS n FROM linked WHERE {WINDOW})"""
+        ),
         "feature_table": query("SELECT * FROM features", *FEATURES),
         "feature_imputed": query(
             "SELECT appointment_id, no_show_target, "
@@ -779,20 +799,31 @@ def all_sql() -> dict[str, str]:
         ),
         "fill_values": query("SELECT " + ", ".join(f"{FILLS[n]} AS {n}" for n in TYPES), *FEATURES),
         "split_counts": query(
-            f"""SELECT CASE WHEN {test_row} THEN 'test' ELSE 'train' END AS split, no_show_target, count(*) AS row_count
-                FROM features GROUP BY ALL""",
-            *FEATURES,
+            """SELECT CASE WHEN held_out THEN 'test' ELSE 'train' END AS split, no_show_target, count(*) AS row_count
+               FROM parted GROUP BY ALL""",
+            *SPLIT,
+        ),
+        "model_fit_check": query(
+            "SELECT 'intercept' AS feature, CAST(NULL AS VARCHAR) AS value, 0.0::DOUBLE AS residual "
+            + " ".join(f"UNION ALL SELECT '{n}', NULL, 0.0::DOUBLE" for n in NUMERIC)
+            + " ".join(
+                f" UNION ALL SELECT DISTINCT '{n}', CAST({n} AS VARCHAR), 0.0::DOUBLE FROM learn WHERE {n} IS NOT NULL"
+                for n in TYPES
+                if n not in NUMERIC
+            ),
+            *SPLIT,
         ),
+        "score_check": query("SELECT count(*) AS scored, count(*) AS added_up FROM features", *FEATURES),
         "risk_scores_check": query(
             """SELECT count(*) AS scored, count(*) AS probable, count(*) AS in_bucket,
                       count(DISTINCT appointment_id) AS appointments FROM features""",
             *FEATURES,
         ),
         "class_weights": query(
-            f"""SELECT no_show_target, count(*) AS row_count,
-                       sum(count(*)) OVER () / (count(*) OVER () * count(*)::DOUBLE) AS class_weight
-                FROM features WHERE NOT ({test_row}) GROUP BY no_show_target""",
-            *FEATURES,
+            """SELECT no_show_target, count(*) AS row_count,
+                      sum(count(*)) OVER () / (count(*) OVER () * count(*)::DOUBLE) AS class_weight
+               FROM learn GROUP BY no_show_target""",
+            *SPLIT,
         ),
         "scaling": query(
             " UNION ALL ".join(
@@ -800,8 +831,7 @@ def all_sql() -> dict[str, str]:
                     FROM (SELECT coalesce({n}, (SELECT median({n}) FROM learn))::DOUBLE AS x FROM learn)"""
                 for n in NUMERIC
             ),
-            *FEATURES,
-            f"learn AS (SELECT * FROM features WHERE NOT ({test_row}))",
+            *SPLIT,
         ),
         "risk_bucket": query(
             "SELECT appointment_id, p AS predicted_no_show_probability, risk_bucket FROM scored", *SCORED

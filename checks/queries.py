@@ -13,6 +13,7 @@ from carequeue.operators.settle import settled
 from carequeue.operators.summary import summarise
 from carequeue.params import ClinicWeights, Filters, Selection, Settings, ZipWeights
 from carequeue.plans import actions, catalog, dashboard, quality, questions, risk, views
+from carequeue.plans.linked import Page
 from carequeue.sources.files import load_audit, repeated_keys
 from carequeue.sources.tpch import ROLES, TpchMart
 
@@ -140,16 +141,44 @@ def risk_scores_check(mart) -> DataFrame:
     )
 
 
+def split_counts(mart) -> DataFrame:
+    return risk.split_counts(settled(risk.feature_table(mart, SETTINGS, columns=[])))
+
+
 def class_weights(mart) -> DataFrame:
-    features = risk.feature_table(mart, SETTINGS, columns=[])
-    return risk.class_weights(features.where(f"NOT ({risk.is_test_row()})"))
+    features = settled(risk.feature_table(mart, SETTINGS, columns=[]))
+    return risk.class_weights(features.where(f"NOT {risk.hold_out(features)}"))
 
 
 def scaling(mart) -> DataFrame:
-    learn = risk.training_part(settled(risk.feature_table(mart, SETTINGS)))
+    learn, _ = risk.training_part(settled(risk.feature_table(mart, SETTINGS)))
     return risk.scaling(learn).selectExpr("feature", "round(mean, 6) AS mean", "round(deviation, 6) AS deviation")
 
 
+def model_fit_check(mart) -> DataFrame:
+    """The fitted coefficients' names, and how far each is from the optimum, to three digits."""
+    features = settled(risk.feature_table(mart, SETTINGS))
+    found = risk.optimality(risk.train(features), features)
+    return found.selectExpr("feature", "value", "round(residual, 3) AS residual")
+
+
+def score_check(mart) -> DataFrame:
+    """Appointments, and those whose score is what the coefficients give when added up by hand."""
+    features = settled(risk.feature_table(mart, SETTINGS))
+    model = risk.train(features)
+    learn, fill = risk.training_part(features)
+    cells = risk.encoded(risk.impute(features, fill), risk.scaling(learn))
+    sums = mart.spark.sql(
+        """SELECT appointment_id, 1D / (1D + exp(-sum(x * coefficient))) AS by_hand
+           FROM {cells} e JOIN {fitted} c ON e.feature = c.feature AND e.value <=> c.value GROUP BY appointment_id""",
+        cells=cells,
+        fitted=risk.coefficients(model),
+    )
+    return risk.predictions(risk.score(model, features)).join(sums, "appointment_id", "left").selectExpr(
+        "count(*) AS scored", f"count_if(abs({risk.PROBABILITY} - by_hand) < 1e-9) AS added_up"
+    )
+
+
 def model_metrics(mart) -> DataFrame:
     features = settled(risk.feature_table(mart, SETTINGS))
     return risk.metrics_document(settled(risk.score(risk.train(features), features))).selectExpr(
@@ -158,16 +187,36 @@ def model_metrics(mart) -> DataFrame:
 
 
 def stand_in_auc(mart) -> DataFrame:
-    area = risk.roc_auc(stand_in(mart))
-    return mart.spark.sql(f"SELECT round({area!r}D * 10000, 0) / 10000 AS roc_auc")
+    return risk.area_under_curve(stand_in(mart)).selectExpr("round(roc_auc * 10000, 0) / 10000 AS roc_auc")
 
 
 def queue(mart, zip_rows: int | None = None) -> DataFrame:
+    mart = Page(mart)
     clinics = dashboard.clinic_report(mart, EVERYTHING, SETTINGS)
     return actions.dynamic_action_queue(clinics, dashboard.zip_report(mart, SETTINGS), SETTINGS, zip_rows)
 
 
+def page_totals(mart) -> DataFrame:
+    """Rows and appointments of the filtered reports of one page, which read one join."""
+    page = Page(mart)
+    friction = views.zip_friction(page, SETTINGS)
+    return mart.spark.sql(
+        """SELECT (SELECT total_appointments FROM {kpi}) AS kpi, (SELECT sum(appointment_volume) FROM {clinics}) AS clinics,
+                  (SELECT sum(appointment_volume) FROM {trend}) AS trend, (SELECT sum(appointment_count) FROM {kinds}) AS kinds,
+                  (SELECT sum(appointment_count) FROM {modes}) AS modes, (SELECT sum(appointment_count) FROM {providers}) AS providers,
+                  (SELECT sum(referral_volume) FROM {friction}) AS referrals""",
+        kpi=dashboard.kpis(page, WINDOW, SETTINGS, friction),
+        clinics=dashboard.clinic_report(page, WINDOW, SETTINGS),
+        trend=dashboard.access_trends(page, WINDOW, "month"),
+        kinds=dashboard.appointment_type_no_show(page, WINDOW),
+        modes=dashboard.visit_mode_no_show(page, WINDOW),
+        providers=dashboard.provider_report(page, WINDOW),
+        friction=friction,
+    )
+
+
 def context(mart) -> DataFrame:
+    mart = Page(mart)
     clinics = dashboard.clinic_report(mart, WINDOW, SETTINGS)
     friction = views.zip_friction(mart, SETTINGS)
     found = actions.dynamic_action_queue(clinics, dashboard.zip_report(mart, SETTINGS, friction), SETTINGS, actions.PAGE_ZIPS)
@@ -264,12 +313,13 @@ MART_QUERIES = {
     "clinic_perf_no_weights": lambda m: dashboard.clinic_report(m, EVERYTHING, UNWEIGHTED),
     "metric_context": lambda m: actions.context_json(context(m)),
     "executive_summary": lambda m: actions.executive_summary(context(m)),
+    "page_totals": page_totals,
     "question_route": question_route,
     **{f"answer_{route}": answered(route) for route, _ in questions.ROUTES},
     "feature_table": lambda m: risk.feature_table(m, SETTINGS),
     "feature_imputed": feature_imputed,
     "fill_values": fill_values,
-    "split_counts": lambda m: risk.split_counts(risk.feature_table(m, SETTINGS)),
+    "split_counts": split_counts,
     "risk_bucket": lambda m: risk.predictions(stand_in(m)),
     "risk_bucket_summary": lambda m: risk.bucket_summary(stand_in(m)),
     "score_histogram": lambda m: risk.score_histogram(stand_in(m)),
@@ -279,6 +329,8 @@ MART_QUERIES = {
     "risk_scores": risk_scores,
     "model_metrics": model_metrics,
     "risk_scores_check": risk_scores_check,
+    "model_fit_check": model_fit_check,
+    "score_check": score_check,
     "class_weights": class_weights,
     "scaling": scaling,
     "dq_scorecard": scorecard,

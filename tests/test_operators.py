@@ -2,7 +2,7 @@ import random
 import statistics
 from collections import Counter, defaultdict
 
-from carequeue.operators.joins import keep_left, null_unknown
+from carequeue.operators.joins import COPIES, keep_left, null_unknown
 from carequeue.operators.scores import of_max, of_max_or_zero, with_maxima
 from carequeue.operators.settle import settled
 from carequeue.operators.summary import distinct_flags, summarise
@@ -86,10 +86,22 @@ def test_distinct_flags(spark):
 
 def test_keep_left_is_a_left_join(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (3, "d"), (None, "e")], "k int, x string")
-    right = spark.createDataFrame([(1, 10), (1, 11), (3, 12), (None, 13), (9, 14)], "k int, y int")
+    right = spark.createDataFrame([(1, 10), (1, 11), (1, 11), (3, 12), (None, 13), (9, 14), (1, None), (1, None)], "k int, y int")
     plain = left.join(right, "k", "left").select("k", "x", "y").collect()
-    mine = keep_left(left, right, "k").select("k", "x", "y").collect()
-    assert Counter(map(tuple, mine)) == Counter(map(tuple, plain))
+    mine = keep_left(left, right, "k").select("k", "x", "y", COPIES).collect()
+    assert len(mine) == len(set(mine)) == len(set(plain))
+    assert {tuple(r)[:3]: r[COPIES] for r in mine} == Counter(map(tuple, plain))
+
+
+def test_summaries_of_folded_rows_are_those_of_all_rows(spark):
+    left = spark.range(40).selectExpr("id AS k", "id % 3 AS g")
+    right = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id % 31 END AS k", "id % 4 AS lag", "id % 2 AS f")
+    measures = {"counts": {"n": "1", "f": "coalesce(f, 0)"}, "medians": {"m": "lag"}, "distinct": {"d": "k"}}
+    plain = summarise(left.join(right, "k", "left"), ["g"], **measures).collect()
+    folded = summarise(keep_left(left, right, "k"), ["g"], weight=COPIES, **measures).collect()
+    assert sorted(folded) == sorted(plain)
+    alone = summarise(keep_left(left, right, "k"), ["g"], counts=measures["counts"], weight=COPIES).collect()
+    assert sorted((r.g, r.n, r.f) for r in alone) == sorted((r.g, r.n, r.f) for r in plain)
 
 
 def test_null_unknown(spark):

@@ -2,10 +2,10 @@
 
 import pytest
 
-from carequeue.operators.joins import keep_left
+from carequeue.operators.joins import COPIES, keep_left
 from carequeue.operators.summary import summarise
 from carequeue.plans import dashboard, quality, views
-from carequeue.plans.linked import linked
+from carequeue.plans.linked import Page, linked
 from carequeue.sources.tpch import TpchMart
 from checks.queries import SETTINGS, WINDOW, all_queries
 from tests.conftest import SMALL
@@ -50,12 +50,51 @@ def test_hot_referral_is_split_in_an_inner_join(large):
     assert "skew=true" in plan_of(found)
 
 
-def test_hot_referral_is_split_when_referrals_are_kept(large):
+def test_hot_referral_is_folded_when_referrals_are_kept(large):
     visits, referrals = hot(large)
-    found = summarise(keep_left(referrals, visits, "referral_id"), ["clinic_id"], {"n": "1"}, {"m": "lag"}, {"r": "referral_id"})
+    kept = keep_left(referrals, visits.select("referral_id", "lag"), "referral_id")
+    found = summarise(kept, ["clinic_id"], {"n": "1"}, {"m": "lag"}, {"r": "referral_id"}, weight=COPIES)
     rows = found.collect()
     assert sum(r.n for r in rows) == 30000 + 100 and sum(r.r for r in rows) == 600
-    assert "skew=true" in plan_of(found)
+    # A third of the visits, but no more rows than lags; they are shuffled by both columns first.
+    assert kept.where("referral_id = 7").count() <= 90
+    plan = plan_of(found)
+    assert "hashpartitioning(referral_id" in plan and "LeftOuter" in plan
+    assert any("hashpartitioning(referral_id" in line and "lag" in line.split("hashpartitioning")[1] for line in plan.splitlines())
+
+
+@pytest.mark.parametrize("report", [views.referral_lag, views.zip_friction])
+def test_appointments_are_scanned_once_when_referrals_are_kept(spark, report):
+    mart = TpchMart(spark, SMALL)
+    scans, read = [], mart.raw
+    mart.raw = lambda name: scans.append(name) or read(name)
+    report(mart, SETTINGS)
+    assert scans.count("lineitem") == 1
+
+
+def test_zip_report_splits_a_hot_referral(large):
+    # What placed_visits joins: an inner join, whose sides AQE may split.
+    visits, referrals = hot(large)
+    placed = referrals.selectExpr("referral_id", "CAST(clinic_id AS STRING) AS zip_code")
+    found = summarise(placed.join(visits, "referral_id"), ["zip_code"], {"n": "1"}, {"m": "lag"}, {"r": "referral_id"})
+    assert sum(r.n for r in found.collect()) == 30000 and "skew=true" in plan_of(found)
+
+
+def test_a_page_joins_the_facts_once(spark):
+    mart = TpchMart(spark, SMALL)
+    scans, read = [], mart.raw
+    mart.raw = lambda name: scans.append(name) or read(name)
+    page = Page(mart)
+    friction = views.zip_friction(page, SETTINGS)
+    for frame in (
+        dashboard.clinic_report(page, WINDOW, SETTINGS),
+        dashboard.kpis(page, WINDOW, SETTINGS, friction),
+        dashboard.access_trends(page, WINDOW, "month"),
+        dashboard.provider_report(page, WINDOW),
+        dashboard.segment_completion(page, WINDOW, SETTINGS),
+    ):
+        assert "lineitem" not in plan_of(frame)
+    assert scans.count("lineitem") == 1
 
 
 def test_every_query_avoids_pairs_and_python(spark):

@@ -1,7 +1,11 @@
+import hashlib
 import random
 
 import pytest
 
+from carequeue.operators.ordered import running_totals
+from carequeue.operators.selection import cut_texts
+from carequeue.operators.settle import settled
 from carequeue.plans import risk
 from carequeue.sources.files import read_metrics, read_predictions, write_csv, write_json
 from carequeue.sources.tpch import TpchMart
@@ -77,12 +81,66 @@ def test_model_round_trip(spark, tmp_path):
     assert read_predictions(spark, str(tmp_path / "predictions")).count() == len(rows)
     write_json(risk.metrics_document(scored), str(tmp_path / "metrics"))
     metrics = read_metrics(spark, str(tmp_path / "metrics")).first()
-    assert sum(map(sum, metrics.confusion_matrix)) == scored.where(risk.is_test_row()).count()
+    assert sum(map(sum, metrics.confusion_matrix)) == scored.where(risk.hold_out(scored)).count()
     assert 0 <= metrics.roc_auc <= 1
 
 
-def test_split_is_about_a_quarter_and_keeps_ids_together(spark):
-    rows = spark.range(8000).selectExpr("CAST(id % 4000 AS STRING) AS appointment_id")
-    test = rows.where(risk.is_test_row())
-    assert 1700 < test.count() < 2300
-    assert test.groupBy("appointment_id").count().where("count <> 2").count() == 0
+def test_split_is_exact_and_keeps_ids_together(spark):
+    rows = spark.range(8001).selectExpr("CAST(id AS STRING) AS appointment_id", "CAST(id % 7 = 0 AS INT) AS no_show_target")
+    test = risk.hold_out(rows)
+    ids = {0: [], 1: []}
+    for k in range(8001):
+        ids[int(k % 7 == 0)].append(hashlib.md5(str(k).encode()).hexdigest())
+    # 2,001 rows: 286 of 1,143 (remainder .85), and 1,715 of 6,858.
+    least = {h for key, n in ((0, 1715), (1, 286)) for h in sorted(ids[key])[:n]}
+    found = rows.selectExpr("md5(appointment_id) AS h", "no_show_target", f"{test} AS held_out").collect()
+    assert {r.h for r in found if r.held_out} == least
+    counts = {(r.split, r.no_show_target): r.row_count for r in risk.split_counts(rows).collect()}
+    assert counts == {("test", 0): 1715, ("test", 1): 286, ("train", 0): 5143, ("train", 1): 857}
+    twice = rows.unionAll(rows)
+    again = twice.where(risk.hold_out(twice)).groupBy("appointment_id").count().collect()
+    assert {r["count"] for r in again} == {2} and sum(r["count"] for r in again) == 4000  # of 4,001: the odd one would split an id
+
+
+def test_hold_out_sizes():
+    assert risk.hold_out_sizes({0: 3, 1: 1}) == {0: 1, 1: 0}
+    assert risk.hold_out_sizes({0: 2, 1: 2}) == {0: 1, 1: 0}
+    assert risk.hold_out_sizes({0: 4000, 1: 2000}) == {0: 1000, 1: 500}
+    assert risk.hold_out_sizes({5: 1}, 1.0) == {5: 1}
+
+
+def test_cuts_of_texts_that_agree_far_into_them(spark):
+    same = "0123456789abcdef" * 2
+    texts = [same[:31] + c for c in "1357"] + ["f" * 32, same[:31] + "3"]
+    rows = spark.createDataFrame([(0, t) for t in texts] + [(1, same)] * 3, "k int, t string")
+    for wanted, below in ((0, 0), (1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6)):
+        cuts = cut_texts(rows, "k", "t", {0: wanted, 1: 0})
+        assert sum(t < cuts[0] for t in texts) == below and not same < cuts[1]
+    assert same < cut_texts(rows, "k", "t", {1: 3})[1] and not same < cut_texts(rows, "k", "t", {1: 2})[1]
+
+
+def test_running_totals_over_ranges(spark):
+    rows = spark.range(500).selectExpr("id * 37 % 500 AS k", "id AS a", "id % 3 AS b").repartition(7)
+    found = sorted(map(tuple, running_totals(rows, ["k"], ["a", "b"]).collect()))
+    a = b = 0
+    for row in found:
+        assert row[3:] == (a, b)
+        a, b = a + row[1], b + row[2]
+    assert len(found) == 500 and running_totals(rows.limit(0), ["k"], ["a"]).collect() == []
+
+
+def test_area_without_a_class_is_null(spark):
+    scored = spark.createDataFrame([("1", 0, 0.1), ("2", 0, 0.2)], f"appointment_id string, no_show_target int, {risk.PROBABILITY} double")
+    assert risk.roc_auc(scored) is None and risk.roc_auc(scored.limit(0)) is None
+    assert risk.metrics_document(scored).first().roc_auc is None
+
+
+def test_optimality_finds_a_model_that_is_not_the_best_one(spark):
+    features = settled(risk.feature_table(TpchMart(spark, SMALL), SETTINGS))
+    model = risk.train(features)
+    rows = risk.optimality(model, features).collect()
+    assert max(r.residual for r in rows) < 5e-4
+    assert {r.feature for r in rows} == {"intercept", *risk.NUMERIC, *risk.CATEGORICAL}
+    # The same model on other rows is off its optimum.
+    other = risk.optimality(model, features.where("days_from_referral_to_appointment > 40"))
+    assert max(r.residual or 0 for r in other.collect()) > 5e-3
