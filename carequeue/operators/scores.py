@@ -18,6 +18,15 @@ def with_maxima(frame: DataFrame) -> DataFrame:
     )
 
 
+def with_maxima_planned(frame: DataFrame) -> DataFrame:
+    """``with_maxima`` as part of one plan, for views that are registered before anyone reads them.
+
+    A window over all rows, so one task sees the frame: only for summaries, which have a row for each member of a dimension.
+    """
+    maxima = ", ".join(f"max({name}) OVER () AS {name}" for name in frame.columns)
+    return frame.sparkSession.sql(f"SELECT *, struct({maxima}) AS _maxima FROM {{rows}}", rows=frame)
+
+
 def of_max(name: str) -> str:
     """Share of the maximum; null where it is zero or missing. Needs ``with_maxima``."""
     return f"(CAST({name} AS DOUBLE) / nullif(CAST(_maxima.{name} AS DOUBLE), 0D))"

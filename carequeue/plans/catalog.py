@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator, Mapping
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,29 +32,66 @@ def read_scorecard(spark: SparkSession, table: str = SCORECARD_TABLE) -> DataFra
     return spark.table(table) if spark.catalog.tableExists(table) else _empty(spark)
 
 
-def reports(mart, settings: Settings = Settings(), scorecard: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The thirteen reports by name, those that others build on before them.
+FRICTION, ATTENTION = "vw_zip_access_friction", "vw_clinic_attention_index"
+
+# The names under which users of the reports know them. Each is built from the registry, so that a report
+# that stands on others takes them from there.
+BUILDERS: dict[str, Callable[[Reports], DataFrame]] = {
+    "vw_referral_lag_summary": lambda r: views.referral_lag(r.mart, r.settings),
+    "vw_appointment_completion_summary": lambda r: views.appointment_completion(r.mart),
+    "vw_no_show_summary": lambda r: views.no_show_summary(r.mart),
+    "vw_open_referral_aging": lambda r: views.open_referral_aging(r.mart, r.settings),
+    "vw_behavioral_health_funnel": lambda r: views.funnel(r.mart),
+    "vw_provider_capacity_summary": lambda r: views.provider_capacity_all(r.mart),
+    FRICTION: lambda r: views.zip_friction(r.mart, r.settings, r.planned),
+    "vw_clinic_access_performance": lambda r: views.clinic_performance(r.mart, r.settings),
+    "vw_data_quality_scorecard": lambda r: read_scorecard(r.mart.spark) if r.scorecard is None else r.scorecard,
+    "vw_weekly_access_trends": lambda r: views.weekly_access_trends(r.mart),
+    ATTENTION: lambda r: views.clinic_attention_index(r.mart, r.settings, r.planned),
+    "vw_patient_segment_completion_gap": lambda r: views.segment_completion_gap(r.mart),
+    "vw_operational_action_queue": lambda r: views.action_queue(r.mart, r.settings, r[ATTENTION], r[FRICTION]),
+}
+
+
+class Reports(Mapping):
+    """The thirteen reports by name, each built when it is first read and kept.
+
+    What stacked reports share is written once: the friction scores are computed by whichever of the reports on them is
+    read first. With ``planned`` nothing is written, and each reading computes a report anew. The scorecard
+    is the kept one unless another is given.
+    """
+
+    def __init__(self, mart, settings: Settings = Settings(), scorecard: DataFrame | None = None, planned: bool = False):
+        self.mart, self.settings, self.scorecard, self.planned = mart, settings, scorecard, planned
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = BUILDERS[name](self)
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(BUILDERS)
+
+    def __len__(self) -> int:
+        return len(BUILDERS)
+
+    def sql(self, text: str) -> DataFrame:
+        """A query over the views; those it names, and what they stand on, are registered anew as written ones."""
+        asked = {name: self[name] for name in self if re.search(rf"\b{name}\b", text, re.IGNORECASE)}
+        register_views(asked | self._built)
+        return self.mart.spark.sql(text)
+
+
+def reports(mart, settings: Settings = Settings(), scorecard: DataFrame | None = None) -> Reports:
+    """The thirteen reports by name."""
+    return Reports(mart, settings, scorecard)
+
+
+def create_views(mart, settings: Settings = Settings(), scorecard: DataFrame | None = None) -> Reports:
+    """Register every report as a temporary view under its name, which runs no job, and return the reports.
 
-    The scorecard is the kept one unless another is given.
+    A view is a plan, computed when it is read. Queries through ``sql`` of the result share what they write.
     """
-    # The names under which users of the reports know them.
-    return {
-        "vw_referral_lag_summary": views.referral_lag(mart, settings),
-        "vw_appointment_completion_summary": views.appointment_completion(mart),
-        "vw_no_show_summary": views.no_show_summary(mart),
-        "vw_open_referral_aging": views.open_referral_aging(mart, settings),
-        "vw_behavioral_health_funnel": views.funnel(mart),
-        "vw_provider_capacity_summary": views.provider_capacity_all(mart),
-        "vw_zip_access_friction": views.zip_friction(mart, settings),
-        "vw_clinic_access_performance": views.clinic_performance(mart, settings),
-        "vw_data_quality_scorecard": read_scorecard(mart.spark) if scorecard is None else scorecard,
-        "vw_weekly_access_trends": views.weekly_access_trends(mart),
-        "vw_clinic_attention_index": views.clinic_attention_index(mart, settings),
-        "vw_patient_segment_completion_gap": views.segment_completion_gap(mart),
-        "vw_operational_action_queue": views.action_queue(mart, settings),
-    }
-
-
-def create_views(mart, settings: Settings = Settings(), scorecard: DataFrame | None = None) -> None:
-    """Register every report as a temporary view under its name."""
-    register_views(reports(mart, settings, scorecard))
+    register_views(Reports(mart, settings, scorecard, planned=True))
+    return Reports(mart, settings, scorecard)

@@ -31,7 +31,7 @@ from carequeue.functions.expressions import (
     weighted_score,
 )
 from carequeue.operators.joins import COPIES, keep_left, known_only, null_unknown
-from carequeue.operators.scores import of_max, with_maxima
+from carequeue.operators.scores import of_max, with_maxima, with_maxima_planned
 from carequeue.operators.settle import settled
 from carequeue.operators.summary import distinct_flags, summarise
 from carequeue.params import Settings
@@ -322,8 +322,15 @@ def _zip_metrics(mart, settings: Settings) -> DataFrame:
     )
 
 
-def zip_friction(mart, settings: Settings = Settings()) -> DataFrame:
-    """Access friction of every ZIP code; a ZIP without telehealth data gets no telehealth penalty."""
+def _scored(base: DataFrame, planned: bool) -> DataFrame:
+    return with_maxima_planned(base) if planned else with_maxima(settled(base))
+
+
+def zip_friction(mart, settings: Settings = Settings(), planned: bool = False) -> DataFrame:
+    """Access friction of every ZIP code; a ZIP without telehealth data gets no telehealth penalty.
+
+    The measures are written once, unless the report is only ``planned``.
+    """
     score = weighted_score(
         [
             (FRICTION_WEIGHTS["lag"], of_max("median_referral_to_appointment_days")),
@@ -335,7 +342,7 @@ def zip_friction(mart, settings: Settings = Settings()) -> DataFrame:
             (FRICTION_WEIGHTS["telehealth"], f"1D - {of_max('telehealth_usage_pct')}"),
         ]
     )
-    return with_maxima(settled(_zip_metrics(mart, settings))).selectExpr(
+    return _scored(_zip_metrics(mart, settings), planned).selectExpr(
         "zip_code",
         "area_name",
         "referral_volume",
@@ -414,8 +421,8 @@ def weekly_access_trends(mart) -> DataFrame:
     )
 
 
-def clinic_attention_index(mart, settings: Settings = Settings()) -> DataFrame:
-    """Attention score and suggested action of every clinic."""
+def clinic_attention_index(mart, settings: Settings = Settings(), planned: bool = False) -> DataFrame:
+    """Attention score and suggested action of every clinic; written and planned as ``zip_friction`` is."""
     base = clinic_performance(mart, settings).selectExpr(
         "*", f"{round_to(ratio('open_referrals_over_21_days', 'referral_volume'), 4)} AS open_over_21_rate"
     )
@@ -427,7 +434,7 @@ def clinic_attention_index(mart, settings: Settings = Settings()) -> DataFrame:
             (ATTENTION_WEIGHTS["capacity"], of_max("monthly_capacity_utilization_pct")),
         ]
     )
-    return with_maxima(settled(base)).selectExpr(
+    return _scored(base, planned).selectExpr(
         "clinic_id",
         "clinic_name",
         "clinic_group",
@@ -468,10 +475,14 @@ def segment_completion_gap(mart) -> DataFrame:
     )
 
 
-def action_queue(mart, settings: Settings = Settings()) -> DataFrame:
-    """Clinics and ZIP codes whose score reaches the threshold, with their action."""
-    clinics = clinic_attention_index(mart, settings).where(f"clinic_attention_index >= {QUEUE_SCORE}")
-    areas = zip_friction(mart, settings).where(f"access_friction_score >= {QUEUE_SCORE}")
+def action_queue(
+    mart, settings: Settings = Settings(), attention: DataFrame | None = None, friction: DataFrame | None = None
+) -> DataFrame:
+    """Clinics and ZIP codes whose score reaches the threshold, with their action; from the two reports where they are at hand."""
+    attention = clinic_attention_index(mart, settings) if attention is None else attention
+    friction = zip_friction(mart, settings) if friction is None else friction
+    clinics = attention.where(f"clinic_attention_index >= {QUEUE_SCORE}")
+    areas = friction.where(f"access_friction_score >= {QUEUE_SCORE}")
     return clinics.selectExpr(
         "'Clinic' AS entity_type",
         "CAST(clinic_name AS STRING) AS entity_name",

@@ -877,6 +877,13 @@ def all_sql() -> dict[str, str]:
             *ATTENTION,
             *QUALITY,
         ),
+        "stacked_views": query(
+            """SELECT 'Clinic' AS entity_type, count(*) FILTER (score >= 60) AS queued, max(score) AS highest, count(*) AS of_all
+               FROM attention HAVING max(score) >= 60
+               UNION ALL SELECT 'ZIP Code', count(*) FILTER (score >= 60), max(score), count(*) FROM friction HAVING max(score) >= 60""",
+            *FRICTION,
+            *ATTENTION,
+        ),
         "repeated_keys": query(
             " UNION ALL ".join(
                 f"SELECT '{role}' AS table_name, (SELECT count(*) FROM (SELECT {key} FROM {table} GROUP BY {key} "

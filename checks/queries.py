@@ -90,14 +90,24 @@ def scorecard(mart) -> DataFrame:
 
 def through_views(mart) -> DataFrame:
     """ZIP codes of high friction beside the clinics' worst attention index, read through the registered names."""
-    catalog.create_views(mart, SETTINGS, scorecard(mart))
-    return mart.spark.sql(
+    return catalog.create_views(mart, SETTINGS, scorecard(mart)).sql(
         """SELECT zip_code, access_friction_score, (SELECT max(clinic_attention_index) FROM vw_clinic_attention_index) AS worst,
                   (SELECT count(*) FROM vw_data_quality_scorecard WHERE status = 'fail') AS failing
            FROM vw_zip_access_friction WHERE access_friction_score >= 40"""
     )
 
 
+def stacked_views(mart) -> DataFrame:
+    """What the queue holds of each kind, and how many ZIP codes and clinics it was chosen from, through the views as planned."""
+    catalog.create_views(mart, SETTINGS, scorecard(mart))
+    return mart.spark.sql(
+        """SELECT entity_type, count(*) AS queued, max(priority_score) AS highest,
+                  CASE entity_type WHEN 'Clinic' THEN (SELECT count(*) FROM vw_clinic_attention_index)
+                                   ELSE (SELECT count(*) FROM vw_zip_access_friction) END AS of_all
+           FROM vw_operational_action_queue GROUP BY entity_type"""
+    )
+
+
 def repeated(mart) -> DataFrame:
     tables = {role: mart.table(role, key) for role, key in ROLE_KEYS.items()}
     return repeated_keys(tables, ROLE_KEYS)
@@ -253,6 +263,7 @@ ROLE_KEYS = {"referral": "referral_id", "appointment": "appointment_id", "patien
 
 MART_QUERIES = {
     "through_views": through_views,
+    "stacked_views": stacked_views,
     "repeated_keys": repeated,
     "scan_projection": scan_projection,
     "load_audit": audit,

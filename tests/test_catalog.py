@@ -1,6 +1,6 @@
 from datetime import datetime
 
-from carequeue.plans import catalog
+from carequeue.plans import catalog, views
 
 
 def test_scorecard_is_kept_and_views_read_it(spark, mart, settings):
@@ -25,3 +25,23 @@ def test_time_of_check_has_one_type(mart, settings):
 
     given = quality.scorecard(mart, settings, datetime(2024, 1, 1)).schema["checked_at"].dataType
     assert quality.scorecard(mart, settings).schema["checked_at"].dataType == given
+
+
+def test_registering_views_runs_no_job_and_readers_share_what_is_written(spark, mart, settings, monkeypatch):
+    scorecard = catalog._empty(spark)
+    built = []
+    friction, attention = views.zip_friction, views.clinic_attention_index
+    monkeypatch.setattr(views, "zip_friction", lambda *a, **k: built.append("friction") or friction(*a, **k))
+    monkeypatch.setattr(views, "clinic_attention_index", lambda *a, **k: built.append("attention") or attention(*a, **k))
+    spark.sparkContext.setJobGroup("views", "views")
+    try:
+        found = catalog.create_views(mart, settings, scorecard)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("views")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    planned = {name: sorted(map(str, spark.table(name).collect())) for name in found if name != "vw_data_quality_scorecard"}
+    built.clear()
+    for name, rows in planned.items():
+        assert sorted(map(str, found.sql(f"SELECT * FROM {name}").collect())) == rows, name
+    assert sorted(built) == ["attention", "friction"]
+    assert found["vw_zip_access_friction"] is found["vw_zip_access_friction"]

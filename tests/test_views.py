@@ -2,6 +2,7 @@ from datetime import date
 
 from carequeue.params import Filters, Selection, Settings
 from carequeue.plans import actions, dashboard, views
+from carequeue.plans.linked import Page
 from tests.conftest import rows_of
 
 
@@ -163,3 +164,30 @@ def test_scenarios(mart, settings):
     capacity = rows_of(actions.capacity_scenarios(kpi, kpi.sparkSession.range(2), [0, 1]), "extra_slots_per_week")
     assert (capacity[1]["added_monthly_slots"], capacity[1]["potential_backlog_coverage"]) == (8, 2)
     assert capacity[0]["potential_backlog_coverage"] == 0
+
+
+def test_reports_of_a_page_equal_those_of_its_mart(mart, settings):
+    """The small mart has appointments without referral, patient, clinic or outcome, and a patient other than the referral's."""
+    page = Page(mart)
+    window = Filters(
+        date(2024, 1, 1),
+        date(2024, 3, 31),
+        visit_modes=Selection(["in_person", "telehealth"], ["in_person", "telehealth", "phone"]),
+        insurance_types=Selection(["public"], ["public", "private"]),
+    )
+    assert rows(views.zip_friction(page, settings)) == rows(views.zip_friction(mart, settings))
+    for filters in (Filters(), window):
+        for build in (dashboard.kpis, dashboard.counts, dashboard.clinic_report, dashboard.segment_completion):
+            assert rows(build(page, filters, settings)) == rows(build(mart, filters, settings)), build
+        for build in (
+            dashboard.access_trends,
+            dashboard.appointment_type_no_show,
+            dashboard.visit_mode_no_show,
+            dashboard.provider_report,
+            dashboard.clinic_improvement,
+        ):
+            assert rows(build(page, filters)) == rows(build(mart, filters)), build
+
+
+def rows(frame):
+    return sorted(map(str, frame.collect()))
