@@ -25,7 +25,7 @@ GROUP_BYTES = 4_000_000
 WORDS = 500_000
 SETS = 1_000_000
 #: Rows on either side of a block of the product, their shingles, and columns that are multiplied together.
-BLOCK_ROWS = 512
+BLOCK_ROWS = 2048
 BLOCK_SHINGLES = 1_000_000
 COLUMNS = 1024
 #: Columns with at most so many pairs of rows are added up pair by pair, so many pairs at a time.
@@ -383,26 +383,44 @@ def first_blocks(members: DataFrame) -> DataFrame:
     return dealt.select("key", _dealt(F.col("blocks")).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), "id")
 
 
+def _dealt_sizes(members: DataFrame) -> DataFrame:
+    """(key, group, top, lefts, rights, cost): the commonest label of each key, the blocks that the rows outside it and all
+    rows are dealt to, and the rows that go to all of these."""
+    counts = members.groupBy("group", "key", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    sizes = counts.groupBy("group", "key").agg(
+        F.max(F.struct("rows", "shingles", "label")).alias("top"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles")
+    )
+    rest = F.col("rows") - F.col("top.rows")
+    dealt = sizes.withColumns(
+        {
+            "lefts": _blocks_of(rest, F.col("shingles") - F.col("top.shingles")),
+            "rights": _blocks_of(F.col("rows"), F.col("shingles")),
+        }
+    )
+    cost = F.col("rows") * F.col("lefts") + rest * F.col("rights")
+    return dealt.select("key", "group", F.col("top.label").alias("top"), "lefts", "rights", cost.alias("cost"))
+
+
 def other_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Blocks for all pairs of rows that share a key and are not yet connected.
+    """Blocks for all pairs of rows that share a key and are not yet connected; labels are (id, group, label).
 
     Of each key with rows of several labels the rows outside its commonest label are multiplied by all its rows: two
-    rows of different labels are never both of the commonest. Keys whose rows are all connected have no block.
+    rows of different labels are never both of the commonest. Keys whose rows are all connected have no block. Where
+    that would send out more rows than multiplying the rows of all such keys of a group at once, as in a group of many
+    near copies, which share most keys, the group takes the place of its keys.
     """
     named = checkpointed(members.join(labels, "id"))
     mixed = named.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed")
     open_ = checkpointed(_told_apart(named.join(mixed.select("key"), "key", "left_semi")))
-    counts = open_.groupBy("key", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
-    sizes = counts.groupBy("key").agg(
-        F.max(F.struct("rows", "shingles", "label")).alias("top"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles")
-    )
-    sizes = sizes.select(
-        "key",
-        F.col("top.label").alias("top"),
-        _blocks_of(F.col("rows") - F.col("top.rows"), F.col("shingles") - F.col("top.shingles")).alias("lefts"),
-        _blocks_of(F.col("rows"), F.col("shingles")).alias("rights"),
-    )
-    dealt = open_.join(sizes, "key")
+    at_once = open_.withColumn("key", F.xxhash64("group")).dropDuplicates(["key", "id"])
+    by_key, by_group = checkpointed(_dealt_sizes(open_)), checkpointed(_dealt_sizes(at_once))
+    costs = by_key.groupBy("group").agg(F.sum("cost").alias("by_keys"))
+    cheaper = by_group.join(costs, "group").where("cost < by_keys").select("group")
+    chosen = [
+        open_.join(by_key.join(cheaper, "group", "left_anti").drop("group"), "key"),
+        at_once.join(by_group.join(cheaper, "group", "left_semi").drop("group"), "key"),
+    ]
+    dealt = checkpointed(chosen[0].unionByName(chosen[1]))
     every_left, every_right = (F.sequence(F.lit(0), F.col(n) - 1) for n in ("lefts", "rights"))
     left = dealt.where("label <> top").select("key", _dealt(F.col("lefts")).alias("a"), F.explode(every_right).alias("b"), F.lit(1).alias("side"), "id")
     right = dealt.select("key", F.explode(every_left).alias("a"), _dealt(F.col("rights")).alias("b"), F.lit(2).alias("side"), "id")
@@ -511,7 +529,7 @@ def _large_links(members: DataFrame, groups: DataFrame, sets: DataFrame, percent
     sets = sets.select("id", "shingles")
     links = checkpointed(_products(first_blocks(members).join(sets, "id"), percent))
     near = connected_components(links).select(F.col("node").alias("id"), F.col("component"))
-    labels = groups.select("id").join(near, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
+    labels = groups.join(near, "id", "left").select("id", "group", F.coalesce("component", "id").alias("label"))
     return links.union(_products(other_blocks(members, labels).join(sets, "id"), percent))
 
 
