@@ -46,6 +46,11 @@ def present(column: str) -> str:
     return flag(f"{column} IS NOT NULL")
 
 
+def number_or_zero(text: str) -> str:
+    """Text as a double; 0 where it is missing or no number."""
+    return f"coalesce(try_cast({text} AS DOUBLE), 0D)"
+
+
 def round_to(value: str, digits: int) -> str:
     """Half-up rounding of a double by scaling, as analytic databases do it."""
     scale = f"{10**digits}D"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,6 +18,12 @@ def settled(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path beside the checkpoints, which executors share; who writes there removes it."""
+    _checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+
+
 def _checkpoint_folder(spark: SparkSession) -> None:
     """spark.checkpoint.dir, or a folder in the warehouse, which executors share too, where that is not set."""
     context = spark.sparkContext

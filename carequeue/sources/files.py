@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from carequeue.sources.quoted import records
 from carequeue.sources.schemas import FACT_ORDER, KEYS, METRICS, PREDICTIONS, ROLE_TABLES, SCHEMAS
+from carequeue.sources.versions import current, refresh
 
 
 class MissingSource(FileNotFoundError):
@@ -21,20 +23,37 @@ class MissingSource(FileNotFoundError):
 CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False, lenient: bool = False) -> DataFrame:
     """CSV files with header, columns found by their names.
 
     The header may have any order and more columns, but must be the same in all files. A cell that is not of its
-    column's type fails the job. Cells with line ends need ``multi_line``, with which a file is read by one task.
+    column's type fails the job; where ``lenient``, it is null. Cells with line ends need ``multi_line``; such files too are
+    read by byte ranges (see ``quoted``).
     """
-    names = spark.read.options(**CSV, multiLine=multi_line).csv(path).columns
+    names = spark.read.options(**CSV).csv(path).columns
     wanted = StructType.fromDDL(schema)
     missing = [field.name for field in wanted if field.name not in names]
     if missing:
         raise ValueError(f"{path} has no column {', '.join(missing)}")
-    found = StructType([wanted[name] if name in wanted.names else StructField(name, StringType()) for name in names])
-    reader = spark.read.schema(found).options(**CSV, enforceSchema=False, mode="FAILFAST", multiLine=multi_line)
-    return reader.csv(path).select(wanted.names)
+    typed = {field.name: StringType() if lenient else field.dataType for field in wanted}
+    found = StructType([StructField(name, typed.get(name, StringType())) for name in names])
+    if multi_line:
+        rows = _read_records(spark, path, found)
+    else:
+        rows = spark.read.schema(found).options(**CSV, enforceSchema=False, mode="FAILFAST").csv(path)
+    if lenient:
+        return rows.select([F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted])
+    return rows.select(wanted.names)
+
+
+def _read_records(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    found = records(spark, path)
+    headers = [row.record for row in found.where("first").select("record").distinct().limit(2).collect()]
+    if len(headers) > 1:
+        raise ValueError(f"{path} has files of different headers: {headers[0]!r} and {headers[1]!r}")
+    options = {"mode": "FAILFAST", "quote": CSV["quote"], "escape": CSV["escape"], "multiLine": "true"}
+    cells = F.from_csv("record", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options)
+    return found.where("NOT first AND record <> ''").select(cells.alias("cells")).select("cells.*")
 
 
 def read_table(
@@ -55,20 +74,22 @@ def read_table(
 def load_tables(
     spark: SparkSession, folder: str, target: str | None = None, form: str = "csv"
 ) -> dict[str, DataFrame]:
-    """Read every table; with a ``target`` folder, refresh it there as parquet and read that.
-
-    Facts are written in date ranges of even size, so that a date window skips most row groups.
-    """
+    """Read every table; with a ``target`` folder, refresh it there as parquet (see ``versions``) and read that."""
     if target is not None and form == "parquet" and target.rstrip("/") == folder.rstrip("/"):
         raise ValueError(f"{target} can't be refreshed from itself")
     tables = {name: read_table(spark, folder, name, form) for name in SCHEMAS}
     if target is None:
         return tables
-    for name, frame in tables.items():
-        order = FACT_ORDER.get(name)
-        ranged = frame.repartitionByRange(*order).sortWithinPartitions(*order) if order else frame
-        write_parquet(ranged, f"{target.rstrip('/')}/{name}.parquet")
-    return {name: read_table(spark, target, name, "parquet") for name in SCHEMAS}
+    refresh(tables, target, FACT_ORDER)
+    return open_tables(spark, target)
+
+
+def open_tables(spark: SparkSession, target: str) -> dict[str, DataFrame]:
+    """The tables of the version that is current now; they stay as they are when the target is refreshed."""
+    place = current(spark, target)
+    if place is None:
+        raise MissingSource(f"{target} holds no version of the mart")
+    return {name: read_table(spark, place, name, "parquet") for name in SCHEMAS}
 
 
 def load_audit(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -100,6 +121,18 @@ def register_views(views: Mapping[str, DataFrame]) -> None:
         frame.createOrReplaceTempView(name)
 
 
+def save_bucketed(frames: Mapping[str, DataFrame], key: str, buckets: int, sort: Mapping[str, str]) -> None:
+    """Full refresh of catalog tables that are joined on ``key``, all cut alike by its hash into so many buckets.
+
+    Their join needs no shuffle. Rows are sorted by the given column inside a bucket, so that a date window skips row
+    groups. A bucket can't be split in a join: for keys of which none holds more than a task's share of the rows.
+    """
+    for name, frame in frames.items():
+        # One task writes each bucket, as one file.
+        dealt = frame.repartition(buckets, key)
+        dealt.write.bucketBy(buckets, key).sortBy(sort[name]).mode("overwrite").saveAsTable(name)
+
+
 def save_table(frame: DataFrame, name: str) -> None:
     """Full refresh of a catalog table."""
     frame.write.mode("overwrite").saveAsTable(name)
@@ -110,7 +143,8 @@ def write_parquet(frame: DataFrame, path: str) -> None:
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
-    frame.write.mode("overwrite").options(**CSV).csv(path)
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    frame.write.mode("overwrite").options(**CSV, **keep).csv(path)
 
 
 def write_json(frame: DataFrame, path: str) -> None:

@@ -454,9 +454,10 @@ SPLIT = [
   FROM (SELECT no_show_target, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total,
                CAST(ceil(sum(count(*)) OVER () * 0.25) AS BIGINT) AS taken FROM features GROUP BY no_show_target))""",
     """parted AS (
-  SELECT f.*, place <= quota AS held_out
-  FROM (SELECT *, row_number() OVER (PARTITION BY no_show_target ORDER BY md5(CAST(appointment_id AS VARCHAR))) AS place
-        FROM features) f JOIN quotas USING (no_show_target))""",
+  SELECT *, hash < coalesce(min(hash) FILTER (place > quota) OVER (PARTITION BY no_show_target), 'g') AS held_out
+  FROM (SELECT *, md5(CAST(appointment_id AS VARCHAR)) AS hash,
+               row_number() OVER (PARTITION BY no_show_target ORDER BY md5(CAST(appointment_id AS VARCHAR))) AS place
+        FROM features) JOIN quotas USING (no_show_target))""",
     "learn AS (SELECT * FROM parted WHERE NOT held_out)",
 ]
 
@@ -646,7 +647,7 @@ def all_sql() -> dict[str, str]:
             ),
         ),
         "kpi_from": query("SELECT * FROM kpi", *FRICTION, kpi("kpi", "day >= DATE '1999-07-01'")),
-        "kpi_until": query("SELECT * FROM kpi", *FRICTION, kpi("kpi", "day <= DATE '1994-06-30'")),
+        "kpi_until": query("SELECT * FROM kpi", *FRICTION, kpi("kpi", "day <= DATE '1996-06-30'")),
         "clinic_perf_weights": clinic_rows(("(50 / 65::DOUBLE)", "(10 / 65::DOUBLE)", "0", "(5 / 65::DOUBLE)")),
         "clinic_perf_no_weights": clinic_rows(("0", "0", "0", "0")),
         "zip_friction_weights": zip_rows(tuple(f"({n} / 45::DOUBLE)" for n in (9, 0, 30, 0, 1, 2, 3))),
@@ -786,9 +787,11 @@ def all_sql() -> dict[str, str]:
             *queue("true"),
         ),
         "page_totals": query(
-            f"""SELECT n AS kpi, n AS clinics, n AS trend, n AS kinds, n AS modes, n AS providers,
+            f"""SELECT count(DISTINCT appointment_id) AS kpi, count(*) AS kinds, count(*) AS modes, count(*) AS providers,
+                       count(DISTINCT (appointment_id, clinic_id)) AS clinics,
+                       count(DISTINCT (appointment_id, date_trunc('month', day))) AS trend,
                        (SELECT count(*) FROM referral JOIN person USING (patient_id)) AS referrals
-                FROM (SELECT count(*) AS n FROM linked WHERE {WINDOW})"""
+                FROM linked WHERE {WINDOW}"""
         ),
         "feature_table": query("SELECT * FROM features", *FEATURES),
         "feature_imputed": query(
@@ -884,6 +887,28 @@ def all_sql() -> dict[str, str]:
             *FRICTION,
             *ATTENTION,
         ),
+        "load_match": query(
+            " UNION ALL ".join(
+                f"SELECT '{role}' AS table_name, count(*) AS source_rows, count(*) AS target_rows, true AS equal FROM {table}"
+                for role, table in audits.items()
+            )
+        ),
+        "refreshed_trends": query(
+            """SELECT CAST(date_trunc('month', day) AS DATE) AS month, count(DISTINCT referral_id) AS referrals, count(*) AS appointments
+               FROM visit JOIN referral USING (referral_id) GROUP BY 1"""
+        ),
+        "csv_rescan": """SELECT role, count(*) AS turns, CAST(sum(turn) AS BIGINT) AS turn_sum, CAST(sum(length(text)) AS BIGINT) AS characters,
+                                CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS line_ends
+                         FROM conversations GROUP BY role""",
+        "json_rescan": query("SELECT * FROM modes", MODES),
+        "bucketed_lag": query(
+            """SELECT mode AS visit_mode, priority AS referral_priority, count(*) AS appointments,
+                      median(date_diff('day', created, day)) AS median_lag
+               FROM visit JOIN referral USING (referral_id) GROUP BY ALL"""
+        ),
+        "coerced_numbers": """SELECT event_type, sum(coalesce(TRY_CAST(substr(props, 7, 2) AS DOUBLE), 0)) AS total,
+                                     count(*) FILTER (TRY_CAST(substr(props, 7, 2) AS DOUBLE) IS NULL) AS not_numbers
+                              FROM events GROUP BY event_type""",
         "repeated_keys": query(
             " UNION ALL ".join(
                 f"SELECT '{role}' AS table_name, (SELECT count(*) FROM (SELECT {key} FROM {table} GROUP BY {key} "

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import date, datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carequeue.functions.expressions import flag
-from carequeue.operators.settle import settled
+from carequeue.functions.expressions import LAG, flag, number_or_zero
+from carequeue.operators.settle import scratch_folder, settled
 from carequeue.operators.summary import summarise
 from carequeue.params import ClinicWeights, Filters, Selection, Settings, ZipWeights
 from carequeue.plans import actions, catalog, dashboard, quality, questions, risk, views
 from carequeue.plans.linked import Page
-from carequeue.sources.files import load_audit, repeated_keys
+from carequeue.sources import versions
+from carequeue.sources.files import load_audit, read_csv, repeated_keys, save_bucketed, write_csv, write_json
 from carequeue.sources.tpch import ROLES, TpchMart
 
 SETTINGS = Settings(as_of=date(2001, 8, 1))
@@ -84,6 +86,83 @@ def audit(mart) -> DataFrame:
     return load_audit({role: mart.table(role, *own) for role, (_, own) in ROLES.items()})
 
 
+def load_match(mart) -> DataFrame:
+    """Rows of every role's table as read and as stored, by a refresh of them all."""
+    target = scratch_folder(mart.spark)
+    frames = {role: mart.table(role, *own) for role, (_, own) in ROLES.items()}
+    found = versions.refresh(frames, target, {"appointment": ("appointment_date", "appointment_id")})
+    versions.remove(mart.spark, target)
+    return found
+
+
+def refreshed_trends(mart) -> DataFrame:
+    """Referrals and appointments by month, of tables that were refreshed twice, read as they were before the second time."""
+    spark, target = mart.spark, scratch_folder(mart.spark)
+    frames = {role: mart.table(role, *ROLES[role][1]) for role in ("referral", "appointment")}
+    versions.refresh(frames, target)
+    opened = {role: spark.read.parquet(f"{versions.current(spark, target)}/{role}.parquet") for role in frames}
+    versions.refresh({role: frame.limit(0) for role, frame in frames.items()}, target)
+    found = settled(
+        spark.sql(
+            """SELECT trunc(appointment_date, 'month') AS month, count(DISTINCT r.referral_id) AS referrals, count(*) AS appointments
+               FROM {appointment} a JOIN {referral} r ON a.referral_id = r.referral_id GROUP BY 1""",
+            **opened,
+        )
+    )
+    versions.remove(spark, target)
+    return found
+
+
+def csv_rescan(mart) -> DataFrame:
+    """What was said, by role, after a round trip through CSV files whose cells hold line ends."""
+    target = scratch_folder(mart.spark)
+    write_csv(mart.raw("conversations"), target)
+    again = read_csv(mart.spark, target, "role string, text string, turn bigint", multi_line=True)
+    found = settled(
+        again.groupBy("role").agg(
+            F.count("*").alias("turns"), F.sum("turn").alias("turn_sum"), F.sum(F.length("text")).alias("characters"),
+            F.sum(F.regexp_count("text", F.lit("\n"))).alias("line_ends"),
+        )
+    )
+    versions.remove(mart.spark, target)
+    return found
+
+
+def json_rescan(mart) -> DataFrame:
+    """The rates by visit mode, after a round trip through JSON."""
+    target = scratch_folder(mart.spark)
+    report = dashboard.visit_mode_no_show(mart, EVERYTHING)
+    write_json(report, target)
+    found = settled(mart.spark.read.schema(report.schema).json(target))
+    versions.remove(mart.spark, target)
+    return found
+
+
+def bucketed_lag(mart) -> DataFrame:
+    """Lag by visit mode and priority over facts that are bucketed by referral, so that their join shuffles nothing."""
+    facts = {
+        "referral": mart.table("referral", "referral_id", "referral_created_date", "referral_priority"),
+        "appointment": mart.table("appointment", "referral_id", "appointment_date", "visit_mode"),
+    }
+    names = {role: f"bucketed_{role}_{uuid4().hex}" for role in facts}
+    sort = {names["referral"]: "referral_created_date", names["appointment"]: "appointment_date"}
+    save_bucketed({names[role]: frame for role, frame in facts.items()}, "referral_id", 16, sort)
+    referrals, visits = (mart.spark.table(names[role]) for role in facts)
+    rows = visits.join(referrals, "referral_id")
+    found = settled(summarise(rows, ["visit_mode", "referral_priority"], {"appointments": "1"}, {"median_lag": LAG}))
+    for name in names.values():
+        mart.spark.sql(f"DROP TABLE {name}")
+    return found
+
+
+def coerced_numbers(mart) -> DataFrame:
+    """Two characters of each event's properties as a number, which some are not, by event type."""
+    number = number_or_zero("substr(props, 7, 2)")
+    return mart.raw("events").groupBy("event_type").agg(
+        F.sum(F.expr(number)).alias("total"), F.count_if(F.expr("try_cast(substr(props, 7, 2) AS DOUBLE) IS NULL")).alias("not_numbers")
+    )
+
+
 def scorecard(mart) -> DataFrame:
     return quality.scorecard(mart, SETTINGS, CHECKED_AT)
 
@@ -177,14 +256,15 @@ def score_check(mart) -> DataFrame:
     features = settled(risk.feature_table(mart, SETTINGS))
     model = risk.train(features)
     learn, fill = risk.training_part(features)
-    cells = risk.encoded(risk.impute(features, fill), risk.scaling(learn))
+    # Appointments may repeat their ids: rows get numbers.
+    rows = settled(features.withColumn("appointment_id", F.monotonically_increasing_id()))
     sums = mart.spark.sql(
         """SELECT appointment_id, 1D / (1D + exp(-sum(x * coefficient))) AS by_hand
            FROM {cells} e JOIN {fitted} c ON e.feature = c.feature AND e.value <=> c.value GROUP BY appointment_id""",
-        cells=cells,
+        cells=risk.encoded(risk.impute(rows, fill), risk.scaling(learn)),
         fitted=risk.coefficients(model),
     )
-    return risk.predictions(risk.score(model, features)).join(sums, "appointment_id", "left").selectExpr(
+    return risk.predictions(risk.score(model, rows)).join(sums, "appointment_id", "left").selectExpr(
         "count(*) AS scored", f"count_if(abs({risk.PROBABILITY} - by_hand) < 1e-9) AS added_up"
     )
 
@@ -267,6 +347,12 @@ MART_QUERIES = {
     "repeated_keys": repeated,
     "scan_projection": scan_projection,
     "load_audit": audit,
+    "load_match": load_match,
+    "refreshed_trends": refreshed_trends,
+    "csv_rescan": csv_rescan,
+    "json_rescan": json_rescan,
+    "bucketed_lag": bucketed_lag,
+    "coerced_numbers": coerced_numbers,
     "filter_in_list": filter_in_list,
     "filter_empty_selection": filter_selections,
     "referral_lag": lambda m: views.referral_lag(m, SETTINGS),
@@ -318,7 +404,7 @@ MART_QUERIES = {
     ),
     "kpi_selected": lambda m: dashboard.kpis(m, SELECTED, SETTINGS),
     "kpi_from": lambda m: dashboard.kpis(m, Filters(start=date(1999, 7, 1)), SETTINGS),
-    "kpi_until": lambda m: dashboard.kpis(m, Filters(end=date(1994, 6, 30)), SETTINGS),
+    "kpi_until": lambda m: dashboard.kpis(m, Filters(end=date(1996, 6, 30)), SETTINGS),
     "clinic_perf_weights": lambda m: dashboard.clinic_report(m, EVERYTHING, WEIGHTED),
     "zip_friction_weights": lambda m: dashboard.zip_report(m, WEIGHTED),
     "clinic_perf_no_weights": lambda m: dashboard.clinic_report(m, EVERYTHING, UNWEIGHTED),
