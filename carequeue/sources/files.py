@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from carequeue.sources.quoted import records
 from carequeue.sources.schemas import FACT_ORDER, KEYS, METRICS, PREDICTIONS, ROLE_TABLES, SCHEMAS
-from carequeue.sources.versions import current, refresh
+from carequeue.sources.versions import current, loading_session, refresh
 
 
 class MissingSource(FileNotFoundError):
@@ -77,10 +77,10 @@ def load_tables(
     """Read every table; with a ``target`` folder, refresh it there as parquet (see ``versions``) and read that."""
     if target is not None and form == "parquet" and target.rstrip("/") == folder.rstrip("/"):
         raise ValueError(f"{target} can't be refreshed from itself")
-    tables = {name: read_table(spark, folder, name, form) for name in SCHEMAS}
     if target is None:
-        return tables
-    refresh(tables, target, FACT_ORDER)
+        return {name: read_table(spark, folder, name, form) for name in SCHEMAS}
+    own = loading_session(spark)
+    refresh({name: read_table(own, folder, name, form) for name in SCHEMAS}, target, FACT_ORDER)
     return open_tables(spark, target)
 
 

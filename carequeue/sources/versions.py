@@ -55,12 +55,26 @@ def _point(spark: SparkSession, target: str, version: str) -> None:
     context.rename(written, _hadoop(spark, f"{root}/{POINTER}")[0], over)
 
 
+def loading_session(spark: SparkSession) -> SparkSession:
+    """A session with the same settings, for frames that are loaded.
+
+    Counting rows on their way leaves something in a session that can't be sent to tasks, and fitted Spark ML pipelines
+    take their session along: after a count in it, a session can't score any more.
+    """
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    return own
+
+
 def refresh(frames: Mapping[str, DataFrame], target: str, order: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Write all frames as the next version, make it the current one, and return (table_name, source_rows, target_rows, equal).
 
     Source rows are counted while they are read, which is once; target rows are those that the written files' footers
     state. Tables with an order are then written again in ranges of it, of even size, so that a filter on it skips most
-    row groups: ranges are found by reading twice, so they are of the copy and not of the source.
+    row groups: ranges are found by reading twice, so they are of the copy and not of the source. The frames should be
+    of a ``loading_session``.
     """
     spark = next(iter(frames.values())).sparkSession
     version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"

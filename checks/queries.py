@@ -89,6 +89,7 @@ def audit(mart) -> DataFrame:
 def load_match(mart) -> DataFrame:
     """Rows of every role's table as read and as stored, by a refresh of them all."""
     target = scratch_folder(mart.spark)
+    mart = TpchMart(versions.loading_session(mart.spark), mart.folder)
     frames = {role: mart.table(role, *own) for role, (_, own) in ROLES.items()}
     found = versions.refresh(frames, target, {"appointment": ("appointment_date", "appointment_id")})
     versions.remove(mart.spark, target)
@@ -98,7 +99,8 @@ def load_match(mart) -> DataFrame:
 def refreshed_trends(mart) -> DataFrame:
     """Referrals and appointments by month, of tables that were refreshed twice, read as they were before the second time."""
     spark, target = mart.spark, scratch_folder(mart.spark)
-    frames = {role: mart.table(role, *ROLES[role][1]) for role in ("referral", "appointment")}
+    source = TpchMart(versions.loading_session(spark), mart.folder)
+    frames = {role: source.table(role, *ROLES[role][1]) for role in ("referral", "appointment")}
     versions.refresh(frames, target)
     opened = {role: spark.read.parquet(f"{versions.current(spark, target)}/{role}.parquet") for role in frames}
     versions.refresh({role: frame.limit(0) for role, frame in frames.items()}, target)

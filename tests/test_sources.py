@@ -1,4 +1,5 @@
 import pytest
+from pyspark.ml.feature import StringIndexer
 
 from carequeue.plans import views
 from carequeue.plans.linked import linked
@@ -88,7 +89,9 @@ def test_repeated_keys(spark, mart):
 
 
 def test_refresh_counts_source_and_target(spark, mart, tmp_path):
-    match = versions.refresh(mart.tables, str(tmp_path / "mart"), FACT_ORDER)
+    own = versions.loading_session(spark)
+    frames = {name: own.createDataFrame(frame.collect(), frame.schema) for name, frame in mart.tables.items()}
+    match = versions.refresh(frames, str(tmp_path / "mart"), FACT_ORDER)
     rows = {r.table_name: (r.source_rows, r.target_rows, r.equal) for r in match.collect()}
     assert rows == {name: (n := frame.count(), n, True) for name, frame in mart.tables.items()}
     again = files.open_tables(spark, str(tmp_path / "mart"))
@@ -96,12 +99,20 @@ def test_refresh_counts_source_and_target(spark, mart, tmp_path):
         assert sorted(map(str, again[name].collect())) == sorted(map(str, frame.collect()))
 
 
+def test_a_session_can_score_after_a_refresh(spark, folder, tmp_path):
+    files.load_tables(spark, str(folder), str(tmp_path / "mart"))
+    rows = spark.createDataFrame([("a", 0.0), ("b", 1.0)] * 5, "c string, y double")
+    model = StringIndexer(inputCol="c", outputCol="i").fit(rows)
+    assert model.transform(rows).select("i").distinct().count() == 2
+    assert versions.loading_session(spark).conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+
+
 def test_readers_keep_their_version_and_failures_change_nothing(spark, tmp_path):
     target = str(tmp_path / "mart")
     assert versions.current(spark, target) is None and versions.release(spark, target) == []
     with pytest.raises(files.MissingSource):
         files.open_tables(spark, target)
-    rows = spark.range(20, numPartitions=3).selectExpr("id")
+    rows = versions.loading_session(spark).range(20, numPartitions=3).selectExpr("id")
     versions.refresh({"t": rows}, target)
     first = versions.current(spark, target)
     opened = spark.read.parquet(f"{first}/t.parquet")
