@@ -32,8 +32,9 @@ COLUMNS = 1024
 FEW_PAIRS = 64
 PAIRS = 2_000_000
 
-#: Rounds in which sets with too few shared keys go, and bits that tell tasks which texts to cut again (2 MB).
-PEELS = 2
+#: Blocks that a group is dealt to, beyond which its rows are connected by first blocks before all others are multiplied.
+FEW_BLOCKS = 16
+#: Bits that tell tasks which texts to cut again (2 MB).
 MARK_BITS = 1 << 24
 
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -429,16 +430,14 @@ def other_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def live_members(members: DataFrame) -> DataFrame:
     """Members (key, id, n, needed) of the sets that share as many keys as a link needs, and of keys that several such sets have."""
-    for _ in range(PEELS):
-        enough = members.groupBy("id").agg((F.count("*") >= F.min("needed")).alias("enough")).where("enough")
-        members = members.join(enough.select("id"), "id", "left_semi")
-        several = members.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
-        members = checkpointed(members.join(several.select("key"), "key", "left_semi"))
-    return members
+    enough = members.groupBy("id").agg((F.count("*") >= F.min("needed")).alias("enough")).where("enough")
+    members = members.join(enough.select("id"), "id", "left_semi")
+    several = members.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
+    return checkpointed(members.join(several.select("key"), "key", "left_semi"))
 
 
 def gathered(members: DataFrame) -> DataFrame:
-    """(id, group, whole) of the live sets: those that keys hold together, and whether the group is one block of the product.
+    """(id, group, blocks) of the live sets: those that keys hold together, and how many blocks of the product the group is.
 
     Sets of different groups have no key in common. Most groups are a few near copies and become a block each, to which
     every set goes once; larger groups are multiplied key by key.
@@ -446,8 +445,8 @@ def gathered(members: DataFrame) -> DataFrame:
     first = members.groupBy("key").agg(F.min("id").alias("v"))
     groups = connected_components(members.join(first, "key").select(F.col("id").alias("u"), "v"))
     placed = checkpointed(members.groupBy("id").agg(F.min("n").alias("n")).join(groups.withColumnRenamed("node", "id"), "id"))
-    sizes = placed.groupBy("component").agg((_blocks_of(F.count("*"), F.sum("n")) == 1).alias("whole"))
-    return placed.join(sizes, "component").select("id", F.col("component").alias("group"), "whole")
+    sizes = placed.groupBy("component").agg(_blocks_of(F.count("*"), F.sum("n")).alias("blocks"))
+    return placed.join(sizes, "component").select("id", F.col("component").alias("group"), "blocks")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -505,11 +504,13 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     named = classes.select("low", "id", "n", "needed")
     members = live_members(checkpointed(shared_keys(keys).join(named, "low").select("key", "id", "n", "needed")))
     groups = checkpointed(gathered(members))
-    wanted = classes.join(groups, "id").select("mark", "n", "high", "low", "id", "group", "whole")
-    sets = written(_sets(docs, wanted, width).select("id", "group", "whole", "shingles"))
+    wanted = classes.join(groups, "id").select("mark", "n", "high", "low", "id", "group", "blocks")
+    sets = written(_sets(docs, wanted, width).select("id", "group", "blocks", "shingles"))
     none = F.lit(0)
-    whole = sets.where("whole").select(F.col("group").alias("key"), none.alias("a"), none.alias("b"), none.alias("side"), "id", "shingles")
-    links = _products(whole, percent).union(_large_links(members, groups.where("not whole"), sets.where("not whole"), percent))
+    whole = sets.where("blocks = 1").select(F.col("group").alias("key"), none.alias("a"), none.alias("b"), none.alias("side"), "id", "shingles")
+    links = _products(whole, percent)
+    if not groups.where("blocks > 1").isEmpty():
+        links = links.union(_large_links(members, groups.where("blocks > 1"), sets.where("blocks > 1"), percent))
     linked = connected_components(links)
     grouped = checkpointed(classes.join(linked.withColumnRenamed("node", "id"), "id").select("n", "high", "low", "doc_id", "component"))
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("least"))
@@ -522,12 +523,15 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
 
 
 def _large_links(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside groups that are too large for a block: of the first blocks, then of what they leave unconnected."""
-    if groups.isEmpty():
-        return groups.select(F.col("id").alias("u"), F.col("id").alias("v"))
+    """Links inside groups that are too large for a block: those of very many rows are connected by first blocks where they
+    can be, then all are multiplied but for what is connected already."""
     members = checkpointed(members.join(groups.select("id"), "id", "left_semi"))
-    sets = sets.select("id", "shingles")
-    links = checkpointed(_products(first_blocks(members).join(sets, "id"), percent))
+    sets, many = sets.select("id", "shingles"), groups.where(F.col("blocks") > FEW_BLOCKS)
+    if many.isEmpty():
+        labels = groups.select("id", "group", F.col("id").alias("label"))
+        return _products(other_blocks(members, labels).join(sets, "id"), percent)
+    first = first_blocks(members.join(many.select("id"), "id", "left_semi"))
+    links = checkpointed(_products(first.join(sets, "id"), percent))
     near = connected_components(links).select(F.col("node").alias("id"), F.col("component"))
     labels = groups.join(near, "id", "left").select("id", "group", F.coalesce("component", "id").alias("label"))
     return links.union(_products(other_blocks(members, labels).join(sets, "id"), percent))

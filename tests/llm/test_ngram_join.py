@@ -73,9 +73,10 @@ def test_documents_equal_brute_force(spark):
     assert sorted(map(tuple, ngram_join.op13_similar(spark, SMALL).collect()), key=repr) == plain(rows)
 
 
-@pytest.mark.parametrize("block_rows", [512, 3])
-def test_groups_of_near_copies(spark, monkeypatch, block_rows):
+@pytest.mark.parametrize(("block_rows", "few_blocks"), [(512, 16), (3, 16), (3, 2)])
+def test_groups_of_near_copies(spark, monkeypatch, block_rows, few_blocks):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(ngram_join, "FEW_BLOCKS", few_blocks)
     rows = list(enumerate(copies(block_rows, 25, 14, 4)))
     assert found(spark, rows) == plain(rows)
 
