@@ -385,8 +385,8 @@ def first_blocks(members: DataFrame) -> DataFrame:
 
 
 def _dealt_sizes(members: DataFrame) -> DataFrame:
-    """(key, group, top, lefts, rights, cost): the commonest label of each key, the blocks that the rows outside it and all
-    rows are dealt to, and the rows that go to all of these."""
+    """(key, group, top, lefts, rights, square, cost): the commonest label of each key, the blocks that the rows outside it and
+    all rows are dealt to, whether all rows by all rows send out no more, and the rows that go out."""
     counts = members.groupBy("group", "key", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
     sizes = counts.groupBy("group", "key").agg(
         F.max(F.struct("rows", "shingles", "label")).alias("top"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles")
@@ -398,16 +398,25 @@ def _dealt_sizes(members: DataFrame) -> DataFrame:
             "rights": _blocks_of(F.col("rows"), F.col("shingles")),
         }
     )
-    cost = F.col("rows") * F.col("lefts") + rest * F.col("rights")
-    return dealt.select("key", "group", F.col("top.label").alias("top"), "lefts", "rights", cost.alias("cost"))
+    oblong, square = F.col("rows") * F.col("lefts") + rest * F.col("rights"), F.col("rows") * F.col("rights")
+    return dealt.select(
+        "key",
+        "group",
+        F.col("top.label").alias("top"),
+        "lefts",
+        "rights",
+        (square <= oblong).alias("square"),
+        F.least(square, oblong).alias("cost"),
+    )
 
 
 def other_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Blocks for all pairs of rows that share a key and are not yet connected; labels are (id, group, label).
 
     Of each key with rows of several labels the rows outside its commonest label are multiplied by all its rows: two
-    rows of different labels are never both of the commonest. Keys whose rows are all connected have no block. Where
-    that would send out more rows than multiplying the rows of all such keys of a group at once, as in a group of many
+    rows of different labels are never both of the commonest; or all rows by all, each pair of blocks once, where that
+    sends out fewer. Keys whose rows are all connected have no block. Where
+    they would send out more rows than multiplying the rows of all such keys of a group at once, as in a group of many
     near copies, which share most keys, the group takes the place of its keys.
     """
     named = checkpointed(members.join(labels, "id"))
@@ -423,9 +432,13 @@ def other_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
     ]
     dealt = checkpointed(chosen[0].unionByName(chosen[1]))
     every_left, every_right = (F.sequence(F.lit(0), F.col(n) - 1) for n in ("lefts", "rights"))
-    left = dealt.where("label <> top").select("key", _dealt(F.col("lefts")).alias("a"), F.explode(every_right).alias("b"), F.lit(1).alias("side"), "id")
-    right = dealt.select("key", F.explode(every_left).alias("a"), _dealt(F.col("rights")).alias("b"), F.lit(2).alias("side"), "id")
-    return left.union(right)
+    oblong = dealt.where("NOT square")
+    left = oblong.where("label <> top").select("key", _dealt(F.col("lefts")).alias("a"), F.explode(every_right).alias("b"), F.lit(1).alias("side"), "id")
+    right = oblong.select("key", F.explode(every_left).alias("a"), _dealt(F.col("rights")).alias("b"), F.lit(2).alias("side"), "id")
+    pairs = dealt.where("square").select("key", "id", _dealt(F.col("rights")).alias("own"), F.explode(every_right).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    square = pairs.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), side.alias("side"), "id")
+    return left.union(right).union(square)
 
 
 def live_members(members: DataFrame) -> DataFrame:
