@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
 
 import duckdb
 import numpy as np
@@ -21,8 +19,10 @@ from carequeue.llm.shared import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of text whose words are encoded together, and words in one query.
-GROUP_CHARS = 8_000_000
+GROUP_CHARS = 4_000_000
 QUERY_WORDS = 50_000
+#: Words that a worker process remembers.
+WORDS = 400_000
 #: Words of more bytes are contracted outside the recursion, whose rows grow with the square of a word's length.
 RECURSIVE_BYTES = 128
 DUCKDB_MEMORY = "600MB"
@@ -73,6 +73,8 @@ class Codec:
             if token[:cut] in self.ranks and token[cut:] in self.ranks
         ]
         self.merges = {(left, right): rank for left, right, rank in joined}
+        self.single = np.array([self.ranks[bytes([byte])] for byte in range(256)], np.int32)
+        self._forget()
         self.base = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
         left, right, merged = (np.array(ids, np.int64) for ids in zip(*joined))
         self._keep("merges", {"pair": left * PAIR + right, "merged": merged.astype(np.int32)})
@@ -90,27 +92,32 @@ class Codec:
         self._keep(name, columns)
         return self.base.sql(sql).to_arrow_table()
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word; a word that is a token is that token."""
-        ids: list = [None] * len(words)
-        split: list[int] = []
-        for k, word in enumerate(words):
-            if (rank := self.ranks.get(word)) is not None:
-                ids[k] = [rank]
-            elif len(word) > RECURSIVE_BYTES:
-                ids[k] = self._contract_long(word)
-            else:
-                split.append(k)
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in turn, and how many each has; a word that is a token is that token."""
+        sizes, parts = np.ones(len(words), np.int64), []
+        ranks = np.fromiter((self.ranks.get(word, -1) for word in words), np.int64, len(words))
+        open_ = np.flatnonzero(ranks < 0)
+        long = np.fromiter((len(words[k]) > RECURSIVE_BYTES for k in open_.tolist()), bool, len(open_))
+        for k in open_[long].tolist():
+            ids = np.array(self._contract_long(words[k]), np.int64)
+            sizes[k] = len(ids)
+            parts.append((np.array([k]), ids))
+        split = open_[~long]
         for begin in range(0, len(split), QUERY_WORDS):
             part = split[begin : begin + QUERY_WORDS]
-            ends = np.cumsum([0, *(len(words[k]) for k in part)]).astype(np.int32)
-            single = np.array([self.ranks[bytes([byte])] for byte in range(256)], np.int32)
-            symbols = single[np.frombuffer(b"".join(words[k] for k in part), np.uint8)]
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(symbols))
-            found = self._query(CONTRACT, "symbols", {"word": np.arange(len(part), dtype=np.int32), "ids": lists})
-            for k, own in zip(part, found["ids"].to_pylist(), strict=True):
-                ids[k] = own
-        return ids
+            own = [words[k] for k in part.tolist()]
+            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.single[np.frombuffer(b"".join(own), np.uint8)]))
+            found = self._query(CONTRACT, "symbols", {"word": np.arange(len(part), dtype=np.int32), "ids": lists})["ids"]
+            found = found.combine_chunks()
+            sizes[part] = np.diff(found.offsets.to_numpy())
+            parts.append((part, found.flatten().to_numpy()))
+        starts = np.cumsum(sizes) - sizes
+        flat = np.empty(int(sizes.sum()), np.int32)
+        flat[starts[ranks >= 0]] = ranks[ranks >= 0]
+        for of, ids in parts:
+            flat[_spread(starts[of], sizes[of])] = ids
+        return flat, sizes
 
     def _contract_long(self, word: bytes) -> list[int]:
         """The same contraction for one long word, its pairs in a heap by rank and place."""
@@ -130,34 +137,49 @@ class Codec:
                     heapq.heappush(heap, (next_rank, a, b))
         return [i for i in ids if i >= 0]
 
-    def decode_words(self, ids: list[list[int]]) -> list[bytes]:
-        """Bytes that each list of ids spells."""
-        sizes = np.array([len(own) for own in ids], dtype=np.int64)
-        starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        flat = np.fromiter((i for own in ids for i in own), np.int32, int(sizes.sum()))
-        word = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        found = self._query(DECODE, "spelled", {"word": word, "pos": np.arange(len(flat)) - starts, "id": flat})
-        out = [b""] * len(ids)
-        for k, spelled in zip(found["word"].to_pylist(), found["bytes"].to_pylist(), strict=True):
-            out[k] = spelled
-        return out
+    def decode_words(self, flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """Bytes that each word's ids spell; every word has ids."""
+        if not len(flat):
+            return []
+        word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return self._query(DECODE, "spelled", {"word": word, "pos": pos, "id": flat})["bytes"].to_pylist()
+
+    def learn(self, words: set[str]) -> None:
+        """Encode and decode the words that are not known yet; when too many are, all are forgotten first."""
+        new = [word for word in words if word not in self.numbers]
+        if len(self.numbers) + len(new) > WORDS:
+            self._forget()
+            new = list(words)
+        flat, sizes = self.encode_words([word.encode() for word in new])
+        self.spelled += self.decode_words(flat, sizes)
+        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.flat = np.concatenate((self.flat, flat))
+
+    def _forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.spelled: list[bytes] = []
+        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def round_trip(self, texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
-        """Ids of each text and the bytes they spell. Words are encoded and decoded once for all the texts."""
-        numbers: dict[str, int] = defaultdict(count().__next__)
-        found_words = map(self.find, texts)
-        places = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for words in found_words]
-        ids = self.encode_words([word.encode() for word in numbers])
-        spelled = self.decode_words(ids)
-        sizes = np.array([len(own) for own in ids], dtype=np.int64)
-        starts = np.cumsum(sizes) - sizes
-        flat = np.fromiter((i for own in ids for i in own), np.int32, int(sizes.sum()))
-        found = []
-        for at in places:
-            n = sizes[at]
-            shift = np.repeat(starts[at] - (np.cumsum(n) - n), n)
-            found.append(flat[shift + np.arange(len(shift))])
-        return found, [b"".join([spelled[k] for k in at]) for at in places]
+        """Ids of each text and the bytes they spell. A word is encoded and decoded when the process first meets it."""
+        found = [self.find(text) for text in texts]
+        self.learn({word for words in found for word in words})
+        ids, decoded = [], []
+        for words in found:
+            numbers = list(map(self.numbers.__getitem__, words))
+            at = np.array(numbers, np.int64)
+            ids.append(self.flat[_spread(self.starts[at], self.sizes[at])])
+            decoded.append(b"".join(map(self.spelled.__getitem__, numbers)))
+        return ids, decoded
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at the starts, in turn."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 @lru_cache(maxsize=2)
@@ -184,7 +206,8 @@ def encode_decode(
     Each match of the pattern is encoded separately, without special tokens. Null and empty texts have no ids and
     decode to nothing; repeated rows stay. The vocabulary file must be readable at `path` on every executor; the
     default is the multilingual vocabulary of the installed tokenizer files. Memory is bounded by a group of texts
-    (or the longest text). There is no shuffle and nothing is kept between tasks but the vocabulary.
+    (or the longest text) and the remembered words. There is no shuffle and nothing is kept between tasks but these
+    and the vocabulary.
     """
     place = path or public_tokenizers.path(RANKS)
 

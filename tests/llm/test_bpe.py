@@ -44,3 +44,19 @@ def test_groups_keep_every_text():
     assert [x for _, part in bpe.groups(texts, 6) for x in part] == [t or "" for t in texts]
     assert [begin for begin, _ in bpe.groups(texts, 6)] == [0, 3]
     assert list(bpe.groups([], 6)) == []
+
+
+def test_words_are_learned_anew_when_too_many_are_known():
+    own = bpe.Codec(PATH)
+    texts = ["one two three " + "ab" * 100, "three four", "", "one four \n"]
+    expected_ids = [LIBRARY.encode_ordinary(text) for text in texts]
+    words, bpe.WORDS = bpe.WORDS, 4
+    try:
+        for _ in range(3):
+            for text, ids in zip(texts, expected_ids):
+                found, decoded = own.round_trip([text])
+                assert found[0].tolist() == ids and decoded == [text.encode()]
+    finally:
+        bpe.WORDS = words
+    found, decoded = own.round_trip(texts)
+    assert [x.tolist() for x in found] == expected_ids and decoded == [text.encode() for text in texts]
