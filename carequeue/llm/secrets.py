@@ -38,6 +38,8 @@ LEAST_PER_PAIR = 0.7
 LEAST_SYMBOLS = 8
 #: Weight of the prior of each model's rows, in pairs.
 PRIOR = 66.0
+#: Spans that are put together one by one.
+BLOCK = 256
 CODES = 128
 SYMBOLS = 66
 
@@ -47,6 +49,13 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _blocks(items: Column) -> Column:
+    """The items in arrays of BLOCK: what grows by one item at a time is copied within a block alone."""
+    last = F.floor((F.size(items) - 1) / BLOCK).cast("int")
+    places = F.when(F.size(items) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+
 def _matches(text: Column, pattern: str, group: int) -> Column:
     """array<struct<start, stop, value>> of the leftmost matches that don't overlap, in code points.
 
@@ -58,23 +67,35 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
     )
 
+    none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
+
+    def add(done: Column, row: Column) -> Column:
+        start = done["at"] + row["gap"]
+        stop = start + row["size"]
+        one = F.array(F.struct(start.alias("start"), stop.alias("stop"), row["value"].alias("value")))
+        return F.struct(stop.alias("at"), F.concat(done["spans"], one).alias("spans"))
+
+    def moved(by: Column, spans: Column) -> Column:
+        return F.transform(
+            spans,
+            lambda x: F.struct((by + x["start"]).alias("start"), (by + x["stop"]).alias("stop"), x["value"].alias("value")),
+        )
+
+    def follow(done: Column, block: Column) -> Column:
+        spans = F.concat(done["blocks"], F.array(moved(done["at"], block["spans"])))
+        return F.struct((done["at"] + block["at"]).alias("at"), spans.alias("blocks"))
+
     def spans(found: Column) -> Column:
         rows = F.arrays_zip(
             F.transform(found["between"], F.length).alias("gap"),
             F.transform(found["whole"], F.length).alias("size"),
             found["value"].alias("value"),
         )
-        none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
-
-        def add(done: Column, row: Column) -> Column:
-            start = done["at"] + row["gap"]
-            stop = start + row["size"]
-            one = F.array(F.struct(start.alias("start"), stop.alias("stop"), row["value"].alias("value")))
-            return F.struct(stop.alias("at"), F.concat(done["spans"], one).alias("spans"))
-
-        # The last part has no match after it.
+        # The last part has no match after it. Blocks count from their own start, then follow one another.
         matched = F.slice(rows, 1, F.size(found["whole"]))
-        return F.aggregate(matched, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda done: done["spans"])
+        blocks = F.transform(_blocks(matched), lambda block: F.aggregate(block, F.struct(F.lit(0).alias("at"), none.alias("spans")), add))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,stop:int,value:string>>>").alias("blocks"))
+        return F.aggregate(blocks, start, follow, lambda done: F.flatten(done["blocks"]))
 
     empty = F.array().cast("array<struct<start:int,stop:int,value:string>>")
     return F.when(F.regexp_like(text, F.lit(pattern)), _let(parts, spans)).otherwise(empty)
@@ -165,10 +186,21 @@ def _markov_spans(text: Column, ratios: Column, base: Column, least: float, per_
         enough = F.size(F.array_distinct(F.split(x["value"], ""))) >= LEAST_SYMBOLS
         return enough & _let(ratio, lambda r: (r > least) & (r > pairs * per_pair))
 
-    def apart(x: Column) -> Column:
-        return ~F.exists(base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
+    def touch(b: Column, x: Column) -> Column:
+        return (b["start"] < x["stop"]) & (x["start"] < b["stop"])
+
+    def bounded(block: Column) -> Column:
+        stops = F.array_max(F.transform(block, lambda b: b["stop"]))
+        return F.struct(F.get(block, F.lit(0))["start"].alias("start"), stops.alias("stop"), block.alias("spans"))
+
+    def apart(blocks: Column) -> Column:
+        def untouched(x: Column) -> Column:
+            return ~F.exists(blocks, lambda block: touch(block, x) & F.exists(block["spans"], lambda b: touch(b, x)))
+
+        return F.filter(F.filter(_matches(text, CANDIDATE, 0), random), untouched)
 
-    found = F.filter(_matches(text, CANDIDATE, 0), lambda x: random(x) & apart(x))
+    # Base spans are in order of their start, so that of a block's first is the least.
+    found = _let(F.transform(_blocks(base), bounded), apart)
     return F.transform(
         found,
         lambda x: F.struct(
@@ -210,19 +242,33 @@ def _number(kind: int) -> Column:
 def redact(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
     """Docs with each secret in `text` replaced by the mask, overlapping ones by one, and n_chars, if there, renewed."""
     found = find_secrets(docs)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
-    def add(done: Column, x: Column) -> Column:
-        between = F.substring(F.col("text"), done["at"] + 1, x["start"] - done["at"])
-        return F.when(
-            x["start"] >= done["at"],
-            F.struct(x["stop"].alias("at"), F.concat(done["text"], between, F.lit(mask)).alias("text")),
-        ).otherwise(F.struct(F.greatest(done["at"], x["stop"]).alias("at"), done["text"].alias("text")))
+    def place(done: Column, block: Column) -> Column:
+        stop = F.greatest(done["at"], F.array_max(F.transform(block, lambda x: x["stop"])))
+        placed = F.struct(done["at"].alias("start"), stop.alias("stop"), block.alias("spans"))
+        return F.struct(stop.alias("at"), F.concat(done["blocks"], F.array(placed)).alias("blocks"))
+
+    def pieces(block: Column) -> Column:
+        def of(own: Column) -> Column:
+            def add(done: Column, x: Column) -> Column:
+                between = F.substring(own, done["at"] - block["start"] + 1, x["start"] - done["at"])
+                more = F.when(x["start"] >= done["at"], F.array(between, F.lit(mask))).otherwise(none)
+                return F.struct(F.greatest(done["at"], x["stop"]).alias("at"), F.concat(done["pieces"], more).alias("pieces"))
+
+            start = F.struct(block["start"].alias("at"), none.alias("pieces"))
+            return F.aggregate(block["spans"], start, add, lambda done: done["pieces"])
+
+        return _let(F.substring(F.col("text"), block["start"] + 1, block["stop"] - block["start"]), of)
 
-    def finish(done: Column) -> Column:
-        return F.concat(done["text"], F.substring(F.col("text"), done["at"] + 1, F.length("text")))
+    def joined(placed: Column) -> Column:
+        rest = F.substring(F.col("text"), placed["at"] + 1, F.length("text"))
+        return F.concat(F.array_join(F.flatten(F.transform(placed["blocks"], pieces)), ""), rest)
 
-    masked = F.aggregate("spans", start, add, finish)
+    # A block of spans begins where all before have ended, and is cut out of the text before its own spans are.
+    none = F.array().cast("array<string>")
+    kind = "array<struct<start:int,stop:int,spans:array<struct<start:int,kind:int,stop:int,value:string>>>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("blocks"))
+    masked = _let(F.aggregate(_blocks(F.col("spans")), start, place), joined)
     text = F.when(F.size("spans") > 0, masked).otherwise(F.col("text"))
     renewed = found.withColumn("text", text)
     if "n_chars" in docs.columns:

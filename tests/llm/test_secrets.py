@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -114,3 +115,22 @@ def test_models_tell_random_strings_from_words(spark, value, found):
     rows += [(10_000 + i, "token=" + hashlib.sha256(bytes([i])).hexdigest()) for i in range(50)] + [(9_999, f"see {value} there")]
     hits = secrets.find_secrets(spark.createDataFrame(rows, SCHEMA)).where("doc_id = 9999").first().spans
     assert [(x.start, x.kind, x.stop) for x in hits] == ([(4, 3, 4 + len(value))] if found else [])
+
+
+def test_a_text_of_very_many_secrets(spark):
+    parts = []
+    for k in range(50_000):
+        digest = hashlib.sha256(str(k).encode()).hexdigest()
+        parts.append((f"é token={digest[:10]}", f"{digest[:30]}", f"password: x{k}")[k % 3])
+    text = " ".join(parts) + " end"
+    docs = spark.createDataFrame([(1, text), (2, "clean")], SCHEMA)
+    started = time.monotonic()
+    found = {r.doc_id: r.base for r in secrets.find_secrets(docs).select("doc_id", "base").collect()}
+    masked = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert time.monotonic() - started < 120
+    names = list(PLAIN)
+    expected = plain_base(text)
+    assert [(x.start, x.kind, x.stop, names[x.kind], x.value) for x in found[1]] == expected and found[2] == []
+    assert masked[2] == "clean" and masked[1].count("<secret>") >= 33_000 and masked[1].endswith(" end")
+    for pattern, group, least in PLAIN.values():
+        assert all(len(m[group]) < least for m in pattern.finditer(masked[1]))
