@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carequeue.llm.shared import checkpointed, table, written
+from carequeue.llm.shared import checkpointed, matching, row_key, table, written
 
 #: Words of a window, and of the shingles it is found by; a shorter item is one window.
 WINDOW = 13
@@ -184,9 +184,10 @@ def contamination(
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Docs without the contaminated ones. Rows that share a doc_id go together if one of them is contaminated; rows without an id stay."""
-    bad = contamination(docs, benchmark, unnamed=True).where("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Docs without the contaminated ones, each row judged by its own text, whatever its id and whether others share it."""
+    keyed = docs.select(row_key(docs).alias("doc_id"), "text")
+    bad = contamination(keyed, benchmark, unnamed=True).where("contaminated").select(F.col("doc_id").alias("key")).distinct()
+    return matching(docs, bad, "left_anti")
 
 
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:

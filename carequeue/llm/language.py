@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from carequeue.llm.shared import checkpointed, table
+from carequeue.llm.shared import checkpointed, matching, row_key, table
 
 #: Byte trigrams are hashed to so many places; the weight of the prior of each place.
 PLACES = 1 << 16
@@ -201,17 +201,16 @@ def of_pages(pages: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """Docs without those that are rejected. Rows of one doc_id go if all of them are rejected; those without id stay.
+    """Docs without those that are rejected, each row judged by its own text, declaration and host, whatever its id.
 
     Without any declared language there is nothing to judge by: only rows without letters go.
     """
-    rows = of_documents(docs)
+    beside = ("lang", "source")
+    rows = of_documents(docs.withColumn("doc_id", row_key(docs, *beside)))
     languages = _declared(rows)
     lettered = rows.where(F.regexp_like("text", F.lit(r"\p{L}")))
     judged = identify(rows, languages).where("not rejected") if languages else lettered
-    kept = judged.select(F.col("row_id").alias("doc_id")).distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
-    return named.union(docs.where("doc_id is null"))
+    return matching(docs, judged.select(F.col("row_id").alias("key")).distinct(), "left_semi", *beside)
 
 
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,6 +45,18 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def row_key(docs: DataFrame, *others: str) -> Column:
+    """What tells documents apart whether they have ids or share them: the id, a hash of the text, and other columns."""
+    have = [F.col(name) if name in docs.columns else F.lit(None).alias(name) for name in others]
+    return F.struct(F.col("doc_id"), F.xxhash64("text").alias("mark"), *have)
+
+
+def matching(docs: DataFrame, keys: DataFrame, how: str, *others: str) -> DataFrame:
+    """Docs that have (left_semi) or have not (left_anti) a row among the keys, `key` as of row_key; null is equal to null."""
+    keyed = docs.withColumn("_key", row_key(docs, *others))
+    return keyed.join(keys, F.col("_key").eqNullSafe(F.col("key")), how).select(docs.columns)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carequeue.llm.components import connected_components
-from carequeue.llm.shared import checkpointed, table
+from carequeue.llm.shared import checkpointed, matching, table
 
 WIDTH = 4
 RADIUS = 4
@@ -214,18 +214,18 @@ def _linked(docs: DataFrame, width: int, radius: int, tile_rows: int | None = No
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """Docs with one row of each group of near-duplicates: the one that names the group.
+    """Docs with one row of each group of near-duplicates: that of the least id, and of its texts the least by hash.
 
-    Of rows that repeat that doc_id and its text one stays; of other texts under that doc_id, those that name a group of
-    their own stay too. Rows without doc_id can't be named and all stay.
+    A row without id stays if its group has none with one. Of rows that repeat that id and its text one stays; of other
+    texts under that id, those of other groups stay too.
     """
     prints, linked = _linked(docs, width, radius)
     # The least row of each fingerprint first, so that a group of many copies is folded before it meets in one task.
-    least = prints.where("doc_id is not null").groupBy("print").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
-    kept = least.join(linked, "print").groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.mark")
-    marked = docs.where("doc_id is not null").withColumn("_mark", _mark())
-    named = marked.join(kept.withColumnRenamed("mark", "_mark"), ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "_mark"])
-    return named.select(docs.columns).union(docs.where("doc_id is null"))
+    named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    least = prints.groupBy("print").agg(F.min(named).alias("first"))
+    kept = least.join(linked, "print").groupBy("component").agg(F.min("first").alias("first"))
+    found = matching(docs, kept.select(F.struct("first.doc_id", "first.mark").alias("key")), "left_semi")
+    return found.withColumn("_mark", _mark()).dropDuplicates(["doc_id", "_mark"]).select(docs.columns)
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:

@@ -75,8 +75,20 @@ def test_odd_rows(spark):
     assert digest(decontaminate.contamination(frame, bench)) == plain(docs, items)
     kept = decontaminate.clean_documents(frame, bench)
     assert kept.columns == frame.columns
-    # Rows that share an id go together; a row without an id stays.
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 3, 6, 7]
+    clean = [(row[0], text) for row, (_, text) in zip(plain_rows(docs, items), docs) if not row[5]]
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((key or 0, text or "") for key, text in clean)
+
+
+def plain_rows(docs, items):
+    """The plain result of each row by itself, in order."""
+    return [plain([row], items)[0] for row in docs]
+
+
+def test_rows_without_id_or_under_a_shared_one_are_judged_by_their_text(spark):
+    item = " ".join(f"b{i}" for i in range(20))
+    docs = [(None, item), (None, item), (1, item), (1, "clean words only"), (None, "clean too"), (2, item), (None, None)]
+    kept = decontaminate.clean_documents(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, item)], ITEMS))
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, "clean too"), (1, "clean words only")]
 
 
 def test_items_without_id_hit_words_as_in_the_sql(spark, tmp_path):

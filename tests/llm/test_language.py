@@ -71,4 +71,6 @@ def test_stage_keeps_rows_and_columns(spark):
     )
     kept = language.known_language(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 3]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [1, 3, 3]
+    both = docs.union(spark.createDataFrame([(1, "12 !", "en", "s", 4), (None, ENGLISH, "en", "s", 9)], docs.schema))
+    assert sorted((r.doc_id or 0, r.text) for r in language.known_language(both).collect()) == [(0, ENGLISH), (1, ENGLISH), (3, ENGLISH), (3, ENGLISH)]
