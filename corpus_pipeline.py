@@ -16,7 +16,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id."""
+    """One document of each group of near-duplicates: that of the smallest id; of rows without ids, one."""
     return simhash.one_of_each(docs)
 
 
@@ -50,8 +50,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over all documents, each stage's rows written as Parquet and read again by the next.
 
-    Null and empty texts go in the first stage (they have no language) unless their doc_id is null; rows without id
-    can't be named by a stage that drops rows and so stay. Repeated rows are one after the second stage.
+    Null and empty texts go in the first stage (they have no language). Every stage judges rows by what they hold: rows
+    without id and rows that share one go or stay as any other. Repeated rows are one after the second stage.
     An empty table gives an empty result.
     """
     docs = table(spark, sf_dir, "documents")
