@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from carequeue.session import like_session
+
 POINTER = "CURRENT"
 
 
@@ -61,11 +63,7 @@ def loading_session(spark: SparkSession) -> SparkSession:
     Counting rows on their way leaves something in a session that can't be sent to tasks, and fitted Spark ML pipelines
     take their session along: after a count in it, a session can't score any more.
     """
-    own = spark.newSession()
-    for key, value in spark.conf.getAll.items():
-        if spark.conf.isModifiable(key):
-            own.conf.set(key, value)
-    return own
+    return like_session(spark)
 
 
 def refresh(frames: Mapping[str, DataFrame], target: str, order: Mapping[str, Sequence[str]] | None = None) -> DataFrame:

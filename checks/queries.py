@@ -15,6 +15,7 @@ from carequeue.operators.summary import summarise
 from carequeue.params import ClinicWeights, Filters, Selection, Settings, ZipWeights
 from carequeue.plans import actions, catalog, dashboard, quality, questions, risk, views
 from carequeue.plans.linked import Page
+from carequeue.session import bounded_tasks
 from carequeue.sources import versions
 from carequeue.sources.files import load_audit, read_csv, repeated_keys, save_bucketed, write_csv, write_json
 from carequeue.sources.tpch import ROLES, TpchMart
@@ -440,7 +441,7 @@ MART_QUERIES = {
 
 
 def bind(build):
-    return lambda spark, folder: build(TpchMart(spark, folder))
+    return lambda spark, folder: build(TpchMart(bounded_tasks(spark), folder))
 
 
 def all_queries():
