@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,23 @@ def settled(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame, computed once into Parquet files beside the checkpoints; they go when the program ends.
+
+    For facts that are read many times over, a few columns at a time: a checkpoint is read whole, row by row.
+    """
+    spark, path = frame.sparkSession, scratch_folder(frame.sparkSession)
+    frame.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A new path beside the checkpoints, which executors share; who writes there removes it."""
     _checkpoint_folder(spark)

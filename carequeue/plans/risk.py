@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from carequeue.functions.expressions import LAG, flag, ratio, risk_bucket, round_to, status
 from carequeue.operators.ordered import running_totals
 from carequeue.operators.selection import cut_texts
-from carequeue.operators.settle import settled
+from carequeue.operators.settle import settled, stored
 from carequeue.params import Settings
 from carequeue.plans.actions import top
 from carequeue.plans.linked import linked
@@ -184,7 +184,7 @@ def hold_out(features: DataFrame, share: float = TEST_SHARE) -> str:
     """The test, as SQL text, that a row of ``features`` is in the stratified hold-out part.
 
     Of each class the rows with the least hashes of their id are held out, as many as its share: the same rows in every
-    run, whatever the partitions. The features are read a few times over, so they should be settled; see ``cut_texts``.
+    run, whatever the partitions. The features are read a few times over, so they should be stored; see ``cut_texts``.
     """
     counts = {row[TARGET]: row.n for row in features.groupBy(TARGET).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -210,6 +210,9 @@ class RiskModel:
 
     pipeline: PipelineModel
     fill: DataFrame
+    #: The features it was trained on, and those filled in, with their vectors and whether they were held out, as written on the way.
+    features: DataFrame | None = None
+    rows: DataFrame | None = None
 
     def save(self, path: str) -> None:
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
@@ -220,11 +223,14 @@ class RiskModel:
         return RiskModel(PipelineModel.load(f"{path}/pipeline"), spark.read.parquet(f"{path}/fill"))
 
 
-def training_part(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+def training_part(features: DataFrame, model: RiskModel | None = None) -> tuple[DataFrame, DataFrame]:
     """The imputed rows that models learn from, and the row of values that were filled in, taken from them alone.
 
-    ``features`` should be settled: training rows are not written again but filled in whenever they are read.
+    ``features`` should be stored: training rows are not written again but filled in whenever they are read. Those a
+    ``model`` has learned from are at hand.
     """
+    if model is not None and model.features is features:
+        return model.rows.where("NOT _held_out").select(*features.columns), model.fill
     part = features.where(f"NOT {hold_out(features)}")
     fill = settled(fill_values(part))
     return impute(part, fill), fill
@@ -255,8 +261,15 @@ def _weight(classes: Sequence) -> str:
 
 
 def train(features: DataFrame) -> RiskModel:
-    """Impute, scale, one-hot encode and fit a class-balanced logistic regression on the training part of settled features."""
-    learn, fill = training_part(features)
+    """Impute, scale, one-hot encode and fit a class-balanced logistic regression on the training part of stored features.
+
+    Rows are filled in and written once, and encoded as vectors and written once, all of them: the fit reads vectors
+    alone, and scores of the same rows need not encode them again.
+    """
+    held_out = hold_out(features)
+    fill = settled(fill_values(features.where(f"NOT {held_out}")))
+    filled = stored(impute(features.selectExpr("*", f"{held_out} AS _held_out"), fill))
+    learn = filled.where("NOT _held_out")
     # Two classes and four numeric features, so as many rows.
     classes = class_weights(learn).collect()
     if not classes:
@@ -275,24 +288,34 @@ def train(features: DataFrame) -> RiskModel:
             dropLast=True,
         ),
         VectorAssembler(inputCols=[*[f"_{n}_scaled" for n in NUMERIC], *[f"_{c}_hot" for c in CATEGORICAL]], outputCol="features"),
-        LogisticRegression(
-            labelCol=TARGET,
-            weightCol="_weight",
-            maxIter=MAX_ITERATIONS,
-            regParam=1.0 / total,
-            standardization=False,
-        ),
     ]
-    pipeline = Pipeline(stages=stages).fit(learn.selectExpr("*", f"{_weight(classes)} AS _weight"))
-    return RiskModel(pipeline, fill)
+    regression = LogisticRegression(
+        labelCol=TARGET,
+        weightCol="_weight",
+        maxIter=MAX_ITERATIONS,
+        regParam=1.0 / total,
+        standardization=False,
+    )
+    encoding = Pipeline(stages=stages).fit(learn)
+    rows = stored(encoding.transform(filled).select(*filled.columns, "features"))
+    fitted = regression.fit(rows.where("NOT _held_out").selectExpr("features", TARGET, f"{_weight(classes)} AS _weight"))
+    return RiskModel(PipelineModel([*encoding.stages, fitted]), fill, features, rows)
+
+
+def scored(model: RiskModel, features: DataFrame) -> DataFrame:
+    """The rows filled in, with their probability; those the model was trained on are encoded already."""
+    if model.features is features:
+        rows = model.pipeline.stages[-1].transform(model.rows)
+    else:
+        rows = model.pipeline.transform(impute(features, model.fill))
+    return rows.select(*features.columns, vector_to_array("probability")[1].alias(PROBABILITY))
 
 
 def score(model: RiskModel, features: DataFrame) -> DataFrame:
     """(appointment, target, probability, bucket) of every row, training rows included."""
-    scored = model.pipeline.transform(impute(features, model.fill))
-    return scored.select(
-        "appointment_id", TARGET, vector_to_array("probability")[1].alias(PROBABILITY)
-    ).selectExpr("*", f"{risk_bucket(PROBABILITY)} AS risk_bucket")
+    return scored(model, features).selectExpr(
+        "appointment_id", TARGET, PROBABILITY, f"{risk_bucket(PROBABILITY)} AS risk_bucket"
+    )
 
 
 def coefficients(model: RiskModel) -> DataFrame:
@@ -303,7 +326,7 @@ def coefficients(model: RiskModel) -> DataFrame:
     names += [(name, value) for name, values in zip(CATEGORICAL, indexer.labelsArray, strict=True) for value in values]
     rows = [("intercept", None, float(regression.intercept))]
     rows += [(*name, float(own)) for name, own in zip(names, regression.coefficients, strict=True)]
-    return model.fill.sparkSession.createDataFrame(rows, "feature string, value string, coefficient double")
+    return stored(model.fill.sparkSession.createDataFrame(rows, "feature string, value string, coefficient double"))
 
 
 def encoded(rows: DataFrame, scaling_of: DataFrame) -> DataFrame:
@@ -323,11 +346,15 @@ def optimality(model: RiskModel, features: DataFrame) -> DataFrame:
     convex. So the fit is the best one if and only if its gradient, sum of w (p - y) x over sum of w, plus the
     penalty's slope is zero for every coefficient. One grouped aggregate over the encoded rows, combined on the map side.
     """
-    learn, _ = training_part(features)
+    learn, _ = training_part(features, model)
     weight = _weight(class_weights(learn).collect())
-    probability = model.pipeline.transform(learn).select(*learn.columns, vector_to_array("probability")[1].alias("_p"))
+    if model.features is features:
+        probability = model.pipeline.stages[-1].transform(model.rows.where("NOT _held_out"))
+    else:
+        probability = model.pipeline.transform(learn)
+    probability = probability.select(TARGET, *NUMERIC, *CATEGORICAL, vector_to_array("probability")[1].alias("_p"))
     errors = probability.selectExpr("*", f"{weight} AS _w").selectExpr("*", f"_w * (_p - {TARGET}) AS _error")
-    slopes = encoded(errors, scaling(learn)).groupBy("feature", "value").agg(F.sum(F.expr("_error * x")).alias("slope"))
+    slopes = encoded(errors.drop("_p", "_w", TARGET), scaling(learn)).groupBy("feature", "value").agg(F.sum(F.expr("_error * x")).alias("slope"))
     regression = model.pipeline.stages[-1]
     return features.sparkSession.sql(
         f"""SELECT c.feature, c.value, coefficient,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carequeue.functions.expressions import LAG, flag, number_or_zero
-from carequeue.operators.settle import scratch_folder, settled
+from carequeue.operators.settle import scratch_folder, settled, stored
 from carequeue.operators.summary import summarise
 from carequeue.params import ClinicWeights, Filters, Selection, Settings, ZipWeights
 from carequeue.plans import actions, catalog, dashboard, quality, questions, risk, views
@@ -211,7 +211,7 @@ def stand_in(mart) -> DataFrame:
 
 
 def feature_imputed(mart) -> DataFrame:
-    return risk.impute(settled(risk.feature_table(mart, SETTINGS)))
+    return risk.impute(stored(risk.feature_table(mart, SETTINGS)))
 
 
 def fill_values(mart) -> DataFrame:
@@ -219,7 +219,7 @@ def fill_values(mart) -> DataFrame:
 
 
 def risk_scores(mart) -> DataFrame:
-    features = settled(risk.feature_table(mart, SETTINGS))
+    features = stored(risk.feature_table(mart, SETTINGS))
     return risk.predictions(risk.score(risk.train(features), features))
 
 
@@ -234,47 +234,47 @@ def risk_scores_check(mart) -> DataFrame:
 
 
 def split_counts(mart) -> DataFrame:
-    return risk.split_counts(settled(risk.feature_table(mart, SETTINGS, columns=[])))
+    return risk.split_counts(stored(risk.feature_table(mart, SETTINGS, columns=[])))
 
 
 def class_weights(mart) -> DataFrame:
-    features = settled(risk.feature_table(mart, SETTINGS, columns=[]))
+    features = stored(risk.feature_table(mart, SETTINGS, columns=[]))
     return risk.class_weights(features.where(f"NOT {risk.hold_out(features)}"))
 
 
 def scaling(mart) -> DataFrame:
-    learn, _ = risk.training_part(settled(risk.feature_table(mart, SETTINGS)))
+    learn, _ = risk.training_part(stored(risk.feature_table(mart, SETTINGS)))
     return risk.scaling(learn).selectExpr("feature", "round(mean, 6) AS mean", "round(deviation, 6) AS deviation")
 
 
 def model_fit_check(mart) -> DataFrame:
     """The fitted coefficients' names, and how far each is from the optimum, to three digits."""
-    features = settled(risk.feature_table(mart, SETTINGS))
+    features = stored(risk.feature_table(mart, SETTINGS))
     found = risk.optimality(risk.train(features), features)
     return found.selectExpr("feature", "value", "round(residual, 3) AS residual")
 
 
 def score_check(mart) -> DataFrame:
     """Appointments, and those whose score is what the coefficients give when added up by hand."""
-    features = settled(risk.feature_table(mart, SETTINGS))
+    features = stored(risk.feature_table(mart, SETTINGS))
     model = risk.train(features)
-    learn, fill = risk.training_part(features)
-    # Appointments may repeat their ids: rows get numbers.
-    rows = settled(features.withColumn("appointment_id", F.monotonically_increasing_id()))
+    learn, _ = risk.training_part(features, model)
+    # Appointments may repeat their ids: rows get numbers. A row's score goes along with what is added up, so they need no join.
+    rows = risk.scored(model, features).withColumn("appointment_id", F.monotonically_increasing_id())
     sums = mart.spark.sql(
-        """SELECT appointment_id, 1D / (1D + exp(-sum(x * coefficient))) AS by_hand
-           FROM {cells} e JOIN {fitted} c ON e.feature = c.feature AND e.value <=> c.value GROUP BY appointment_id""",
-        cells=risk.encoded(risk.impute(rows, fill), risk.scaling(learn)),
+        f"""SELECT appointment_id, {risk.PROBABILITY}, 1D / (1D + exp(-sum(x * coefficient))) AS by_hand
+            FROM {{cells}} e JOIN {{fitted}} c ON e.feature = c.feature AND e.value <=> c.value GROUP BY appointment_id, {risk.PROBABILITY}""",
+        cells=risk.encoded(rows.drop(risk.TARGET), risk.scaling(learn)),
         fitted=risk.coefficients(model),
     )
-    return risk.predictions(risk.score(model, rows)).join(sums, "appointment_id", "left").selectExpr(
+    return sums.selectExpr(
         "count(*) AS scored", f"count_if(abs({risk.PROBABILITY} - by_hand) < 1e-9) AS added_up"
     )
 
 
 def model_metrics(mart) -> DataFrame:
-    features = settled(risk.feature_table(mart, SETTINGS))
-    return risk.metrics_document(settled(risk.score(risk.train(features), features))).selectExpr(
+    features = stored(risk.feature_table(mart, SETTINGS))
+    return risk.metrics_document(stored(risk.score(risk.train(features), features))).selectExpr(
         "accuracy", "precision", "recall", "f1", "roc_auc", "to_json(confusion_matrix) AS confusion_matrix"
     )
 

@@ -5,7 +5,7 @@ import pytest
 
 from carequeue.operators.ordered import running_totals
 from carequeue.operators.selection import cut_texts
-from carequeue.operators.settle import settled
+from carequeue.operators.settle import settled, stored
 from carequeue.plans import risk
 from carequeue.sources.files import read_metrics, read_predictions, write_csv, write_json
 from carequeue.sources.tpch import TpchMart
@@ -144,3 +144,23 @@ def test_optimality_finds_a_model_that_is_not_the_best_one(spark):
     # The same model on other rows is off its optimum.
     other = risk.optimality(model, features.where("days_from_referral_to_appointment > 40"))
     assert max(r.residual or 0 for r in other.collect()) > 5e-3
+
+
+def test_rows_trained_on_are_encoded_once_and_scored_alike(spark):
+    features = stored(risk.feature_table(TpchMart(spark, SMALL), SETTINGS))
+    model = risk.train(features)
+    # A filter of all rows is another frame, whose rows go through the whole pipeline.
+    again = features.where("appointment_id IS NOT NULL")
+    trained, other = risk.score(model, features), risk.score(model, again)
+    plan = trained._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UDF(") < other._jdf.queryExecution().optimizedPlan().toString().count("UDF(")
+    # Nothing is read as rows of a checkpoint, so passes read the columns they need.
+    assert "Scan ExistingRDD" not in trained._jdf.queryExecution().executedPlan().toString()
+    by_id = {r.appointment_id: r[risk.PROBABILITY] for r in other.collect()}
+    found = {r.appointment_id: r[risk.PROBABILITY] for r in trained.collect()}
+    assert found.keys() == by_id.keys() and all(found[i] == pytest.approx(by_id[i], abs=1e-12) for i in found)
+    part, fill = risk.training_part(features, model)
+    plain, own = risk.training_part(again)
+    assert sorted(map(str, part.collect())) == sorted(map(str, plain.collect())) and fill.collect() == own.collect()
+    residuals = {(r.feature, r.value): r.residual for r in risk.optimality(model, again).collect()}
+    assert {(r.feature, r.value): pytest.approx(r.residual, abs=1e-9) for r in risk.optimality(model, features).collect()} == residuals
