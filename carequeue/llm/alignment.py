@@ -7,7 +7,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from carequeue.llm.shared import table, written
+from carequeue.llm.shared import held, table, written
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of text that are aligned together, words a worker process remembers, and words encoded together.
@@ -156,10 +155,9 @@ class Aligner:
             yield sum(n_a), sum(n_b), "".join(groups)[:-1], np.frombuffer(b"".join(pairs), np.int32)
 
 
-@lru_cache(maxsize=2)
 def aligner(a_path: str, b_path: str) -> Aligner:
     """One aligner for all tasks of a worker process."""
-    return Aligner(a_path, b_path)
+    return held(Aligner, a_path, b_path)
 
 
 def _groups(texts: list[str], size: int) -> Iterator[tuple[int, int]]:

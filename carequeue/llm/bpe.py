@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property
+from itertools import count, islice
 
 import duckdb
 import numpy as np
@@ -15,14 +17,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carequeue.llm.shared import table
+from carequeue.llm.shared import give_back, held, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of text whose words are encoded together, and words in one query.
 GROUP_CHARS = 4_000_000
 QUERY_WORDS = 50_000
-#: Words that a worker process remembers.
+#: Words that a worker process remembers before it starts afresh, and rows that become Python texts together.
 WORDS = 400_000
+ROWS = 1000
 #: Words of more bytes are contracted outside the recursion, whose rows grow with the square of a word's length.
 RECURSIVE_BYTES = 128
 DUCKDB_MEMORY = "600MB"
@@ -66,22 +69,27 @@ class Codec:
         self.ranks = read_ranks(path)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.find = regex.compile(pattern).findall
-        joined = [
-            (self.ranks[token[:cut]], self.ranks[token[cut:]], rank)
-            for token, rank in self.ranks.items()
-            for cut in range(1, len(token))
-            if token[:cut] in self.ranks and token[cut:] in self.ranks
-        ]
-        self.merges = {(left, right): rank for left, right, rank in joined}
         self.single = np.array([self.ranks[bytes([byte])] for byte in range(256)], np.int32)
         self._forget()
         self.base = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
-        left, right, merged = (np.array(ids, np.int64) for ids in zip(*joined))
-        self._keep("merges", {"pair": left * PAIR + right, "merged": merged.astype(np.int32)})
+        pairs = np.array(list(self._joined()), np.int64)
+        self._keep("merges", {"pair": pairs[:, 0], "merged": pairs[:, 1].astype(np.int32)})
         self._keep(
             "vocabulary", {"id": pa.array(self.tokens, pa.int32()), "hex": [token.hex() for token in self.tokens.values()]}
         )
 
+    def _joined(self) -> Iterator[tuple[int, int]]:
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    yield left * PAIR + right, rank
+
+    @cached_property
+    def merges(self) -> dict[int, int]:
+        """The merge table for long words, made when the first is met."""
+        return dict(self._joined())
+
     def _keep(self, name: str, columns: dict) -> None:
         given = pa.table(columns)
         self.base.register("given", given)
@@ -123,17 +131,17 @@ class Codec:
         """The same contraction for one long word, its pairs in a heap by rank and place."""
         ids = [self.ranks[bytes([byte])] for byte in word]
         after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
-        heap = [(rank, i, i + 1) for i in range(len(ids) - 1) if (rank := self.merges.get((ids[i], ids[i + 1]))) is not None]
+        heap = [(rank, i, i + 1) for i in range(len(ids) - 1) if (rank := self.merges.get(ids[i] * PAIR + ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i, j = heapq.heappop(heap)
-            if ids[i] < 0 or after[i] != j or self.merges.get((ids[i], ids[j])) != rank:
+            if ids[i] < 0 or after[i] != j or self.merges.get(ids[i] * PAIR + ids[j]) != rank:
                 continue
             ids[i], ids[j], after[i] = rank, -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (next_rank := self.merges.get((ids[a], ids[b]))) is not None:
+                if a >= 0 and b >= 0 and (next_rank := self.merges.get(ids[a] * PAIR + ids[b])) is not None:
                     heapq.heappush(heap, (next_rank, a, b))
         return [i for i in ids if i >= 0]
 
@@ -145,34 +153,31 @@ class Codec:
         pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         return self._query(DECODE, "spelled", {"word": word, "pos": pos, "id": flat})["bytes"].to_pylist()
 
-    def learn(self, words: set[str]) -> None:
-        """Encode and decode the words that are not known yet; when too many are, all are forgotten first."""
-        new = [word for word in words if word not in self.numbers]
-        if len(self.numbers) + len(new) > WORDS:
-            self._forget()
-            new = list(words)
+    def learn(self, new: list[str]) -> None:
+        """Encode and decode words that have just been numbered."""
         flat, sizes = self.encode_words([word.encode() for word in new])
         self.spelled += self.decode_words(flat, sizes)
-        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
         self.sizes = np.concatenate((self.sizes, sizes))
         self.flat = np.concatenate((self.flat, flat))
 
     def _forget(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbers: dict[str, int] = defaultdict(count().__next__)
         self.spelled: list[bytes] = []
         self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def round_trip(self, texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
         """Ids of each text and the bytes they spell. A word is encoded and decoded when the process first meets it."""
-        found = [self.find(text) for text in texts]
-        self.learn({word for words in found for word in words})
-        ids, decoded = [], []
-        for words in found:
-            numbers = list(map(self.numbers.__getitem__, words))
-            at = np.array(numbers, np.int64)
-            ids.append(self.flat[_spread(self.starts[at], self.sizes[at])])
-            decoded.append(b"".join(map(self.spelled.__getitem__, numbers)))
+        if len(self.numbers) > WORDS:
+            self._forget()
+        known, places = len(self.numbers), []
+        for text in texts:
+            words = self.find(text)
+            places.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
+        if len(self.numbers) > known:
+            self.learn(list(islice(self.numbers, known, None)))
+        ids = [self.flat[_spread(self.starts[at], self.sizes[at])] for at in places]
+        decoded = [b"".join(map(self.spelled.__getitem__, at.tolist())) for at in places]
         return ids, decoded
 
 
@@ -182,10 +187,9 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """One codec for all tasks of a worker process."""
-    return Codec(path, pattern)
+    return held(Codec, path, pattern)
 
 
 def groups(texts: list[str | None], size: int) -> Iterator[tuple[int, list[str]]]:
@@ -214,18 +218,22 @@ def encode_decode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(place, pattern)
         for batch in batches:
-            for begin, texts in groups(batch.column(1).to_pylist(), GROUP_CHARS):
-                ids, decoded = coder.round_trip(texts)
-                ends = np.concatenate(([0], np.cumsum([len(own) for own in ids]))).astype(np.int32)
-                values = np.concatenate([np.zeros(0, np.int32), *ids])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(begin, len(texts)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
-                        pa.array(decoded, pa.binary()),
-                    ],
-                    ["doc_id", "ids", "decoded"],
-                )
+            for start in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(start, ROWS)
+                for begin, texts in groups(rows.column(1).to_pylist(), GROUP_CHARS):
+                    ids, decoded = coder.round_trip(texts)
+                    ends = np.concatenate(([0], np.cumsum([len(own) for own in ids]))).astype(np.int32)
+                    values = np.concatenate([np.zeros(0, np.int32), *ids])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            rows.column(0).slice(begin, len(texts)),
+                            pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
+                            pa.array(decoded, pa.binary()),
+                        ],
+                        ["doc_id", "ids", "decoded"],
+                    )
+        # The worker waits with the words it remembers, but not with what the texts took.
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from carequeue.llm.shared import checkpointed, matching, row_key, table
+from carequeue.llm.shared import checkpointed, let_go, matching, row_key, table
 
 #: Byte trigrams are hashed to so many places; the weight of the prior of each place.
 PLACES = 1 << 16
@@ -44,6 +44,7 @@ def train(docs: DataFrame, languages: list[str]) -> np.ndarray:
     number = {language: k for k, language in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         counts = np.zeros((len(languages), PLACES), np.int64)
         for batch in batches:
             for declared, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

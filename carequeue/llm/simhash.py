@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carequeue.llm.components import connected_components
-from carequeue.llm.shared import checkpointed, matching, table
+from carequeue.llm.shared import checkpointed, let_go, matching, table
 
 WIDTH = 4
 RADIUS = 4
@@ -54,6 +54,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, mark, print) for every row of docs; print holds the 64 bits as a bigint, mark a hash of the text. A null text is an empty one."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             found = [fingerprint(text or b"", width) for text in batch.column(2).to_pylist()]
             values = pa.array(np.array(found, dtype=np.uint64).view(np.int64))

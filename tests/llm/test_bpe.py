@@ -1,10 +1,12 @@
+import gc
 import hashlib
+import weakref
 
 import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
-from carequeue.llm import bpe
+from carequeue.llm import bpe, shared
 from tests.conftest import SMALL
 
 PATH = public_tokenizers.path(bpe.RANKS)
@@ -60,3 +62,26 @@ def test_words_are_learned_anew_when_too_many_are_known():
         bpe.WORDS = words
     found, decoded = own.round_trip(texts)
     assert [x.tolist() for x in found] == expected_ids and decoded == [text.encode() for text in texts]
+
+
+def test_a_worker_keeps_the_model_of_one_operator_at_a_time():
+    own = bpe.codec(PATH, public_tokenizers.PATTERN)
+    assert bpe.codec(PATH, public_tokenizers.PATTERN) is own
+    gone = weakref.ref(own)
+    del own
+    shared.held(dict)
+    gc.collect()
+    assert gone() is None
+    shared.let_go()
+    assert not shared._held
+
+
+def test_the_words_of_texts_are_not_held_beside_their_numbers():
+    own = bpe.Codec(PATH)
+    texts = ["one two three " * 2000] * 20
+    own.round_trip(texts[:1])
+    assert "merges" not in vars(own)
+    found, decoded = own.round_trip(texts)
+    assert [x.tolist() for x in found] == [LIBRARY.encode_ordinary(t) for t in texts] and decoded == [t.encode() for t in texts]
+    own.round_trip(["ab" * 300])
+    assert "merges" in vars(own)
