@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -13,22 +12,38 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carequeue.llm.shared import table
+from carequeue.llm.shared import held, table
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 SPACE = "▁"
 #: Characters in a chunk of a text.
 CHUNK = 65_536
-#: States and words that a worker process keeps before it starts afresh, and the longest word kept.
+#: States and units that a worker process keeps before it starts afresh, and the longest unit kept.
 STATES = 120_000
 WORDS = 400_000
 WORD_CHARS = 64
 
-_UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 _START = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 
 
+def unit_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """Units that can be counted one by one, as no piece goes on from one to the next: the shorter, the fewer there are.
+
+    A unit is a run of letters, or of other characters, with the spaces before it. What some piece holds beside a letter
+    counts as a letter; numerals like ½, word characters to a pattern, are none.
+    """
+    pairs = {piece[i : i + 2] for piece in pieces for i in range(len(piece) - 1) if SPACE not in piece[i : i + 2]}
+    letters = {char for pair in pairs for char in pair if char.isalpha()}
+    others = {char for pair in pairs for char in pair} - letters
+    while found := {char for pair in pairs for char in pair if char in others and not letters.isdisjoint(pair)}:
+        letters, others = letters | found, others - found
+    marks = re.escape("".join(sorted(char for char in letters if not char.isalpha())))
+    numerals = re.escape("".join(sorted(char for char in others if char.isalnum() and not char.isdecimal())))
+    run = rf"(?:[^\W\d_{numerals}]++|[{marks}]++)++" if marks else rf"[^\W\d_{numerals}]++"
+    return re.compile(rf"{SPACE}*+(?:{run}|(?:(?![{SPACE}{marks}])[\W\d_{numerals}])++|(?<={SPACE}))")
+
+
 class Pieces:
     """The vocabulary: which neighbouring pieces stay apart, and which strings begin a longer piece."""
 
@@ -40,6 +55,7 @@ class Pieces:
         self.begun = {piece[:n] for piece in self.score for n in range(1, len(piece))}
         if any(SPACE in piece.lstrip(SPACE) for piece in self.score):
             raise ValueError("A piece goes on over a space, so words can't be counted one by one")
+        self.unit = unit_pattern(self.score)
         self.reached = {piece for piece in self.score if self.merged(piece) == [piece]}
         self.apart: dict[tuple[str, str], bool] = {}
 
@@ -64,7 +80,7 @@ class Pieces:
         if found is None:
             if len(self.apart) > 2_000_000:
                 self.apart.clear()
-            found = self.apart[key] = self.merged(left + right) == [left, right]
+            found = self.apart[key] = left + right not in self.reached and self.merged(left + right) == [left, right]
         return found
 
 
@@ -85,6 +101,23 @@ class State(dict):
         return found
 
 
+class Counts(dict):
+    """Tokens of units by text: counted when first met, and kept unless long."""
+
+    __slots__ = ("owner",)
+
+    def __init__(self, owner: Transducer):
+        self.owner = owner
+
+    def __missing__(self, unit: str) -> int:
+        found = self.owner.count_word(unit)
+        if len(unit) <= WORD_CHARS:
+            if len(self) >= WORDS:
+                self.clear()
+            self[unit] = found
+        return found
+
+
 class Transducer:
     """Counts tokens: deterministic, its states and annotated transitions compiled when first met.
 
@@ -95,7 +128,7 @@ class Transducer:
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
-        self.counted: dict[str, int] = {}
+        self.counted = Counts(self)
         self._restart()
 
     def _restart(self) -> None:
@@ -129,7 +162,7 @@ class Transducer:
         return self._state(text[len(text) - keep :], last, more), change
 
     def count_word(self, word: str) -> int:
-        """Tokens of one word with its spaces before it."""
+        """Tokens of one word with its spaces before it, or of another unit."""
         state, total = self.start, 0
         for char in word:
             state, change = state[char]
@@ -140,17 +173,7 @@ class Transducer:
 
     def count_words(self, text: str) -> int:
         """Tokens of text that begins with a space."""
-        total, counted = 0, self.counted
-        for word in _UNIT.findall(text):
-            found = counted.get(word)
-            if found is None:
-                found = self.count_word(word)
-                if len(word) <= WORD_CHARS:
-                    if len(counted) >= WORDS:
-                        counted.clear()
-                    counted[word] = found
-            total += found
-        return total
+        return sum(map(self.counted.__getitem__, self.pieces.unit.findall(text)))
 
     def chunk_map(self, chunk: str) -> tuple[str, int, str] | str:
         """What a chunk does to any state that it is entered with.
@@ -202,10 +225,9 @@ class Transducer:
         return self.count_words(whole[0]) + whole[1] + self.count_words(whole[2])
 
 
-@lru_cache(maxsize=2)
 def transducer(path: str) -> Transducer:
     """One transducer for all tasks of a worker process."""
-    return Transducer(path)
+    return held(Transducer, path)
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:

@@ -52,3 +52,19 @@ def test_odd_rows(spark):
     found = token_counts.count_tokens(docs).collect()
     assert sorted((r.doc_id or -1, r.n_tokens) for r in found) == sorted((i or -1, expected(t)) for i, t in rows)
     assert token_counts.count_tokens(docs.limit(0)).collect() == []
+
+
+def test_letters_and_stops_are_counted_apart():
+    fresh = token_counts.Transducer(PATH)
+    texts = ["sure.\nSure, (sure) sure; été. 1½ ²a ½", "▁▁ a▁.b  ", "", "été"]
+    assert [fresh.count(text) for text in texts] == [expected(text) for text in texts]
+    assert set(fresh.counted) >= {"▁sure", "Sure", ".\n", ",", "sure", "▁été"}
+    assert not any("sure" in unit and unit.strip("▁") != "sure" for unit in fresh.counted)
+    for text in ("▁a▁▁b.c▁", "▁²é½▁"):
+        assert "".join(fresh.pieces.unit.findall(text)) == text
+
+
+def test_what_a_piece_holds_beside_a_letter_stays_with_letters():
+    unit = token_counts.unit_pattern(["▁a", "b.c", "12"])
+    assert unit.findall("▁ab.cd,▁12a▁-,") == ["▁ab.cd", ",", "▁12", "a", "▁-,"]
+    assert token_counts.unit_pattern(["b.", ".,", ",]"]).findall("▁ab.,]12") == ["▁ab.,]", "12"]
