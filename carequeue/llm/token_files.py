@@ -7,8 +7,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import count, islice
+from itertools import chain, count, islice
 
 import numpy as np
 import public_tokenizers
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from carequeue.llm.shared import shared_folder, table
+from carequeue.llm.shared import held, shared_folder, table
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
@@ -27,7 +26,6 @@ GROUP_CHARS = 8_000_000
 WORDS = 800_000
 BATCH = 50
 SPECIAL = "<|"
-_PLAIN = re.compile("[a-z]+")
 _STOPPED = re.compile(r"([^\W_]+)([.,;:!?]+)")
 
 #: Rows of a file, whose offsets count from its start.
@@ -42,6 +40,14 @@ ORC_OPTIONS = {
 }
 
 
+def _apart(part: str) -> tuple[str, ...]:
+    """A word and the stops after it, or the part as it is."""
+    if part.isalnum():
+        return (part,)
+    found = _STOPPED.fullmatch(part)
+    return found.groups() if found else (part,)
+
+
 class WordEncoder:
     """Encodes texts by their parts between spaces and line ends, each part once.
 
@@ -68,7 +74,7 @@ class WordEncoder:
         """Ids of words and of runs of stops."""
         model, others = self.tokenizer.model, []
         for word in words - self.single.keys():
-            if _PLAIN.fullmatch(word):
+            if word.isascii() and word.isalpha():
                 self.single[word] = [token.id for token in model.tokenize(word)]
             else:
                 others.append(word)
@@ -79,13 +85,17 @@ class WordEncoder:
 
     def _learn(self, parts: list[str]) -> None:
         """Append the ids of parts that have just been numbered."""
-        split = [found.groups() if (found := _STOPPED.fullmatch(part)) else (part,) for part in parts]
-        self._learn_single({word for words in split for word in words})
-        ids = [[i for word in words for i in self.single[word]] for words in split]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
-        self.sizes = np.append(self.sizes, sizes)
-        self.ids = np.append(self.ids, np.fromiter((i for own in ids for i in own), np.int32, int(sizes.sum())))
+        split = [_apart(part) for part in parts]
+        words = list(chain.from_iterable(split))
+        self._learn_single(set(words))
+        ids = list(map(self.single.__getitem__, words))
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        # A part ends with its last word.
+        ends = ends[np.cumsum(np.fromiter(map(len, split), np.int64, len(split))) - 1]
+        starts = np.concatenate(([0], ends[:-1]))
+        self.starts = np.append(self.starts, len(self.ids) + starts)
+        self.sizes = np.append(self.sizes, ends - starts)
+        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1])))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens added."""
@@ -109,10 +119,9 @@ class WordEncoder:
         return self.ids[shift + np.arange(len(shift))]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     """One encoder for all tasks of a worker process."""
-    return WordEncoder(path)
+    return held(WordEncoder, path)
 
 
 def _groups(texts: list[str | None], size: int) -> Iterator[list[str]]:

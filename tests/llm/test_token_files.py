@@ -59,3 +59,14 @@ def test_files_are_ordered_indexed_and_searched(spark, tmp_path, library):
     assert sum(orc.ORCFile(f).nrows for f in files) == len(rows)
     token_files.write_tokens(docs.limit(0), f"{tmp_path}/empty")
     assert token_files.read_tokens(spark, f"{tmp_path}/empty").collect() == []
+
+
+def test_parts_are_learned_by_their_words(library):
+    assert token_files._apart("ends.,;") == ("ends", ".,;") and token_files._apart("été!") == ("été", "!")
+    for part in ("", "plain", "12", "été", "a_b.", "...", "a.b.", "(x)"):
+        assert token_files._apart(part) == (part,)
+    coder = token_files.WordEncoder(PATH)
+    for texts in (["one two. two", ""], ["two.. one, \n3 (é) été."], [""], ["one"]):
+        assert [own.tolist() for own in coder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert coder.single.keys() >= {"one", "two", ".", "..", ",", "été", "(é)"} and "two." not in coder.single
+    assert len(coder.sizes) == len(coder.starts) == len(coder.numbers) and coder.sizes.sum() == len(coder.ids)
