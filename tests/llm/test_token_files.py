@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyarrow import orc
 from pyspark.sql import functions as F
@@ -70,3 +71,44 @@ def test_parts_are_learned_by_their_words(library):
         assert [own.tolist() for own in coder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert coder.single.keys() >= {"one", "two", ".", "..", ",", "été", "(é)"} and "two." not in coder.single
     assert len(coder.sizes) == len(coder.starts) == len(coder.numbers) and coder.sizes.sum() == len(coder.ids)
+
+
+def test_words_of_letters_need_only_the_model(library):
+    coder = token_files.WordEncoder(PATH)
+    sent = []
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, texts, **given):
+            sent.extend(texts)
+            return library.encode_batch_fast(texts, **given)
+
+    coder.tokenizer = Watched()
+    texts = ["Plain, été ÉTÉ! Straße&&& слово.) ΣΑΣ", None, "12 it's 漢字 (x) Straße... ", "<|x été"]
+    found = coder.lists(pa.array(["", *texts])[1:], 7)
+    assert found.to_pylist() == [[*library.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+    assert sorted(sent) == sorted(["", ",", "!", "&&&", ".)", "...", "12", "it's", "漢字", "(x)"])
+
+
+def test_marks_that_normalizing_composes_or_leaves(library):
+    odd = ["H̱", "T̈x W̊. Y̊ J̌", "Ĥ̱", "क़. क़&", "İ. aİ!", "ŉ.", "á. 각."]
+    coder = token_files.WordEncoder(PATH)
+    assert [own.tolist() for own in coder.encode(odd)] == [library.encode(t, add_special_tokens=False).ids for t in odd]
+
+
+def test_remembered_parts_are_bounded(library, monkeypatch):
+    for name, most in (("WORDS", 3), ("IDS", 5)):
+        coder = token_files.WordEncoder(PATH)
+        with monkeypatch.context() as patch:
+            patch.setattr(token_files, name, most)
+            for texts in (["one two three four"], ["x" * 50, "one"], ["four <|x", "five"], ["five. one"]):
+                assert [own.tolist() for own in coder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert "two" not in coder.numbers and len(coder.ids) == coder.sizes.sum()
+
+
+def test_groups_are_cut_by_size():
+    texts = pa.array(["skipped", "éé", None, "ccc", "", "dddd", "e"])[1:]
+    assert [part.to_pylist() for part in token_files._groups(texts, 3)] == [["éé"], [None, "ccc", "", "dddd"], ["e"]]
+    assert [len(part) for part in token_files._groups(texts, 100)] == [6] and list(token_files._groups(texts[:0], 3)) == []
